@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions.ordering import top_k
 from shelfwise.operators.candidates import of_customers, shape
 from shelfwise.schema import BASKET_WEEKS, SEED_WEEKS, SOURCE_K
+from shelfwise.session import materialize
 from shelfwise.sources.splits import before_week, weeks_between
 
 BASKET = ["customer_idx", "t_dat"]
@@ -22,7 +23,8 @@ def basket_items(history: DataFrame, as_of_week: int, lookback_weeks: int) -> Da
 
 
 def pair_counts(items: DataFrame, min_count: int, direct_size: int = DIRECT_BASKET_SIZE) -> DataFrame:
-    """(article_a < article_b, pair_count) of all pairs in at least ``min_count`` baskets.
+    """(article_a < article_b, pair_count, na, nb) of all pairs in at least ``min_count`` baskets;
+    na and nb count the baskets of either article.
 
     Exact, and without listing all pairs of a large basket:
 
@@ -36,80 +38,85 @@ def pair_counts(items: DataFrame, min_count: int, direct_size: int = DIRECT_BASK
       the large-basket memberships.
     """
     common = items.groupBy("article_idx").agg(F.count("*").alias("baskets")).filter(F.col("baskets") >= min_count)
-    live = items.join(common.select("article_idx"), "article_idx", "left_semi")
+    live = items.join(common, "article_idx")
     sizes = live.groupBy(*BASKET).agg(F.count("*").alias("size")).filter(F.col("size") > 1)
-    sized = live.join(sizes, BASKET)
+    sized = materialize(live.join(sizes, BASKET))
 
+    entry = F.struct("article_idx", "baskets")
     small = (
         sized.filter(F.col("size") <= direct_size)
         .groupBy(*BASKET)
-        .agg(F.sort_array(F.collect_list("article_idx")).alias("arts"))
-        .select("arts", F.posexplode("arts").alias("i", "article_a"))
-        .select("article_a", F.explode(F.expr("slice(arts, i + 2, size(arts))")).alias("article_b"))
-        .groupBy("article_a", "article_b")
-        .agg(F.count("*").alias("n_small"))
+        .agg(F.sort_array(F.collect_list(entry)).alias("arts"))
+        .select("arts", F.posexplode("arts").alias("i", "a"))
+        .select("a", F.explode(F.expr("slice(arts, i + 2, size(arts))")).alias("b"))
+        .groupBy(F.col("a.article_idx").alias("article_a"), F.col("b.article_idx").alias("article_b"))
+        .agg(F.count("*").alias("n_small"), F.max("a.baskets").alias("na"), F.max("b.baskets").alias("nb"))
     )
-
     large = sized.filter(F.col("size") > direct_size)
+    if large.isEmpty():
+        found = small.filter(F.col("n_small") >= min_count)
+        return found.select("article_a", "article_b", F.col("n_small").alias("pair_count"), "na", "nb")
+    return _with_large_baskets(small, large, min_count, direct_size)
+
+
+def _with_large_baskets(small: DataFrame, large: DataFrame, min_count: int, direct_size: int) -> DataFrame:
     generators = large
     if min_count > 1:
         largest_first = [F.desc("size"), F.asc("customer_idx"), F.asc("t_dat")]
         skip = top_k(large, ["article_idx"], largest_first, min_count - 1).select(*BASKET, "article_idx")
         generators = large.join(skip, [*BASKET, "article_idx"], "left_anti")
-    blocks = F.ceil(F.col("size") / F.lit(direct_size)).cast("int")
-    own = F.pmod(F.hash("article_idx"), F.col("blocks"))
     placed = (
-        generators.withColumn("blocks", blocks)
-        .withColumn("own", own)
-        .select(*BASKET, "article_idx", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+        generators.withColumn("blocks", F.ceil(F.col("size") / F.lit(direct_size)).cast("int"))
+        .withColumn("own", F.pmod(F.hash("article_idx"), F.col("blocks")))
+        .select(*BASKET, "article_idx", "baskets", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
         .select(
             *BASKET,
             "article_idx",
+            "baskets",
             F.least("own", "other").alias("row_block"),
             F.greatest("own", "other").alias("col_block"),
         )
     )
-    left = placed.withColumnRenamed("article_idx", "article_a")
-    right = placed.withColumnRenamed("article_idx", "article_b")
+    left = placed.withColumnsRenamed({"article_idx": "article_a", "baskets": "na"})
+    right = placed.withColumnsRenamed({"article_idx": "article_b", "baskets": "nb"})
     from_large = (
         left.join(right, [*BASKET, "row_block", "col_block"])
         .filter(F.col("article_a") < F.col("article_b"))
-        .select("article_a", "article_b")
-        .distinct()
-        .withColumn("n_small", F.lit(0).cast("long"))
+        .groupBy("article_a", "article_b")
+        .agg(F.lit(0).cast("long").alias("n_small"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    )
+    found = (
+        small.unionByName(from_large)
+        .groupBy("article_a", "article_b")
+        .agg(F.sum("n_small").alias("n_small"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     )
-
-    found = small.unionByName(from_large).groupBy("article_a", "article_b").agg(F.sum("n_small").alias("n_small"))
     n_large = large.groupBy("article_idx").agg(F.count("*").alias("n_large"))
     reach = (
         found.join(n_large.select(F.col("article_idx").alias("article_a"), F.col("n_large").alias("la")), "article_a", "left")
         .join(n_large.select(F.col("article_idx").alias("article_b"), F.col("n_large").alias("lb")), "article_b", "left")
         .na.fill(0, ["la", "lb"])
-        .withColumn("most", F.col("n_small") + F.least("la", "lb"))
-        .filter(F.col("most") >= min_count)
+        .filter(F.col("n_small") + F.least("la", "lb") >= min_count)
     )
-    settled = reach.filter(F.least("la", "lb") == 0).select("article_a", "article_b", F.col("n_small").alias("pair_count"))
     rarer_first = F.col("la") <= F.col("lb")
-    open_pairs = reach.filter(F.least("la", "lb") > 0).select(
-        "article_a",
-        "article_b",
-        "n_small",
-        F.when(rarer_first, F.col("article_a")).otherwise(F.col("article_b")).alias("rare"),
-        F.when(rarer_first, F.col("article_b")).otherwise(F.col("article_a")).alias("frequent"),
+    reach = materialize(
+        reach.withColumn("rare", F.when(rarer_first, F.col("article_a")).otherwise(F.col("article_b"))).withColumn(
+            "frequent", F.when(rarer_first, F.col("article_b")).otherwise(F.col("article_a"))
+        )
     )
+    # counted from the side with fewer large baskets
     shared = (
-        open_pairs.join(large.select(*BASKET, F.col("article_idx").alias("rare")), "rare")
+        reach.filter(F.least("la", "lb") > 0)
+        .join(large.select(*BASKET, F.col("article_idx").alias("rare")), "rare")
         .join(large.select(*BASKET, F.col("article_idx").alias("frequent")), [*BASKET, "frequent"], "left_semi")
         .groupBy("article_a", "article_b")
         .agg(F.count("*").alias("n_shared"))
     )
-    counted = (
-        open_pairs.join(shared, ["article_a", "article_b"], "left")
+    return (
+        reach.join(shared, ["article_a", "article_b"], "left")
         .withColumn("pair_count", F.col("n_small") + F.coalesce("n_shared", F.lit(0)))
         .filter(F.col("pair_count") >= min_count)
-        .select("article_a", "article_b", "pair_count")
+        .select("article_a", "article_b", "pair_count", "na", "nb")
     )
-    return settled.unionByName(counted)
 
 
 def copurchase_edges(
@@ -120,13 +127,7 @@ def copurchase_edges(
     direct_size: int = DIRECT_BASKET_SIZE,
 ) -> DataFrame:
     """Symmetric (seed_article, candidate_article, cosine_score) edges."""
-    items = basket_items(history, as_of_week, lookback_weeks)
-    n = items.groupBy("article_idx").agg(F.count("*").alias("baskets"))
-    pairs = (
-        pair_counts(items, min_count, direct_size)
-        .join(n.select(F.col("article_idx").alias("article_a"), F.col("baskets").alias("na")), "article_a")
-        .join(n.select(F.col("article_idx").alias("article_b"), F.col("baskets").alias("nb")), "article_b")
-    )
+    pairs = pair_counts(basket_items(history, as_of_week, lookback_weeks), min_count, direct_size)
     cosine = F.col("pair_count") / F.sqrt(F.col("na").cast("double") * F.col("nb").cast("double"))
     both = F.explode(
         F.array(
