@@ -153,7 +153,7 @@ def boot_cte(table: str, unit: str, cols: dict[str, tuple[str, str]], b: int, se
            0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.999998874797402, 0.9999998885745217, 0.9999999899522336)
     w = " + ".join(f"CASE WHEN u >= {c!r}e0 THEN 1 ELSE 0 END" for c in cum)
     sums = ", ".join(
-        f"sum(w * ({x})) / sum(CASE WHEN ({x}) IS NOT NULL THEN w * ({d}) END) AS {n}" for n, (x, d) in cols.items()
+        f"round(sum(w * ({x})) / nullif(sum(CASE WHEN ({x}) IS NOT NULL THEN w * ({d}) END), 0), 12) AS {n}" for n, (x, d) in cols.items()
     )
     return f"""SELECT {g}r AS replicate, {sums} FROM (SELECT *, {w} AS w FROM (SELECT *, CAST('0x' || substr(md5({unit} || '|' || (r // 4) || '|{seed}'),
       CAST((r % 4) * 8 + 1 AS INTEGER), 8) AS BIGINT) / 4294967296e0 AS u FROM {table}, (SELECT unnest(range(0, {b})) AS r))) GROUP BY {g}r"""

@@ -61,9 +61,7 @@ def running_rank(df: DataFrame, keys: list[str], order: list[Column], rank: str
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, rank: str = "rank") -> DataFrame:
-    """Ties share the mean of their positions. Returns one row per (keys, value) with its count."""
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    ran = running_totals(counts, keys, [F.col(value).asc()], {"__upto": F.col("n")})
-    return ran.select(
-        *keys, value, "n", (F.col("__upto") - F.col("n") + (F.col("n") + 1) / 2.0).alias(rank)
-    )
+    """Ties share the mean of their positions. Returns one row per (keys, value)."""
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    ran = running_totals(counts, keys, [F.col(value).asc()], {"__upto": F.col("__n")})
+    return ran.select(*keys, value, (F.col("__upto") - (F.col("__n") - 1) / 2.0).alias(rank))

@@ -7,6 +7,7 @@ from math import lgamma
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _incomplete_beta(a: float, b: float, x: float) -> float:
@@ -42,7 +43,7 @@ def two_sided_t(t: float, df: float) -> float:
     return _incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of Student's t."""
     return pd.Series([two_sided_t(float(x), float(k)) for x, k in zip(t, df)])

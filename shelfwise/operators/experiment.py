@@ -276,16 +276,16 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row (n, rho). Rows are folded to distinct (x, y) values before any ranking, and the
     ranks are centred, so the sums stay exact for large tables."""
     known = df.select(x, y).dropna()
-    cells = known.groupBy(x, y).agg(F.count("*").alias("n"))
+    cells = known.groupBy(x, y).agg(F.count("*").alias("__n"))
     rx = average_ranks(known, [], x, "rx").select(x, "rx")
     ry = average_ranks(known, [], y, "ry").select(y, "ry")
     mid = known.agg(((F.count("*") + 1) / 2.0).alias("m")).scalar()
     c = cells.join(rx, x).join(ry, y).withColumn("rx", F.col("rx") - mid).withColumn("ry", F.col("ry") - mid)
     s = c.agg(
-        F.sum("n").alias("n"),
-        F.sum(F.col("n") * F.col("rx") * F.col("ry")).alias("sxy"),
-        F.sum(F.col("n") * F.col("rx") * F.col("rx")).alias("sxx"),
-        F.sum(F.col("n") * F.col("ry") * F.col("ry")).alias("syy"),
+        F.sum("__n").alias("n"),
+        F.sum(F.col("__n") * F.col("rx") * F.col("ry")).alias("sxy"),
+        F.sum(F.col("__n") * F.col("rx") * F.col("rx")).alias("sxx"),
+        F.sum(F.col("__n") * F.col("ry") * F.col("ry")).alias("syy"),
     )
     return s.select("n", safe_ratio(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy"))).alias("rho"))
 

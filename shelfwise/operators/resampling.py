@@ -51,7 +51,8 @@ def replicate_sums(
         *[
             F.struct(
                 (F.col("__block") * LANES + j).alias("replicate"),
-                *[safe_ratio(F.col(f"__sx_{n}_{j}"), F.col(f"__sd_{n}_{j}")).alias(n) for n in values],
+                # rounded: sums that cancel to zero must not keep a summation-order residue
+                *[F.round(safe_ratio(F.col(f"__sx_{n}_{j}"), F.col(f"__sd_{n}_{j}")), 12).alias(n) for n in values],
             )
             for j in range(LANES)
         ]
@@ -104,7 +105,7 @@ def bootstrap_p_value(replicates: DataFrame, value: str, observed: DataFrame, gr
     r = replicates.join(observed, groups) if groups else replicates.withColumn("observed", observed.scalar())
     against = F.when(F.col("observed") > 0, F.col(value) <= 0).otherwise(F.col(value) >= 0)
     return r.groupBy(*groups).agg(
-        F.least(F.lit(1.0), 2.0 * (F.count(F.when(against, 1)) + 1) / (F.count("*") + 1)).alias("p_bootstrap")
+        F.least(F.lit(1.0), 2.0 * (F.count(F.when(against, 1)) + 1) / (F.count(value) + 1)).alias("p_bootstrap")
     )
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -91,31 +93,44 @@ def leakage_flags(auc: DataFrame, maps: DataFrame, oracle_map: DataFrame, auc_li
 
 def correlated_pairs(x: DataFrame, features: list[str], limit: float = 0.95) -> DataFrame:
     """Pearson correlation of each pair over rows where both are known; pairs with |r| > limit.
-    All pairs are aggregated in one pass, in batches of columns."""
-    pairs = list(combinations(features, 2))
-    parts = []
-    batch = 300
-    for i in range(0, len(pairs), batch):
-        aggs = [
-            F.struct(
-                F.lit(a).alias("feature_a"),
-                F.lit(b).alias("feature_b"),
-                _corr(a, b).alias("r"),
-            ).alias(f"p{j}")
-            for j, (a, b) in enumerate(pairs[i : i + batch])
-        ]
-        row = x.agg(*aggs)
-        parts.append(row.select(F.explode(F.array(*row.columns)).alias("p")).select("p.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.filter(F.abs("r") > limit)
-
-
-def _corr(a: str, b: str):
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    u, v = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-    return F.when((F.var_pop(u) > 1e-18) & (F.var_pop(v) > 1e-18), F.corr(u, v))
+
+    Each Arrow batch is reduced to its matrix products, one row per pair, which Spark then
+    sums; columns are centred first so that the products do not cancel."""
+    means = x.agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in features]).select(F.struct("*")).scalar()
+    centred = x.withColumn("m", means).select(*[(F.col(f).cast("double") - F.col(f"m.{f}")).alias(f) for f in features])
+    pairs = list(combinations(range(len(features)), 2))
+    ia, ib = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+
+    def products(batches):
+        for pdf in batches:
+            v = pdf.to_numpy(dtype="float64", na_value=np.nan)
+            known = (~np.isnan(v)).astype("float64")
+            v = np.nan_to_num(v)
+            yield pd.DataFrame(
+                {
+                    "a": ia,
+                    "b": ib,
+                    "n": (known.T @ known)[ia, ib],
+                    "sx": (v.T @ known)[ia, ib],
+                    "sy": (known.T @ v)[ia, ib],
+                    "sxx": ((v * v).T @ known)[ia, ib],
+                    "syy": (known.T @ (v * v))[ia, ib],
+                    "sxy": (v.T @ v)[ia, ib],
+                }
+            )
+
+    sums = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    schema = "a int, b int, " + ", ".join(f"{c} double" for c in sums)
+    total = centred.mapInPandas(products, schema).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in sums])
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    vx = F.greatest(F.col("sxx") - safe_ratio(sx * sx, n), F.lit(0.0))
+    vy = F.greatest(F.col("syy") - safe_ratio(sy * sy, n), F.lit(0.0))
+    spread = (vx > n * 1e-12) & (vy > n * 1e-12)
+    r = F.when(spread, (F.col("sxy") - safe_ratio(sx * sy, n)) / F.sqrt(vx * vy))
+    names = F.array(*[F.lit(f) for f in features])
+    return total.select(
+        F.element_at(names, F.col("a") + 1).alias("feature_a"), F.element_at(names, F.col("b") + 1).alias("feature_b"), r.alias("r")
+    ).filter(F.abs("r") > limit)
 
 
 def stability_index(base: DataFrame, other: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
