@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.plans import candidate_run as cr
+from shelfwise.session import materialize
 from shelfwise.sources import retail_view as rv
 from shelfwise.sources.splits import build_holdout_fold
 
@@ -66,7 +67,7 @@ class Store:
 
     @cached_property
     def merged(self) -> DataFrame:
-        return cr.generate(self.history, self.eval_customers, self.state())
+        return materialize(cr.generate(self.history, self.eval_customers, self.state()))
 
 
 _SPARK = {"i": "int", "l": "bigint", "s": "string", "t": "date", "b": "boolean"}

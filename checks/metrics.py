@@ -7,6 +7,7 @@ from shelfwise.operators import baselines as bl
 from shelfwise.operators import metrics as mt
 from shelfwise.operators import resampling as rs
 from shelfwise.plans import evaluation as pe
+from shelfwise.session import materialize
 from shelfwise.sources.splits import build_fold, fold_overview
 
 CTE["recent12"] = "SELECT customer_idx, article_idx, source_rank AS pos FROM c_recent WHERE source_rank <= 12"
@@ -138,7 +139,7 @@ CTE["outcomes"] = """SELECT a.customer_idx, a.ap AS ranker_ap, a.hit AS ranker_h
 def outcomes(s: Store):
     """Per-customer outcomes of two models; the merged order stands for the new model."""
     x = lists(s)
-    return mt.outcome_table(x["heuristic"], x["base_b"], s.truth)
+    return materialize(mt.outcome_table(x["heuristic"], x["base_b"], s.truth))
 
 
 register(

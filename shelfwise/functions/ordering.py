@@ -65,3 +65,29 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, rank: str = "rank"
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("__n"))
     ran = running_totals(counts, keys, [F.col(value).asc()], {"__upto": F.col("__n")})
     return ran.select(*keys, value, (F.col("__upto") - (F.col("__n") - 1) / 2.0).alias(rank))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Linearly interpolated quantiles per key, exact for groups of any size.
+
+    Rows are folded to one per (key, value); each quantile is then the smallest value whose
+    running count passes its position, which is a plain conditional minimum."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    ran = running_totals(counts, keys, [F.col(value).asc()], {"__upto": F.col("__n")})
+    total = F.col("__total")
+    sized = ran.select(*keys, F.col(value).cast("double").alias("__v"), "__upto")
+    if keys:
+        sizes = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
+        sized = sized.join(sizes, keys)
+    else:
+        sized = sized.withColumn("__total", counts.agg(F.sum("__n")).scalar())
+    picks, outs = [], []
+    for name, p in probs.items():
+        at = (total - 1) * F.lit(float(p))
+        picks.append(F.min(F.when(F.col("__upto") > F.floor(at), F.col("__v"))).alias(f"__lo_{name}"))
+        picks.append(F.min(F.when(F.col("__upto") > F.ceil(at), F.col("__v"))).alias(f"__hi_{name}"))
+        part = (F.col("__t") - 1) * F.lit(float(p))
+        lo, hi = F.col(f"__lo_{name}"), F.coalesce(F.col(f"__hi_{name}"), F.col(f"__lo_{name}"))
+        outs.append((lo + (hi - lo) * (part - F.floor(part))).alias(name))
+    agg = sized.groupBy(*keys).agg(F.max("__total").alias("__t"), *picks)
+    return agg.select(*keys, F.col("__t").alias("n_values"), *outs)

@@ -9,6 +9,7 @@ from shelfwise.functions.columns import age_bucket, purchase_segment, recency_bu
 from shelfwise.operators.experiment import holm, paired_t, with_student_p
 from shelfwise.operators.resampling import paired_difference
 from shelfwise.schema import SEED, Calendar
+from shelfwise.session import materialize
 
 FAMILIES = ("prior_purchases", "age_bucket", "channel_tertile", "recency", "new_article_buyer")
 
@@ -75,7 +76,7 @@ def segment_tests(outcomes: DataFrame, segments: DataFrame, n_boot: int = 1000,
     """Per segment: MAP of both models, interval and bootstrap p of the difference, paired t with
     its p, and both p values Holm-corrected over all segments."""
     keys = ["family", "segment"]
-    rows = outcomes.join(segments, "customer_idx")
+    rows = materialize(outcomes.join(segments, "customer_idx"))
     boot = paired_difference(rows, "ranker_ap", "heuristic_ap", n_boot, seed, keys)
     t = with_student_p(paired_t(rows, keys, "ranker_ap", "heuristic_ap"), out="p_ttest").select(*keys, "t", "p_ttest")
     out = boot.join(t, keys).withColumnsRenamed({"mean_a": "map_ranker", "mean_b": "map_heuristic"})

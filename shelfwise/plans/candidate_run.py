@@ -21,6 +21,7 @@ from shelfwise.schema import (
     SOURCE_K,
     Calendar,
 )
+from shelfwise.session import materialize
 
 
 @dataclass(frozen=True)
@@ -78,11 +79,12 @@ def build_state(
         cal=cal,
         articles=articles,
         buckets=buckets,
-        edges=cop.copurchase_edges(history, week, s.basket_weeks, s.min_pair_count),
+        # state tables are written once per cutoff and read by every branch
+        edges=materialize(cop.copurchase_edges(history, week, s.basket_weeks, s.min_pair_count)),
         last_week=last_week,
         decayed=decayed,
         segments=segments,
-        shared=shared_lists(last_week, decayed, segments, list(AGE_BUCKETS)),
+        shared=materialize(shared_lists(last_week, decayed, segments, list(AGE_BUCKETS))),
         settings=s,
     )
 
