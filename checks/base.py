@@ -1,7 +1,7 @@
 """Registered queries: a Spark callable, an output spec and, where SQL can say it, the SQL twin.
 
 The spec lists the output columns with a type letter (i int, l bigint, d double rounded to six
-places, s text, t date, b boolean). Both sides are cast by it, so names and types agree.
+places, p to nine, s text, t date, b boolean). Both sides are cast by it, so names and types agree.
 """
 
 from __future__ import annotations
@@ -71,6 +71,7 @@ class Store:
 
 
 _SPARK = {"i": "int", "l": "bigint", "s": "string", "t": "date", "b": "boolean"}
+_DIGITS = {"d": 6, "p": 9}
 _DUCK = {"i": "INTEGER", "l": "BIGINT", "s": "VARCHAR", "t": "DATE", "b": "BOOLEAN"}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,7 +88,7 @@ def to_spec(df: DataFrame, spec: str) -> DataFrame:
     for name, kind in _columns(spec):
         c = F.col(name)
         # adding 0.0 turns -0.0 into 0.0
-        c = F.round(c.cast("double"), 6) + F.lit(0.0) if kind == "d" else c.cast(_SPARK[kind])
+        c = F.round(c.cast("double"), _DIGITS[kind]) + F.lit(0.0) if kind in _DIGITS else c.cast(_SPARK[kind])
         cols.append(c.alias(name))
     return df.select(*cols)
 
@@ -95,7 +96,7 @@ def to_spec(df: DataFrame, spec: str) -> DataFrame:
 def _sql_columns(spec: str) -> str:
     cols = []
     for name, kind in _columns(spec):
-        c = f"round(CAST({name} AS DOUBLE), 6) + 0e0" if kind == "d" else f"CAST({name} AS {_DUCK[kind]})"
+        c = f"round(CAST({name} AS DOUBLE), {_DIGITS[kind]}) + 0e0" if kind in _DIGITS else f"CAST({name} AS {_DUCK[kind]})"
         cols.append(f"{c} AS {name}")
     return ", ".join(cols)
 

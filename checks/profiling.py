@@ -11,7 +11,7 @@ from shelfwise.sources import tables as tb
 from shelfwise.sources.splits import last_full_week
 
 register(
-    "scan_transactions", "customer_idx:i article_idx:i t_dat:t price:d sales_channel_id:i week_idx:i", lambda s: s.tx, "SELECT * FROM tx"
+    "scan_transactions", "customer_idx:i article_idx:i t_dat:t price:p sales_channel_id:i week_idx:i", lambda s: s.tx, "SELECT * FROM tx"
 )
 register(
     "scan_articles", "article_idx:i article_id:s prod_name:s product_code:s product_type_no:i product_type_name:s colour_group_name:s",
@@ -59,7 +59,7 @@ register(
     "dense_article_keys", "article_id:s article_idx:i", lambda s: tb.convert_articles(s.articles.drop("article_idx")), "SELECT * FROM dense_a"
 )
 register(
-    "convert_transactions", "t_dat:t customer_idx:i article_idx:i price:d sales_channel_id:i week_idx:i", lambda s: converted(s)[2],
+    "convert_transactions", "t_dat:t customer_idx:i article_idx:i price:p sales_channel_id:i week_idx:i", lambda s: converted(s)[2],
     """SELECT t_dat, d.customer_idx, e.article_idx, price, sales_channel_id, week_idx FROM tx JOIN cust USING (customer_idx)
     JOIN dense_c d USING (customer_id) JOIN art ON art.article_idx = tx.article_idx JOIN dense_a e USING (article_id)""",
 )
@@ -258,7 +258,7 @@ register(
     f"SELECT min(weeks_since_debut) FILTER (pct_of_week_1 < 50) AS half_life_week FROM ({_DEC})",
 )
 register(
-    "price_by_group", "product_group_name:s n_tx:l q1_price:d median_price:d q3_price:d", lambda s: pf.price_by_group(s.tx, s.articles),
+    "price_by_group", "product_group_name:s n_tx:l q1_price:p median_price:p q3_price:p", lambda s: pf.price_by_group(s.tx, s.articles),
     """SELECT product_group_name, count(*) AS n_tx, quantile_cont(price, 0.25) AS q1_price, quantile_cont(price, 0.5) AS median_price, quantile_cont(price, 0.75) AS q3_price
     FROM tx JOIN art USING (article_idx) GROUP BY 1""",
 )

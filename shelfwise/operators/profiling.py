@@ -118,7 +118,7 @@ def busiest_days(tx: DataFrame, n: int = 10) -> DataFrame:
 
 def channel_share(tx: DataFrame) -> DataFrame:
     """Weekly rows per channel, side by side, with the online percentage."""
-    wide = tx.groupBy("week_idx").pivot("sales_channel_id", [1, 2]).agg(F.count("*")).na.fill(0)
+    wide = tx.groupBy("week_idx").pivot("sales_channel_id", [1, 2]).agg(F.count("t_dat")).na.fill(0)
     total = F.col("1") + F.col("2")
     return wide.select(
         "week_idx", F.col("1").alias("channel_1"), F.col("2").alias("channel_2"), (F.col("2") * 100.0 / total).alias("channel_2_pct")
