@@ -68,6 +68,7 @@ def product_code_siblings(
     articles: DataFrame,
     k: int = SOURCE_K["product_code"],
     lookback_weeks: int = PRODUCT_CODE_WEEKS,
+    sales_history: DataFrame | None = None,
 ) -> DataFrame:
     """Unbought articles that share a product code with a recent purchase, by last week's sales.
 
@@ -90,8 +91,9 @@ def product_code_siblings(
             F.explode(F.sequence(F.lit(0), F.floor((F.col("owned") + (k - 1)) / k).cast("int"))).alias("block"),
         )
     )
+    sold = history if sales_history is None else sales_history
     sales = (
-        history.filter(F.col("week_idx") == cutoff_week - 1).groupBy("article_idx").agg(F.count("*").alias("score"))
+        sold.filter(F.col("week_idx") == cutoff_week - 1).groupBy("article_idx").agg(F.count("*").alias("score"))
     )
     scored = codes.join(sales, "article_idx", "left").withColumn("score", F.coalesce("score", F.lit(0)))
     ranked = running_rank(scored, ["product_code"], [F.desc("score"), F.asc("article_idx")], "code_rank").withColumn(

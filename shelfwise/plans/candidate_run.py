@@ -90,13 +90,14 @@ def build_state(
 
 
 def personal_sources(
-    history: DataFrame, customers: DataFrame | None, state: CandidateState
+    history: DataFrame, customers: DataFrame | None, state: CandidateState, sales_history: DataFrame | None = None
 ) -> dict[str, DataFrame]:
+    """``sales_history`` gives the last week's sales when ``history`` holds only the served rows."""
     s, w = state.settings, state.week
     return {
         "repurchase": cand.repurchase(history, w, customers, s.k["repurchase"]),
         "product_code": cand.product_code_siblings(
-            history, w, customers, state.articles, s.k["product_code"], s.code_weeks
+            history, w, customers, state.articles, s.k["product_code"], s.code_weeks, sales_history
         ),
         "copurchase": cop.copurchase_candidates(
             history, w, customers, state.edges, s.k["copurchase"], s.seed_weeks

@@ -105,3 +105,26 @@ def customer_repeat_rates(history: DataFrame) -> DataFrame:
     return pairs.groupBy("customer_idx").agg(
         F.sum("n").alias("n"), (F.sum(F.col("n") - F.col("first.n")) / F.sum("n")).alias("rate")
     )
+
+
+def rolling_ranker(folds: list[tuple[int, DataFrame, DataFrame]]) -> DataFrame:
+    """Train on all earlier folds, score the next: (week_idx, map of the ranker and of the merge
+    order, lift in percent). ``folds`` lists (week, features with labels, truth) by week."""
+    from shelfwise.operators.ranker import train_linear
+
+    parts = []
+    for i in range(1, len(folds)):
+        week, x, truth = folds[i]
+        seen = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f[1] for f in folds[:i]])
+        model = train_linear(seen)
+        ranked = mt.predictions_from_scores(model.score(x))
+        out = mt.outcome_table(ranked, bl.heuristic_lists(x), truth)
+        parts.append(
+            out.agg(
+                F.lit(week).alias("week_idx"), F.count("*").alias("n_customers"),
+                F.avg("ranker_ap").alias("ranker_map"), F.avg("heuristic_ap").alias("heuristic_map"),
+            )
+        )
+    rows = reduce(DataFrame.unionByName, parts)
+    lift = F.when(F.col("heuristic_map") > 0, (F.col("ranker_map") / F.col("heuristic_map") - 1) * 100)
+    return rows.withColumn("lift_pct", lift)
