@@ -57,9 +57,17 @@ class Store:
     def eval_customers(self) -> DataFrame:
         return self.truth.select("customer_idx").distinct()
 
-    def state(self, settings: cr.RunSettings = SETTINGS, week: int = WEEK) -> cr.CandidateState:
-        history = self.history if week == WEEK else rv.transactions(self.spark, self.folder, before_week=week)
-        return cr.build_state(history, week, CAL, self.articles, self.customers, settings)
+    @cached_property
+    def _state(self) -> cr.CandidateState:
+        return cr.build_state(self.history, WEEK, CAL, self.articles, self.customers, SETTINGS)
+
+    def state(self) -> cr.CandidateState:
+        return self._state
+
+    @cached_property
+    def kept(self) -> dict[str, DataFrame]:
+        """Checkpointed tables that several queries start from, by name."""
+        return {}
 
     @cached_property
     def sources(self) -> dict[str, DataFrame]:
@@ -70,6 +78,18 @@ class Store:
         return materialize(cr.generate(self.history, self.eval_customers, self.state()))
 
 
+_STORES: dict[tuple[str, str], Store] = {}
+
+
+def store_for(spark: SparkSession, folder: str) -> Store:
+    """One store per session and folder: the state, merged candidates, features and outcomes are
+    written once and read by every query that needs them, as a scheduled run would do."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORES:
+        _STORES[key] = Store(spark, folder)
+    return _STORES[key]
+
+
 _SPARK = {"i": "int", "l": "bigint", "s": "string", "t": "date", "b": "boolean"}
 _DIGITS = {"d": 6, "p": 9}
 _DUCK = {"i": "INTEGER", "l": "BIGINT", "s": "VARCHAR", "t": "DATE", "b": "BOOLEAN"}
@@ -127,7 +147,7 @@ def register(
 ) -> None:
     if name in QUERIES:
         raise ValueError(name)
-    QUERIES[name] = lambda spark, folder: to_spec(fn(Store(spark, folder)), spec)
+    QUERIES[name] = lambda spark, folder: to_spec(fn(store_for(spark, folder)), spec)
     if sql is not None:
         SQL[name] = with_ctes(f"SELECT {_sql_columns(spec)} FROM (\n{sql}\n) AS answer", given)
 

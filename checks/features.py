@@ -5,6 +5,7 @@ from checks.candidates import NAMES
 from shelfwise.operators import features as ft
 from shelfwise.plans.fold_features import fold_frame
 from shelfwise.schema import FEATURE_NAMES, FEATURES
+from shelfwise.session import materialize
 from shelfwise.sources.splits import build_holdout_fold
 from shelfwise.sources.tables import portable_content_summary
 
@@ -82,7 +83,9 @@ def spec(group: str | None = None, extra: str = "") -> str:
 
 
 def frame(s: Store):
-    return fold_frame(build_holdout_fold(s.tx, CAL), CAL, s.articles, s.customers, SETTINGS)
+    if "features" not in s.kept:
+        s.kept["features"] = materialize(fold_frame(build_holdout_fold(s.tx, CAL), CAL, s.articles, s.customers, SETTINGS))
+    return s.kept["features"]
 
 
 register(

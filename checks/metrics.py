@@ -138,8 +138,10 @@ CTE["outcomes"] = """SELECT a.customer_idx, a.ap AS ranker_ap, a.hit AS ranker_h
 
 def outcomes(s: Store):
     """Per-customer outcomes of two models; the merged order stands for the new model."""
-    x = lists(s)
-    return materialize(mt.outcome_table(x["heuristic"], x["base_b"], s.truth))
+    if "outcomes" not in s.kept:
+        x = lists(s)
+        s.kept["outcomes"] = materialize(mt.outcome_table(x["heuristic"], x["base_b"], s.truth))
+    return s.kept["outcomes"]
 
 
 register(

@@ -27,7 +27,7 @@ def fixed_model(x) -> rk.LinearRanker:
 
 
 def stored_frame(s: Store):
-    return materialize(frame(s))
+    return frame(s)
 
 
 CTE["xlong"] = " UNION ALL ".join(
@@ -200,7 +200,10 @@ register("partner_feature", "feature:s r:d", _partner)
 def fold_of(s: Store, week: int):
     tx = transactions(s.spark, s.folder, before_week=week + 1)
     fold = build_fold(tx, week, CAL, allow_holdout=True)
-    return materialize(fold_frame(fold, CAL, s.articles, s.customers, SETTINGS)), fold.truth
+    name = "features" if week == WEEK else f"features_{week}"
+    if name not in s.kept:
+        s.kept[name] = materialize(fold_frame(fold, CAL, s.articles, s.customers, SETTINGS))
+    return s.kept[name], fold.truth
 
 
 def _evaluation(s: Store):

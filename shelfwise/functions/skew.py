@@ -12,15 +12,15 @@ def left_join_hot(
     """Left join where the keys in ``hot_keys`` (a bounded list) hold most left rows.
 
     Rows with a hot key meet a broadcast of just those right rows. They then pass the
-    second join under a key that matches nothing and is spread by ``spread`` (a
-    non-negative int column), so no partition of that shuffle is hot.
+    second join under a negative key that matches nothing (keys are not negative) and is
+    spread by the hash of ``spread``, so no partition of that shuffle is hot.
     """
     cols = [c for c in right.columns if c != key]
     hot = right.join(F.broadcast(hot_keys.select(key).distinct()), key, "left_semi")
     hot = hot.select(key, F.lit(True).alias("__hot"), *[F.col(c).alias(f"__h_{c}") for c in cols])
     step = left.join(F.broadcast(hot), key, "left").withColumn(
         "__key",
-        F.when(F.col("__hot"), -1 - F.col(spread).cast("long")).otherwise(F.col(key).cast("long")),
+        F.when(F.col("__hot"), -1 - F.pmod(F.xxhash64(spread), F.lit(2**40))).otherwise(F.col(key).cast("long")),
     )
     cold = right.select(F.col(key).cast("long").alias("__key"), *[F.col(c).alias(f"__c_{c}") for c in cols])
     out = step.join(cold, "__key", "left")

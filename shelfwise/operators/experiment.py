@@ -194,7 +194,7 @@ def cuped(users: DataFrame, metric: str, covariate: str) -> DataFrame:
     pooled = users.agg(
         F.coalesce(safe_ratio(F.covar_samp(x, m), F.var_samp(x)), F.lit(0.0)).alias("theta"),
         F.avg(x).alias("x_mean"),
-        F.coalesce(F.when((F.var_samp(x) > 0) & (F.var_samp(m) > 0), F.corr(x, m)), F.lit(0.0)).alias("corr"),
+        F.coalesce(safe_ratio(F.covar_pop(x, m), F.sqrt(F.var_pop(x) * F.var_pop(m))), F.lit(0.0)).alias("corr"),
     ).select(F.struct("*")).scalar()
     adj = users.withColumn("c", pooled).withColumn(
         "adj", m - F.col("c.theta") * (x - F.col("c.x_mean"))

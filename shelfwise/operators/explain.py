@@ -98,7 +98,8 @@ def partner_feature(x: DataFrame, model: LinearRanker, feature: str) -> DataFram
 def _corr(f: str) -> Column:
     v = F.col(f).cast("double")
     c = F.when(v.isNotNull(), F.col("__c"))
-    return F.when((F.var_pop(v) > 1e-18) & (F.var_pop(c) > 1e-18), F.corr(v, c))
+    # F.corr divides by zero under ANSI when a column is constant
+    return safe_ratio(F.covar_pop(v, c), F.sqrt(F.var_pop(v) * F.var_pop(c)))
 
 
 # --- reasons ----------------------------------------------------------------------
