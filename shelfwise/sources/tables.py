@@ -114,12 +114,16 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 # --- sinks ------------------------------------------------------------------
 
 
-def write_transactions(tx: DataFrame, path: str) -> None:
+def write_transactions(tx: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
     """Fact sink: one folder per week, so week filters prune partitions; days sorted inside
-    the files, so date filters skip row groups. Rows are spread over several files per week
-    by customer, since one week may hold most rows."""
+    the files, so date filters skip row groups. A week is spread over as many tasks as its
+    size asks for, since one week may hold most rows."""
+    parts = F.ceil(F.count("*") / F.lit(rows_per_file)).cast("int")
+    sizes = tx.groupBy("week_idx").agg(parts.alias("parts"))  # one row per week
     (
-        tx.repartition("week_idx", F.pmod(F.hash("customer_idx"), F.lit(16)))
+        tx.join(F.broadcast(sizes), "week_idx")
+        .repartition("week_idx", F.pmod(F.hash("customer_idx", "article_idx"), F.col("parts")))
+        .drop("parts")
         .sortWithinPartitions("week_idx", "t_dat")
         .write.mode("overwrite")
         .option("compression", "zstd")
