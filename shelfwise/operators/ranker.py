@@ -82,7 +82,7 @@ def train_linear(folds: DataFrame, features=None, reg: float = 0.01, max_iter: i
     w = W.partitionBy("customer_idx")
     centred = z.select("label", *[(F.col(f) - F.avg(f).over(w)).alias(f) for f in features])
     data = VectorAssembler(inputCols=list(features), outputCol="x").transform(centred).select("label", "x")
-    fit = LogisticRegression(featuresCol="x", labelCol="label", fitIntercept=False, regParam=reg, maxIter=max_iter, standardization=False).fit(data)
+    fit = LogisticRegression(featuresCol="x", labelCol="label", fitIntercept=False, regParam=reg, maxIter=max_iter, tol=1e-4, standardization=False).fit(data)
     return LinearRanker(features, means, stds, tuple(float(v) for v in fit.coefficients))
 
 
