@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfwise.sources.tables import append_capped
@@ -15,7 +16,8 @@ def append_purchases(stream: DataFrame, path: str, checkpoint: str, cap: int, on
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        held = spark.read.schema(batch.schema.add("batch", "long")).parquet(path).filter(f"batch <> {number}")
+        schema = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
+        held = spark.read.schema(schema).parquet(path).filter(f"batch <> {number}")
         kept = append_capped(held, batch, cap)
         kept.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
