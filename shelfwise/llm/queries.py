@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import quality_rules, sharding, url_filter
+from shelfwise.llm import quality_rules, sharding, simhash, url_filter
 from shelfwise.llm.common import table
 from shelfwise.llm.url_filter import Rule, UrlModel
 
@@ -68,3 +68,9 @@ def op8_histogram_sort(spark: SparkSession, folder: str) -> DataFrame:
         "row.doc_id", "size", F.crc32(F.coalesce("row.text", F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, folder, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
