@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import quality_rules, sharding, simhash, url_filter
-from shelfwise.llm.common import table
+from shelfwise.llm import packing, quality_rules, sharding, simhash, url_filter
+from shelfwise.llm.common import saved, table
 from shelfwise.llm.url_filter import Rule, UrlModel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +75,14 @@ def op8_histogram_sort(spark: SparkSession, folder: str) -> DataFrame:
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, folder, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    slim = saved(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return packing.pack(slim).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(table(spark, folder, "documents"))
