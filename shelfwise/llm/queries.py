@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import packing, quality_rules, sharding, simhash, url_filter
+from shelfwise.llm import packing, quality_rules, secrets, sharding, simhash, url_filter
 from shelfwise.llm.common import saved, table
 from shelfwise.llm.url_filter import Rule, UrlModel
 
@@ -86,3 +86,19 @@ def packed(docs: DataFrame) -> DataFrame:
 @query
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(table(spark, folder, "documents"))
+
+
+@query
+def op5_secret_links(spark: SparkSession, folder: str) -> DataFrame:
+    out = secrets.find(table(spark, folder, "documents"))
+
+    def joined(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    return out.select(
+        "doc_id", *[number(k).alias(f"n_{k}") for k in secrets.KINDS[:3]],
+        F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"),
+    )
