@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import packing, quality_rules, secrets, sharding, simhash, toxicity, url_filter
+from shelfwise.llm import neighbours, packing, quality_rules, secrets, sharding, simhash, toxicity, url_filter
 from shelfwise.llm.common import saved, table
 from shelfwise.llm.url_filter import Rule, UrlModel
 
@@ -109,3 +109,8 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     out = toxicity.score(docs, toxicity.train(docs, labels))
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op1_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
