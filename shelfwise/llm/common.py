@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.session import materialize
+from shelfwise.session import ensure_checkpoint_dir, materialize
 
 #: What separates words: the ASCII white space that ``bytes.split()`` knows.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -62,3 +63,12 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterato
 
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
+
+
+def table_saved(df: DataFrame) -> DataFrame:
+    """Like :func:`saved`, but as a Parquet table in the checkpoint folder, which is far smaller for long tables."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import neighbours, packing, quality_rules, secrets, sharding, simhash, toxicity, url_filter
+from shelfwise.llm import neighbours, packing, passages, quality_rules, secrets, sharding, simhash, toxicity, url_filter
 from shelfwise.llm.common import saved, table
 from shelfwise.llm.url_filter import Rule, UrlModel
 
@@ -114,3 +114,8 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query
+def op2_paragraph_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeats(table(spark, folder, "documents"))
