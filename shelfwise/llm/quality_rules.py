@@ -159,3 +159,13 @@ def judge(docs: DataFrame, trusted: DataFrame, rules: QualityRules = QualityRule
         failed.alias("base_failed"), "score",
         (~failed & (F.col("score") >= rules.threshold)).alias("kept"),
     )
+
+
+def keep(docs: DataFrame, trusted: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """The rows of ``docs`` that are kept.
+
+    The condition also reads a row number. Without it, the optimizer would move the filter below the
+    columns it is made of, and write each of them out again wherever it is used.
+    """
+    judged = judge(docs, trusted, rules).withColumn("number", F.monotonically_increasing_id())
+    return judged.filter("kept and number >= 0").select("row.*")
