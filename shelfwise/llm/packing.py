@@ -12,6 +12,7 @@ doc_id is packed like any other. Other columns of ``docs`` are not read.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,49 +26,89 @@ from shelfwise.llm.common import small_batches, strings
 END = 1
 LIMIT = 4_096
 #: Texts of a task that are held in Python at once; distinct words a worker remembers, and the longest of them in bytes.
-TEXTS, REMEMBERED, LONGEST = 64, 300_000, 48
+TEXTS, REMEMBERED, LONGEST = 64, 600_000, 48
 #: Pieces of one length are ranked in blocks of about so many.
 BLOCK_ROWS = 50_000
 
-_tokenizers: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+#: Marks that the tokenizer parts from the letters before them, whatever follows; not so the apostrophe.
+MARKS = b".,!?;:|*&%$#"
 
 
-def _tokenizer(path: str) -> tuple[object, dict[bytes, bytes]]:
-    if path not in _tokenizers:
-        import os
+def _letters_only(text: str) -> bool:
+    """Also in lower case, where a letter may become a letter and a mark."""
+    return text.isalpha() and text.lower().isalpha()
 
+
+class WordEncoder:
+    """Ids of stretches between ASCII white space, which the tokenizer drops and never joins across.
+
+    A stretch is put together from its word and the marks behind it, each encoded once and
+    remembered. Words of letters alone are encoded many at a time: each ends with the
+    one id of its own that closes a word, which tells them apart again.
+    """
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    return _tokenizers[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def _letters(self, texts: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+        if len(ends) != len(texts):
+            return self._each(texts)
+        raw = ids.tobytes()
+        return [raw[4 * i : 4 * j] for i, j in zip([0, *ends], ends)]
+
+    def learn(self, stretches: set[bytes]) -> dict[bytes, bytes]:
+        """Ids by stretch, for those given at least. What is long is not remembered."""
+        known = self.known
+        fresh = [c for c in stretches if c not in known]
+        if len(known) + len(fresh) > REMEMBERED:
+            known.clear()
+            fresh = list(stretches)
+        own: dict[bytes, bytes] = {}
+        parts = {}
+        for c in fresh:
+            word = c.rstrip(MARKS)
+            # marks behind other signs would be one run with these
+            parts[c] = (word.lower(), c[len(word) :]) if _letters_only(word.decode()) else (c, b"")
+        new = [(p, p.decode()) for p in {p for pair in parts.values() for p in pair if p} if p not in known]
+        for letters, encode_some in ((True, self._letters), (False, self._each)):
+            group = [(p, t) for p, t in new if _letters_only(t) == letters]
+            for at in range(0, len(group), 1_000):
+                some = group[at : at + 1_000]
+                for (p, _), ids in zip(some, encode_some([t for _, t in some]), strict=True):
+                    (known if len(p) <= LONGEST else own)[p] = ids
+        for c, (word, marks) in parts.items():
+            ids = b"".join(known[p] if p in known else own[p] for p in (word, marks) if p)
+            (known if len(c) <= LONGEST else own)[c] = ids
+        return known if not own else {c: own[c] if c in own else known[c] for c in stretches}
+
+
+_encoders: dict[str, WordEncoder] = {}
 
 
 def encode(texts: list[bytes], path: str) -> Iterator[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers, without special tokens.
-
-    The tokenizer drops white space and never joins across it, so each stretch between ASCII white
-    space is encoded once and remembered.
-    """
-    tokenizer, known = _tokenizer(path)
+    """Ids of each text as little-endian unsigned 32-bit integers, without special tokens."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
     parts = [t.split() for t in texts]
-    fresh: set[bytes] = set()
+    stretches: set[bytes] = set()
     for p in parts:
-        fresh.update(p)
-    fresh = [w for w in fresh if w not in known]
-    if len(known) + len(fresh) > REMEMBERED:
-        known.clear()
-        fresh = list({w for p in parts for w in p})
-    own: dict[bytes, bytes] = {}
-    for start in range(0, len(fresh), 4_096):
-        some = fresh[start : start + 4_096]
-        for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-            (known if len(w) <= LONGEST else own)[w] = np.array(e.ids, dtype="<u4").tobytes()
+        stretches.update(p)
+    ids = _encoders[path].learn(stretches)
     for p in parts:
-        if own:
-            yield b"".join([known[w] if w in known else own[w] for w in p])
-        else:
-            yield b"".join(map(known.__getitem__, p))
+        yield b"".join(map(ids.__getitem__, p))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> DataFrame:
