@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import neighbours, packing, passages, quality_rules, secrets, sharding, simhash, toxicity, url_filter
+from shelfwise.llm import byte_bpe, neighbours, packing, passages, quality_rules, secrets, sharding, simhash, toxicity, url_filter
 from shelfwise.llm.common import saved, table
 from shelfwise.llm.url_filter import Rule, UrlModel
 
@@ -119,3 +119,14 @@ def op1_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_paragraph_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return passages.repeats(table(spark, folder, "documents"))
+
+
+@query
+def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    t = byte_bpe.tables(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = byte_bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), t)
+    return byte_bpe.decode(out, t).select(
+        "row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(byte_bpe.little_endian(F.col("ids")), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
