@@ -72,7 +72,6 @@ def main() -> None:
 
     def build_state():
         state["s"] = cr.build_state(hist, week, cal, articles, customers, settings)
-        state["a"] = materialize(ft.article_features(hist, week, articles, customers, cal))
 
     run("copurchase_edges", lambda: cop.copurchase_edges(hist, week, 400, 2))
     run("state_build", build_state)
@@ -81,7 +80,7 @@ def main() -> None:
     run("article_features", lambda: ft.article_features(hist, week, articles, customers, cal))
 
     def features(serve):
-        return fold_frame(fold, cal, articles, customers, settings, serve)
+        return fold_frame(fold, cal, articles, customers, settings, serve, state["s"])
 
     run("fold_features", lambda: features(None))
     run("all_customer_features", lambda: features(active_customers(tx, week)))

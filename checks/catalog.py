@@ -9,7 +9,7 @@ from shelfwise.operators import candidates as cand
 from shelfwise.operators import catalog as ct
 from shelfwise.operators import features as ft
 from shelfwise.schema import SOURCES
-from shelfwise.sources.tables import append_capped, customer_age_buckets
+from shelfwise.sources.tables import customer_age_buckets, judge_additions
 
 M = "article_id:s prod_name:s product_type_name:s colour_group_name:s"
 _M = "article_id, prod_name, product_type_name, colour_group_name"
@@ -111,8 +111,8 @@ register(
 register(
     "sample_shoppers", "customer_idx:i customer_id:s age_bucket:s channel:s n_purchases:l summary:s",
     lambda s: ct.sample_shoppers(s.history, s.customers, s.articles),
-    """SELECT customer_idx, customer_id, age_bucket, ch AS channel, n AS n_purchases, age_bucket || ' ' || ch || ' shopper with ' || n || ' purchases, mostly '
-    || coalesce(top_types, 'various items') || coalesce(', favouring ' || top_colour, '') || '.' AS summary FROM
+    """SELECT customer_idx, customer_id, age_bucket, ch AS channel, n AS n_purchases, n || ' purchases, most of them ' || ch || ', age group ' || age_bucket
+    || coalesce('; types: ' || top_types, '') || coalesce('; colour: ' || top_colour, '') AS summary FROM
     (SELECT * FROM (SELECT *, 0 AS late FROM chosen UNION ALL SELECT *, 1 FROM known ANTI JOIN chosen USING (customer_idx))
      ORDER BY late, CASE WHEN late = 1 THEN -n ELSE 0 END, customer_idx LIMIT 40) LEFT JOIN likes USING (customer_idx)""",
     {
@@ -140,8 +140,8 @@ register(
 register(
     "sales_by_article_age", "age_label:s sales:l n_articles:l share:d",
     lambda s: ct.sales_by_article_age(ft.article_features(s.history, WEEK, s.articles, s.customers, CAL)),
-    """SELECT CASE WHEN a_days_since_first_sale < 14 THEN 'Just launched' WHEN a_days_since_first_sale < 60 THEN 'Recently launched'
-    WHEN a_days_since_first_sale < 180 THEN 'Established' ELSE 'Mature' END AS age_label, sum(a_sales_1w) AS sales, count(*) AS n_articles,
+    """SELECT CASE WHEN a_days_since_first_sale < 14 THEN 'under 2 weeks' WHEN a_days_since_first_sale < 60 THEN 'under 60 days'
+    WHEN a_days_since_first_sale < 180 THEN 'under 180 days' ELSE 'older' END AS age_label, sum(a_sales_1w) AS sales, count(*) AS n_articles,
     sum(a_sales_1w) * 1e0 / (SELECT sum(a_sales_1w) FROM a_feat WHERE a_days_since_first_sale IS NOT NULL) AS share
     FROM a_feat WHERE a_days_since_first_sale IS NOT NULL GROUP BY 1""",
 )
@@ -159,13 +159,16 @@ def _profile_rows(s: Store):
 
 def _append(s: Store):
     held, new = _profile_rows(s)
-    kept = append_capped(held, new, 50)
-    return held.unionByName(kept).groupBy("profile_id").agg(F.count("*").alias("n_purchases"))
+    counts = held.groupBy("profile_id").agg(F.count("*").alias("held"))
+    judged = judge_additions(counts, new, 50).groupBy("profile_id").agg(F.count_if("accepted").alias("n_accepted"), F.count_if(~F.col("accepted")).alias("n_refused"))
+    every = counts.join(judged, "profile_id", "full").na.fill(0)
+    return every.withColumn("n_purchases", F.col("held") + F.col("n_accepted"))
 
 
 register(
-    "profile_purchase_append", "profile_id:i n_purchases:l", _append,
-    f"""SELECT customer_idx AS profile_id, CASE WHEN h >= 50 THEN h ELSE least(50, h + n) END AS n_purchases FROM
+    "profile_purchase_append", "profile_id:i n_purchases:l n_accepted:l n_refused:l", _append,
+    f"""SELECT customer_idx AS profile_id, CASE WHEN h + n <= 50 THEN h + n ELSE h END AS n_purchases, CASE WHEN h + n <= 50 THEN n ELSE 0 END AS n_accepted,
+    CASE WHEN h + n <= 50 THEN 0 ELSE n END AS n_refused FROM
     (SELECT customer_idx, count(*) FILTER (week_idx < {WEEK - 10}) AS h, count(*) FILTER (week_idx >= {WEEK - 10}) AS n FROM tx GROUP BY 1)""",
 )
 register(

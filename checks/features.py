@@ -84,7 +84,7 @@ def spec(group: str | None = None, extra: str = "") -> str:
 
 def frame(s: Store):
     if "features" not in s.kept:
-        s.kept["features"] = materialize(fold_frame(build_holdout_fold(s.tx, CAL), CAL, s.articles, s.customers, SETTINGS))
+        s.kept["features"] = materialize(fold_frame(build_holdout_fold(s.tx, CAL), CAL, s.articles, s.customers, SETTINGS, state=s.state()))
     return s.kept["features"]
 
 

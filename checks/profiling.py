@@ -29,8 +29,8 @@ register(
     "SELECT article_idx, product_code FROM art",
 )
 register(
-    "last_full_week", "last_day:t last_week:i", lambda s: last_full_week(s.tx),
-    "SELECT max(t_dat) AS last_day, max(week_idx) AS last_week FROM tx",
+    "last_full_week", "last_day:t last_week:i", lambda s: last_full_week(s.tx, CAL),
+    "SELECT max(t_dat) AS last_day, floor(datediff('day', DATE '1994-12-28', max(t_dat) - 6) / 7e0) AS last_week FROM tx",
 )
 
 

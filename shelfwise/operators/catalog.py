@@ -12,7 +12,7 @@ from shelfwise.schema import SEED
 
 META = ["article_id", "prod_name", "product_type_name", "colour_group_name"]
 # fixed values: purchase-count limits of the sampling segments
-ACTIVITY = {"cold-start": (0, 0), "light": (1, 4), "medium": (5, 19), "heavy": (20, 999_999)}
+ACTIVITY = {"cold-start": (0, 0), "light": (1, 4), "medium": (5, 19), "heavy": (20, None)}
 
 
 # --- articles -------------------------------------------------------------------
@@ -85,7 +85,8 @@ def sample_by_activity(history: DataFrame, customers: DataFrame, n: int = 5, see
     count = F.col("n_purchases")
     segment = F.lit(None).cast("string")
     for name, (lo, hi) in ACTIVITY.items():
-        segment = F.when(count.between(lo, hi), name).otherwise(segment)
+        within = count >= lo if hi is None else count.between(lo, hi)
+        segment = F.when(within, name).otherwise(segment)
     rows = activity_counts(history, customers).withColumn("segment", segment)
     rows = rows.withColumn("u", hash_uniform(seed, F.col("customer_idx")))
     best = top_k(rows, ["segment"], [F.asc("u"), F.asc("customer_idx")], n, "place")
@@ -164,10 +165,9 @@ def sample_shoppers(history: DataFrame, customers: DataFrame, articles: DataFram
     channel = F.when(F.col("n_store") * 2 >= F.col("n_purchases"), "store").otherwise("online")
     out = picked.join(likes, "customer_idx", "left").withColumn("channel", channel)
     sentence = F.concat(
-        F.format_string("%s %s shopper with %d purchases, mostly ", "age_bucket", "channel", "n_purchases"),
-        F.coalesce("top_types", F.lit("various items")),
-        F.coalesce(F.concat(F.lit(", favouring "), "top_colour"), F.lit("")),
-        F.lit("."),
+        F.format_string("%d purchases, most of them %s, age group %s", "n_purchases", "channel", "age_bucket"),
+        F.coalesce(F.concat(F.lit("; types: "), "top_types"), F.lit("")),
+        F.coalesce(F.concat(F.lit("; colour: "), "top_colour"), F.lit("")),
     )
     return out.select("customer_idx", "customer_id", "age_bucket", "channel", "n_purchases", sentence.alias("summary"))
 
@@ -226,7 +226,7 @@ def trend_by_age(segments: DataFrame, articles: DataFrame, n: int = 10) -> DataF
 def sales_by_article_age(features: DataFrame) -> DataFrame:
     """Share of last week's sales per article age. Limits in days are fixed values."""
     age = F.col("a_days_since_first_sale")
-    label = F.when(age < 14, "Just launched").when(age < 60, "Recently launched").when(age < 180, "Established").otherwise("Mature")
+    label = F.when(age < 14, "under 2 weeks").when(age < 60, "under 60 days").when(age < 180, "under 180 days").otherwise("older")
     rows = features.filter(age.isNotNull()).groupBy(label.alias("age_label")).agg(F.sum("a_sales_1w").alias("sales"), F.count("*").alias("n_articles"))
     total = rows.agg(F.sum("sales")).scalar()
     return rows.withColumn("share", safe_ratio(F.col("sales"), total))

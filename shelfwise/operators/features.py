@@ -18,17 +18,23 @@ ORDINAL = ("product_group_name", "index_group_name", "garment_group_name", "colo
 
 
 def customer_features(history: DataFrame, cutoff_week: int, customers: DataFrame, cal: Calendar) -> DataFrame:
-    """One row per customer with history, from one conditional aggregate."""
+    """One row per customer with history.
+
+    The rows are exchanged once by customer. Distinct articles, days and weeks are counted by
+    folding them there, not by a distinct aggregate, which would copy every row for each of them.
+    """
     w = F.col("week_idx")
     online = F.col("sales_channel_id") == 2
-    agg = history.groupBy("customer_idx").agg(
+    rows = history.select("customer_idx", "article_idx", "t_dat", "week_idx", "price", "sales_channel_id").repartition("customer_idx")
+    kinds = rows.groupBy("customer_idx", "article_idx").agg(F.lit(1).alias("one")).groupBy("customer_idx")
+    kinds = kinds.agg(F.count("*").alias("c_n_unique_articles"))
+    days = rows.groupBy("customer_idx", "week_idx", "t_dat").agg(F.lit(1).alias("one"))
+    days = days.groupBy("customer_idx", "week_idx").agg(F.count("*").alias("days")).groupBy("customer_idx")
+    days = days.agg(F.count("*").alias("c_n_active_weeks"), F.sum("days").alias("n_days"))
+    agg = rows.groupBy("customer_idx").agg(
         F.count("*").alias("c_n_purchases"),
         *[count_if(w >= cutoff_week - n).alias(f"c_n_purchases_{n}w") for n in (1, 4, 12)],
-        F.countDistinct("article_idx").alias("c_n_unique_articles"),
         (F.lit(cal.cutoff_day(cutoff_week)) - F.unix_date(F.max("t_dat"))).alias("c_days_since_last_purchase"),
-        F.countDistinct("week_idx").alias("c_n_active_weeks"),
-        # mean rows per shopping day
-        (F.count("*") / F.countDistinct("t_dat")).alias("c_avg_basket_size"),
         F.avg("price").alias("c_mean_price"),
         F.stddev_samp("price").alias("c_std_price"),
         share_of(online).alias("c_online_share"),
@@ -44,6 +50,9 @@ def customer_features(history: DataFrame, cutoff_week: int, customers: DataFrame
         F.coalesce(F.col("FN").cast("int"), F.lit(-1)).alias("c_FN"),
         F.coalesce(F.col("Active").cast("int"), F.lit(-1)).alias("c_Active"),
     )
+    agg = agg.join(kinds, "customer_idx").join(days, "customer_idx")
+    # mean rows per shopping day
+    agg = agg.withColumn("c_avg_basket_size", F.col("c_n_purchases") / F.col("n_days")).drop("n_days")
     out = agg.join(who, "customer_idx", "left")
     # a customer without a dimension row has null attributes, coded like null values
     coded = ("c_club_member_status", "c_fashion_news_frequency", "c_FN", "c_Active")
@@ -54,8 +63,7 @@ def customer_features(history: DataFrame, cutoff_week: int, customers: DataFrame
 
 
 def ordinal_codes(articles: DataFrame, columns=ORDINAL) -> DataFrame:
-    """Position of each category among the sorted distinct values of the whole dimension.
-    The codes are bytes, so a column has at most 128 categories."""
+    """Position of each category among the sorted distinct values of the whole dimension."""
     lists = articles.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in columns]).select(F.struct("*").alias("x"))
     coded = articles.withColumn("__lists", lists.scalar())
     return coded.select(
@@ -217,9 +225,8 @@ def add_interactions(
     ).drop("n_own", "last_own", "n_code", "last_code", "n_pg", "n_gg")
 
 
-def add_shares(x: DataFrame, history: DataFrame, cutoff_week: int, buckets: DataFrame, cal: Calendar) -> DataFrame:
-    totals = popularity_totals(history, cutoff_week, cal)
-    per_bucket = bucket_totals(history, cutoff_week, buckets)  # at most one row per age bucket
+def add_shares(x: DataFrame, totals: DataFrame, per_bucket: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Shares of the popularity scores. ``totals`` has one row, ``per_bucket`` at most one for each age bucket."""
     x = x.join(buckets, "customer_idx", "left").join(F.broadcast(per_bucket), "age_bucket", "left")
     return x.withColumns(
         {
@@ -243,10 +250,13 @@ def assemble(
     cal: Calendar,
     customer_history: DataFrame | None = None,
     article_table: DataFrame | None = None,
+    totals: DataFrame | None = None,
+    per_bucket: DataFrame | None = None,
 ) -> DataFrame:
     """Candidates with all features in double or integer precision.
 
-    ``customer_history`` may hold just the served customers' rows. The shared lists fill most
+    ``customer_history`` may hold just the served customers' rows. With the three last tables, which
+    a state has, ``history`` is not read at all. The shared lists fill most
     candidate rows with few articles, so their features are broadcast and only the remaining
     rows are joined by article.
     """
@@ -259,7 +269,9 @@ def assemble(
     x = left_join_hot(x, art, "article_idx", shared.select("article_idx"), "customer_idx")
     x = x.repartition("customer_idx").join(customer_features(mine, cutoff_week, customers, cal), "customer_idx", "left")
     x = add_interactions(x, mine, articles, cutoff_week, cal)
-    return add_shares(x, history, cutoff_week, buckets, cal)
+    totals = popularity_totals(history, cutoff_week, cal) if totals is None else totals
+    per_bucket = bucket_totals(history, cutoff_week, buckets) if per_bucket is None else per_bucket
+    return add_shares(x, totals, per_bucket, buckets)
 
 
 def add_labels(x: DataFrame, truth: DataFrame) -> DataFrame:

@@ -87,8 +87,7 @@ def shared_lists(last_week: DataFrame, decayed: DataFrame, segments: DataFrame,
         ],
     )
     pairs = _per_pair(tagged, list(SHARED_SOURCES), keys)
-    budget = 10_000  # above the sum of the list limits: ranks every entry
-    ranked = top_k(pairs, ["age_bucket"], _BEST_FIRST, budget, "pos")
+    ranked = pairs.withColumn("pos", F.row_number().over(W.partitionBy("age_bucket").orderBy(*_BEST_FIRST)))
     return ranked.select(*keys, "pos", "best.prio", "best.source_rank", "best.source", *_score_columns(SHARED_SOURCES))
 
 

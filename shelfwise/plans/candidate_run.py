@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions.columns import age_bucket
 from shelfwise.operators import candidates as cand
 from shelfwise.operators import copurchase as cop
+from shelfwise.operators import features as ft
 from shelfwise.operators.merge import merge_with_shared_lists, shared_lists
 from shelfwise.schema import (
     AGE_BUCKETS,
@@ -51,6 +52,9 @@ class CandidateState:
     segments: DataFrame
     shared: DataFrame
     settings: RunSettings
+    article_table: DataFrame  # features of all articles
+    popularity_totals: DataFrame  # one row
+    bucket_totals: DataFrame  # one row per age bucket
 
     def tables(self) -> dict[str, DataFrame]:
         return {
@@ -58,6 +62,9 @@ class CandidateState:
             "popularity_last_week": self.last_week,
             "popularity_decayed": self.decayed,
             "segment_popular": self.segments,
+            "article_features": self.article_table,
+            "popularity_totals": self.popularity_totals,
+            "bucket_totals": self.bucket_totals,
         }
 
 
@@ -86,6 +93,9 @@ def build_state(
         segments=segments,
         shared=materialize(shared_lists(last_week, decayed, segments, list(AGE_BUCKETS))),
         settings=s,
+        article_table=materialize(ft.article_features(history, week, articles, customers, cal)),
+        popularity_totals=materialize(ft.popularity_totals(history, week, cal)),
+        bucket_totals=materialize(ft.bucket_totals(history, week, buckets)),
     )
 
 

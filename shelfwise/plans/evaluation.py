@@ -23,7 +23,6 @@ def metric_suite(
     n_boot: int = 1000,
     seed: int = SEED,
     k: int = METRIC_K,
-    coverage_boot: int = 200,
     ranks: DataFrame | None = None,
 ) -> DataFrame:
     """One wide row: accuracy, hit rate, coverage, popularity bias, repeat and novelty share with
@@ -52,7 +51,7 @@ def metric_suite(
             for side, q in (("lo", 0.025), ("hi", 0.975))
         ]
     ).select(F.struct("*")).scalar()
-    cov = rs.bootstrap_coverage(preds, history, min(n_boot, coverage_boot), seed).select(
+    cov = rs.bootstrap_coverage(preds, history, n_boot, seed).select(
         F.struct("coverage", F.col("ci_lo").alias("coverage_lo"), F.col("ci_hi").alias("coverage_hi"), F.col("bias").alias("coverage_bias"))
     ).scalar()
     point = table.agg(

@@ -8,7 +8,7 @@ from shelfwise.operators import features as ft
 from shelfwise.plans import candidate_run as cr
 from shelfwise.schema import SEED, Calendar
 from shelfwise.session import materialize
-from shelfwise.sources.splits import Fold, build_fold
+from shelfwise.sources.splits import Fold, build_fold, check_no_future_rows
 
 
 def fold_frame(
@@ -18,18 +18,22 @@ def fold_frame(
     customers: DataFrame,
     settings: cr.RunSettings | None = None,
     serve: DataFrame | None = None,
+    state: cr.CandidateState | None = None,
 ) -> DataFrame:
-    """Untyped candidate rows with features and labels; ``serve`` defaults to the fold's buyers.
+    """Untyped candidate rows with features and labels; ``serve`` defaults to the fold's buyers, ``state``
+    to one that is built here.
 
     The merged candidates are written once (checkpoint), since the article, customer and
     interaction branches all start from them.
     """
-    state = cr.build_state(fold.history, fold.week, cal, articles, customers, settings)
+    check_no_future_rows(fold.history, fold.week)
+    state = state or cr.build_state(fold.history, fold.week, cal, articles, customers, settings)
     who = fold.eval_customers if serve is None else serve
     merged = materialize(cr.generate(fold.history, who, state))
     mine = fold.history.join(who.select("customer_idx"), "customer_idx", "left_semi")
     x = ft.assemble(
-        merged, fold.history, fold.week, articles, customers, state.buckets, state.shared, cal, customer_history=mine
+        merged, fold.history, fold.week, articles, customers, state.buckets, state.shared, cal, customer_history=mine,
+        article_table=state.article_table, totals=state.popularity_totals, per_bucket=state.bucket_totals,
     )
     return ft.add_labels(x, fold.truth)
 

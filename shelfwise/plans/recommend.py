@@ -24,7 +24,8 @@ def candidate_features(
     own = cr.personal_sources(served_history, who, state, history)
     merged = materialize(cr.merge_with_shared_lists(own, state.shared, who, state.buckets, state.settings.budget))
     return ft.assemble(
-        merged, history, state.week, state.articles, customers, state.buckets, state.shared, cal, customer_history=served_history
+        merged, history, state.week, state.articles, customers, state.buckets, state.shared, cal, customer_history=served_history,
+        article_table=state.article_table, totals=state.popularity_totals, per_bucket=state.bucket_totals,
     )
 
 

@@ -123,6 +123,7 @@ def _group(group: str, **names: T.DataType) -> list[Feature]:
     return [Feature(n, t, group) for n, t in names.items()]
 
 
+# fixed values: names, order and groups of the features
 FEATURES: list[Feature] = (
     [Feature("final_rank", _INT, "candidate"), Feature("n_sources", _BYTE, "candidate")]
     + [f for s in SOURCES for f in _source_features(s)]
@@ -138,9 +139,10 @@ FEATURES: list[Feature] = (
         a_sales_1w=_INT, a_sales_2w=_INT, a_sales_4w=_INT, a_unique_buyers_1w=_INT, a_trend_ratio=_FLOAT,
         a_days_since_first_sale=_FLOAT, a_censored_flag=_BYTE, a_days_since_last_sale=_FLOAT,
         a_mean_price_4w=_FLOAT, a_price_vs_own_history=_FLOAT, a_repurchase_rate=_FLOAT,
-        a_mean_buyer_age_12w=_FLOAT, a_std_buyer_age_12w=_FLOAT, a_product_type_no=_SHORT,
-        a_product_group_name=_BYTE, a_index_group_name=_BYTE, a_garment_group_name=_BYTE,
-        a_colour_group_name=_BYTE, a_section_name=_BYTE, a_department_no=_SHORT,
+        a_mean_buyer_age_12w=_FLOAT, a_std_buyer_age_12w=_FLOAT, a_product_type_no=_INT,
+        # codes by rank: integers, so that no number of categories overflows them
+        a_product_group_name=_INT, a_index_group_name=_INT, a_garment_group_name=_INT,
+        a_colour_group_name=_INT, a_section_name=_INT, a_department_no=_INT,
     )
     + _group(
         "interaction",

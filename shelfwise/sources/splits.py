@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.columns import week_end, week_start
+from shelfwise.functions.columns import week_end, week_index, week_start
 from shelfwise.schema import Calendar
 
 
@@ -52,9 +52,10 @@ def active_customers(tx: DataFrame, week: int) -> DataFrame:
     return before_week(tx, week).select("customer_idx").distinct()
 
 
-def last_full_week(tx: DataFrame) -> DataFrame:
-    """One row: the last week whose seven days all lie within the data."""
-    return tx.agg(F.max("t_dat").alias("last_day"), F.max("week_idx").alias("last_week"))
+def last_full_week(tx: DataFrame, cal: Calendar) -> DataFrame:
+    """One row: the last day, and the last week whose seven days all lie up to it: that of the day six days before."""
+    last = F.max("t_dat")
+    return tx.agg(last.alias("last_day"), week_index(F.date_sub(last, 6), cal).alias("last_week"))
 
 
 def fold_overview(tx: DataFrame, weeks: list[int], cal: Calendar) -> DataFrame:

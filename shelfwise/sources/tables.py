@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import age_bucket, week_index
@@ -217,10 +216,12 @@ def load_exported(spark: SparkSession, path: str, verify: bool = True) -> dict[s
     return tables
 
 
-def append_capped(purchases: DataFrame, new: DataFrame, cap: int) -> DataFrame:
-    """Rows of ``new`` that keep each profile within ``cap`` purchases (oldest first)."""
-    held = purchases.groupBy("profile_id").agg(F.count("*").alias("held"))
-    w = W.partitionBy("profile_id").orderBy("created_at", "id")
-    ranked = new.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= cap)
-    room = ranked.join(held, "profile_id", "left").withColumn("held", F.coalesce("held", F.lit(0)))
-    return room.filter(F.col("held") + F.col("rn") <= cap).select(*new.columns)
+def judge_additions(held: DataFrame, new: DataFrame, cap: int) -> DataFrame:
+    """All rows of ``new`` with ``accepted``. ``held`` has (profile_id, held), the purchases a profile has.
+
+    A profile's addition that would bring it above ``cap`` is refused as a whole; nothing is dropped.
+    """
+    sizes = new.groupBy("profile_id").agg(F.count("*").alias("__n"))
+    room = sizes.join(held.select("profile_id", F.col("held").alias("__held")), "profile_id", "left")
+    fits = room.select("profile_id", (F.coalesce("__held", F.lit(0)) + F.col("__n") <= cap).alias("accepted"))
+    return new.join(fits, "profile_id")

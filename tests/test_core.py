@@ -240,3 +240,12 @@ def test_fact_round_trip_and_fold_store(spark, make_tx, tmp_path):
     assert tables.read_folds(spark, str(tmp_path / "s"), [101]).count() == 6
     tables.write_holdout_features(x, str(tmp_path / "p"), str(tmp_path / "l"))
     assert spark.read.parquet(str(tmp_path / "p")).filter("label <> -1").count() == 0
+
+
+def test_last_full_week_of_a_short_last_week(spark):
+    from shelfwise.sources.splits import last_full_week
+
+    start = CAL.week_bounds(12)[0]
+    for days, want in ((0, 11), (5, 11), (6, 12), (7, 12)):
+        tx = spark.createDataFrame([(start + dt.timedelta(days=days),)], "t_dat date")
+        assert last_full_week(tx, CAL).first().last_week == want
