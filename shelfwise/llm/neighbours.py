@@ -210,39 +210,57 @@ def nearest(vectors: DataFrame, is_query: Column, how: Search = Search(), vector
             best = router.scores(_matrix(b.column(2))).argmax(axis=1) if b.num_rows else np.empty(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best.astype(np.int32))], names=["key1", "key2", "v", "ids", "part"])
 
+    # neighbouring parts of the bisection go together into bundles of about a task's candidates
+    bundles = min(parts, max(1, -(-n // how.block)))
+    bundle_of = np.arange(parts) * bundles // parts
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = router.scores(_matrix(b.column(2))) if b.num_rows else np.empty((0, parts))
-            order = np.argsort(-s, axis=1, kind="stable")[:, :probes].astype(np.int32)
-            lists = pa.ListArray.from_arrays(np.arange(0, order.size + 1, probes, dtype=np.int32), pa.array(order.ravel()))
-            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=["key1", "key2", "v", "parts"])
+            probed = np.sort(np.argsort(-s, axis=1, kind="stable")[:, :probes], axis=1)
+            row, bundle, lists = [], [], []
+            for i, own in enumerate(probed):
+                for g in np.unique(bundle_of[own]).tolist():
+                    row.append(i)
+                    bundle.append(g)
+                    lists.append(own[bundle_of[own] == g].tolist())
+            taken = b.take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*taken.columns, pa.array(bundle, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["key1", "key2", "v", "bundle", "parts"]
+            )
 
     indexed = saved(distinct.mapInArrow(index, "key1 bigint, key2 bigint, v array<double>, ids array<bigint>, part int"))
     asked = rows.filter(is_query)
     queries = asked.select("key1", "key2", "v").dropDuplicates(keys)
-    routed = saved(queries.mapInArrow(route, "key1 bigint, key2 bigint, v array<double>, parts array<int>"))
-    routed = routed.select("key1", "key2", "v", F.explode("parts").alias("part"))
-    # at most ``most_parts`` rows: how many blocks of candidates and of queries each part is dealt into
-    size = {r["part"]: -(-r["count"] // how.block) for r in indexed.groupBy("part").count().collect()}
-    load = {r["part"]: -(-r["count"] // how.queries) for r in routed.groupBy("part").count().collect()}
-    deal = vectors.sparkSession.createDataFrame([(p, size[p], load.get(p, 1)) for p in size], "part int, blocks int, turns int")
+    routed = saved(queries.mapInArrow(route, "key1 bigint, key2 bigint, v array<double>, bundle int, parts array<int>"))
+    indexed = indexed.withColumn("bundle", F.floor(F.col("part") * bundles / parts).cast("int"))
+    # at most ``most_parts`` rows: how many blocks of candidates and of queries each bundle is dealt into
+    size = {r["bundle"]: -(-r["count"] // how.block) for r in indexed.groupBy("bundle").count().collect()}
+    load = {r["bundle"]: -(-r["count"] // how.queries) for r in routed.groupBy("bundle").count().collect()}
+    deal = vectors.sparkSession.createDataFrame([(g, size[g], load.get(g, 1)) for g in size], "bundle int, blocks int, turns int")
     chunk = F.xxhash64("key1", "key2")
-    left = indexed.join(F.broadcast(deal), "part").withColumn("block", F.pmod(chunk, F.col("blocks")).cast("int"))
-    left = left.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).select("part", "block", "turn", "v", "ids")
-    right = routed.join(F.broadcast(deal), "part").withColumn("turn", F.pmod(chunk, F.col("turns")).cast("int"))
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("part", "block", "turn", "v", *keys)
-    group = ["part", "block", "turn"]
+    left = indexed.join(F.broadcast(deal), "bundle").withColumn("block", F.pmod(chunk, F.col("blocks")).cast("int"))
+    left = left.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).select("bundle", "block", "turn", "part", "v", "ids")
+    right = routed.join(F.broadcast(deal), "bundle").withColumn("turn", F.pmod(chunk, F.col("turns")).cast("int"))
+    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bundle", "block", "turn", "parts", "v", *keys)
+    group = ["bundle", "block", "turn"]
 
     def rank(c: pa.Table, q: pa.Table) -> pa.Table:
-        a, b, ids, scores = [], [], [], []
+        best: list[list[tuple[float, int]]] = [[] for _ in range(len(q))]
         if len(c) and len(q):
-            best = _best(_matrix(q.column("v")), _matrix(c.column("v")), c.column("ids").to_pylist(), more)
-            for k1, k2, (i, s) in zip(q.column("key1").to_pylist(), q.column("key2").to_pylist(), best, strict=True):
-                a += [k1] * len(i)
-                b += [k2] * len(i)
-                ids += i
-                scores += s
-        return pa.table({"key1": pa.array(a, pa.int64()), "key2": pa.array(b, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64())})
+            x, own, ids = _matrix(c.column("v")), _matrix(q.column("v")), c.column("ids").to_pylist()
+            part, lists = c.column("part").to_numpy(), q.column("parts").combine_chunks()
+            asks, asked_part = np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+            for p in np.unique(part).tolist():
+                there, who = np.flatnonzero(part == p), asks[asked_part == p]
+                for i, (found, scores) in zip(who.tolist(), _best(own[who], x[there], [ids[j] for j in there.tolist()], more), strict=True):
+                    best[i] += zip([-v for v in scores], found, strict=True)
+        best = [sorted(pairs)[:more] for pairs in best]
+        count = [len(pairs) for pairs in best]
+        return pa.table({
+            "key1": np.repeat(q.column("key1").to_numpy(), count), "key2": np.repeat(q.column("key2").to_numpy(), count),
+            "vec_id": pa.array([i for pairs in best for _, i in pairs], pa.int64()), "score": pa.array([-v for pairs in best for v, _ in pairs], pa.float64()),
+        })
 
     met = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(rank, "key1 bigint, key2 bigint, vec_id bigint, score double")
     best = top_k(met, keys, [F.col("score").desc(), F.col("vec_id").asc()], more, rank="at")
