@@ -154,19 +154,19 @@ def register(
 
 # --- shared SQL parts ------------------------------------------------------------
 
-CTE["tx"] = """SELECT CAST(o_custkey AS INTEGER) AS customer_idx, CAST(l_partkey AS INTEGER) AS article_idx,
+CTE["tx"] = """SELECT CAST(o_custkey AS BIGINT) AS customer_idx, CAST(l_partkey AS BIGINT) AS article_idx,
   CAST(o_orderdate AS DATE) AS t_dat, l_extendedprice / l_quantity AS price,
   CASE l_linestatus WHEN 'O' THEN 2 ELSE 1 END AS sales_channel_id,
   CAST(floor(datediff('day', DATE '1994-12-28', CAST(o_orderdate AS DATE)) / 7e0) AS INTEGER) AS week_idx
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
-CTE["cust"] = """SELECT CAST(c_custkey AS INTEGER) AS customer_idx, c_name AS customer_id,
+CTE["cust"] = """SELECT CAST(c_custkey AS BIGINT) AS customer_idx, c_name AS customer_id,
   CASE WHEN c_custkey % 50 <> 0 THEN CAST(18 + (c_custkey * 7) % 60 AS DOUBLE) END AS age,
   CASE WHEN c_acctbal > 5000 THEN 1e0 END AS FN, CASE WHEN c_acctbal > 0 THEN 1e0 ELSE 0e0 END AS Active,
   CASE c_mktsegment WHEN 'BUILDING' THEN NULL WHEN 'MACHINERY' THEN 'PRE-CREATE' ELSE 'ACTIVE' END AS club_member_status,
   CASE c_mktsegment WHEN 'BUILDING' THEN NULL WHEN 'HOUSEHOLD' THEN 'Monthly' WHEN 'FURNITURE' THEN 'NONE'
     ELSE 'Regularly' END AS fashion_news_frequency
   FROM customer"""
-CTE["art"] = """SELECT CAST(p_partkey AS INTEGER) AS article_idx, lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS article_id,
+CTE["art"] = """SELECT CAST(p_partkey AS BIGINT) AS article_idx, lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS article_id,
   p_name AS prod_name, p_brand || '|' || p_type AS product_code, p_size AS product_type_no,
   split_part(p_name, ' ', 2) AS product_type_name, p_type AS product_group_name, p_type AS index_group_name,
   p_brand AS garment_group_name, split_part(p_name, ' ', 1) AS colour_group_name,

@@ -12,7 +12,7 @@ from shelfwise.operators import metrics as mt
 from shelfwise.plans import candidate_run as cr
 from shelfwise.sources import splits
 
-C = "customer_idx:i article_idx:i score:d source_rank:i"
+C = "customer_idx:l article_idx:l score:d source_rank:i"
 RN = "row_number() OVER (PARTITION BY customer_idx ORDER BY {})"
 
 
@@ -80,7 +80,7 @@ CTE["merged"] = f"""SELECT * FROM (SELECT customer_idx, article_idx, arg_min(sou
   row_number() OVER (PARTITION BY customer_idx ORDER BY min(prio * 1000 + source_rank)) AS final_rank, {_PIVOT}
   FROM tagged GROUP BY customer_idx, article_idx) WHERE final_rank <= 200"""
 CTE["preds"] = "SELECT customer_idx, article_idx, final_rank AS pos FROM merged WHERE final_rank <= 12"
-MERGED = "customer_idx:i article_idx:i final_source:s final_rank:i " + " ".join(
+MERGED = "customer_idx:l article_idx:l final_source:s final_rank:i " + " ".join(
     f"{s}_score:d {s}_rank:i" for s in NAMES
 )
 
@@ -95,7 +95,7 @@ register(
     "SELECT * FROM c_code",
 )
 register(
-    "copurchase_edges", "seed_article:i candidate_article:i cosine_score:d",
+    "copurchase_edges", "seed_article:l candidate_article:l cosine_score:d",
     lambda s: cop.copurchase_edges(s.history, WEEK, SETTINGS.basket_weeks, SETTINGS.min_pair_count), "SELECT * FROM edges",
 )
 register(
@@ -116,7 +116,7 @@ register(
     lambda s: cand.popularity_decayed(s.history, WEEK, s.eval_customers, CAL), "SELECT * FROM c_dec",
 )
 register(
-    "candidates_popularity_exponential", "article_idx:i score:d source_rank:i",
+    "candidates_popularity_exponential", "article_idx:l score:d source_rank:i",
     lambda s: cand.decayed_top(s.history, WEEK, CAL, decay="exp"),
     f"""SELECT article_idx, round(sum(power(0.5e0, datediff('day', t_dat, DATE '1994-12-28' + {WEEK * 7}) / 7e0)), 9) AS score,
     row_number() OVER (ORDER BY round(sum(power(0.5e0, datediff('day', t_dat, DATE '1994-12-28' + {WEEK * 7}) / 7e0)), 9) DESC, article_idx) AS source_rank
@@ -163,7 +163,7 @@ register(
     {**EVERYONE, "sz": "SELECT customer_idx, count(*) AS n FROM merged GROUP BY customer_idx"},
 )
 register(
-    "active_customers", "customer_idx:i", lambda s: splits.active_customers(s.tx, WEEK),
+    "active_customers", "customer_idx:l", lambda s: splits.active_customers(s.tx, WEEK),
     "SELECT DISTINCT customer_idx FROM hist",
 )
 
@@ -299,7 +299,7 @@ CTE["prior"] = """SELECT e.customer_idx, count(h.article_idx) AS prior_count FRO
 CTE["segs"] = """SELECT customer_idx, prior_count, CASE WHEN prior_count = 0 THEN '0' WHEN prior_count <= 4 THEN '1-4'
   WHEN prior_count <= 19 THEN '5-19' ELSE '20+' END AS segment FROM prior"""
 register(
-    "purchase_segments", "customer_idx:i prior_count:l segment:s",
+    "purchase_segments", "customer_idx:l prior_count:l segment:s",
     lambda s: ev.purchase_segments(s.history, s.eval_customers), "SELECT * FROM segs",
 )
 register(

@@ -24,25 +24,25 @@ def sales(s: Store):
 
 
 register(
-    "article_metadata", "customer_idx:i article_idx:i pos:i " + M,
+    "article_metadata", "customer_idx:l article_idx:l pos:i " + M,
     lambda s: ct.with_metadata(lists(s)["base_b"], s.articles),
     f"SELECT customer_idx, base_b.article_idx, pos, {_M} FROM base_b JOIN art USING (article_idx)",
 )
 register(
-    "article_search", "article_idx:i " + M, lambda s: ct.search(s.articles, "RED", 50),
+    "article_search", "article_idx:l " + M, lambda s: ct.search(s.articles, "RED", 50),
     f"""SELECT article_idx, {_M} FROM art WHERE contains(lower(prod_name), 'red') OR contains(lower(product_type_name), 'red')
     OR contains(lower(colour_group_name), 'red') ORDER BY article_idx LIMIT 50""",
 )
 register(
-    "trending_articles", "article_idx:i rank:i sales_last_week:l " + M, lambda s: ct.trending(top_last_week(s), s.articles),
+    "trending_articles", "article_idx:l rank:i sales_last_week:l " + M, lambda s: ct.trending(top_last_week(s), s.articles),
     f"SELECT article_idx, source_rank AS rank, score AS sales_last_week, {_M} FROM lw_top JOIN art USING (article_idx) WHERE source_rank <= 20",
 )
 register(
-    "popularity_fallback", "article_idx:i rank:i sales_last_week:l " + M, lambda s: ct.trending(top_last_week(s), s.articles, 12),
+    "popularity_fallback", "article_idx:l rank:i sales_last_week:l " + M, lambda s: ct.trending(top_last_week(s), s.articles, 12),
     f"SELECT article_idx, source_rank AS rank, score AS sales_last_week, {_M} FROM lw_top JOIN art USING (article_idx) WHERE source_rank <= 12",
 )
 register(
-    "browse_catalogue", "article_idx:i sales:l total:l " + M,
+    "browse_catalogue", "article_idx:l sales:l total:l " + M,
     lambda s: ct.browse(s.articles, sales(s), {"product_group_name": "economy"}, "r", 24, 24),
     f"""SELECT article_idx, sales, count(*) OVER () AS total, {_M} FROM art LEFT JOIN (SELECT article_idx, count(*) AS sales FROM hist
     WHERE week_idx >= {WEEK - 4} GROUP BY 1) USING (article_idx) WHERE lower(product_group_name) = 'economy' AND contains(lower(prod_name), 'r')
@@ -54,32 +54,32 @@ register(
     " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS column_name, {c} AS value FROM art" for c in _FV),
 )
 register(
-    "customer_id_lookup", "customer_id:s customer_idx:i",
+    "customer_id_lookup", "customer_id:s customer_idx:l",
     lambda s: ct.id_lookup(s.table("customer").select(F.col("c_name").alias("customer_id")), s.customers),
     "SELECT customer_id, customer_idx FROM cust",
 )
 _SEG = "CASE WHEN n = 0 THEN 'cold-start' WHEN n <= 4 THEN 'light' WHEN n <= 19 THEN 'medium' ELSE 'heavy' END"
 register(
-    "sample_by_activity", "segment:s place:i customer_idx:i customer_id:s age_bucket:s", lambda s: ct.sample_by_activity(s.history, s.customers),
+    "sample_by_activity", "segment:s place:i customer_idx:l customer_id:s age_bucket:s", lambda s: ct.sample_by_activity(s.history, s.customers),
     f"""SELECT * FROM (SELECT {_SEG} AS segment, row_number() OVER (PARTITION BY {_SEG} ORDER BY
       CAST('0x' || substr(md5(customer_idx || '|42'), 1, 8) AS BIGINT), customer_idx) AS place, customer_idx, customer_id, age_bucket
       FROM cust JOIN bucket USING (customer_idx) LEFT JOIN (SELECT customer_idx, count(*) AS n0 FROM hist GROUP BY 1) USING (customer_idx),
       LATERAL (SELECT coalesce(n0, 0) AS n)) WHERE place <= 5""",
 )
 register(
-    "customer_profiles", "customer_idx:i customer_id:s age_bucket:s n_purchases:l n_last_4_weeks:l n_articles:l last_purchase:t",
+    "customer_profiles", "customer_idx:l customer_id:s age_bucket:s n_purchases:l n_last_4_weeks:l n_articles:l last_purchase:t",
     lambda s: ct.customer_profiles(s.history, s.customers, WEEK),
     f"""SELECT customer_idx, any_value(customer_id) AS customer_id, any_value(age_bucket) AS age_bucket, count(*) AS n_purchases,
     count(*) FILTER (week_idx >= {WEEK - 4}) AS n_last_4_weeks, count(DISTINCT article_idx) AS n_articles, max(t_dat) AS last_purchase
     FROM hist JOIN cust USING (customer_idx) JOIN bucket USING (customer_idx) GROUP BY customer_idx""",
 )
 register(
-    "recent_purchases", "customer_idx:i place:i article_idx:i bought_on:t " + M, lambda s: ct.recent_purchases(s.history, s.articles),
+    "recent_purchases", "customer_idx:l place:i article_idx:l bought_on:t " + M, lambda s: ct.recent_purchases(s.history, s.articles),
     f"""SELECT customer_idx, place, article_idx, bought_on, {_M} FROM (SELECT customer_idx, article_idx, max(t_dat) AS bought_on,
     row_number() OVER (PARTITION BY customer_idx ORDER BY max(t_dat) DESC, article_idx) AS place FROM hist GROUP BY 1, 2) JOIN art USING (article_idx) WHERE place <= 10""",
 )
 register(
-    "actual_purchases", "customer_idx:i article_idx:i " + M, lambda s: ct.actual_purchases(s.truth, s.articles),
+    "actual_purchases", "customer_idx:l article_idx:l " + M, lambda s: ct.actual_purchases(s.truth, s.articles),
     f"SELECT customer_idx, article_idx, {_M} FROM truth JOIN art USING (article_idx)",
 )
 CTE["likes"] = """SELECT customer_idx, top_types, top_colour FROM (SELECT customer_idx, string_agg(product_type_name, ' and ' ORDER BY r) AS top_types FROM
@@ -88,7 +88,7 @@ CTE["likes"] = """SELECT customer_idx, top_types, top_colour FROM (SELECT custom
    row_number() OVER (PARTITION BY customer_idx ORDER BY count(DISTINCT article_idx) DESC, colour_group_name) AS r
    FROM hist JOIN art USING (article_idx) GROUP BY 1, 2 QUALIFY r = 1) USING (customer_idx)"""
 register(
-    "preference_summary", "customer_idx:i top_types:s top_colour:s", lambda s: ct.preference_summary(s.history, s.articles), "SELECT * FROM likes"
+    "preference_summary", "customer_idx:l top_types:s top_colour:s", lambda s: ct.preference_summary(s.history, s.articles), "SELECT * FROM likes"
 )
 
 
@@ -99,7 +99,7 @@ def _compare(s: Store):
 
 
 register(
-    "compare_customers", "left_idx:i right_idx:i left_top_types:s right_top_types:s left_top_colour:s right_top_colour:s n_shared:i", _compare,
+    "compare_customers", "left_idx:l right_idx:l left_top_types:s right_top_types:s left_top_colour:s right_top_colour:s n_shared:i", _compare,
     """SELECT a.customer_idx AS left_idx, b.customer_idx AS right_idx, x.top_types AS left_top_types, y.top_types AS right_top_types, x.top_colour AS left_top_colour,
     y.top_colour AS right_top_colour, len(list_intersect(a.l, b.l)) AS n_shared FROM own12 a JOIN own12 b ON b.customer_idx = a.customer_idx + 1
     JOIN likes x ON x.customer_idx = a.customer_idx JOIN likes y ON y.customer_idx = b.customer_idx""",
@@ -109,7 +109,7 @@ register(
     },
 )
 register(
-    "sample_shoppers", "customer_idx:i customer_id:s age_bucket:s channel:s n_purchases:l summary:s",
+    "sample_shoppers", "customer_idx:l customer_id:s age_bucket:s channel:s n_purchases:l summary:s",
     lambda s: ct.sample_shoppers(s.history, s.customers, s.articles),
     """SELECT customer_idx, customer_id, age_bucket, ch AS channel, n AS n_purchases, n || ' purchases, most of them ' || ch || ', age group ' || age_bucket
     || coalesce('; types: ' || top_types, '') || coalesce('; colour: ' || top_colour, '') AS summary FROM
@@ -124,7 +124,7 @@ register(
 )
 _SRC = " || ".join(f"CASE WHEN {s}_rank IS NOT NULL THEN ',{s}' ELSE '' END" for s in NAMES)
 register(
-    "candidate_funnel", "customer_idx:i article_idx:i final_source:s final_rank:i sources:s n_sources:i",
+    "candidate_funnel", "customer_idx:l article_idx:l final_source:s final_rank:i sources:s n_sources:i",
     lambda s: ct.candidate_funnel(s.merged, SOURCES), f"SELECT *, substr({_SRC}, 2) AS sources FROM cand_feat",
 )
 register(
@@ -133,7 +133,7 @@ register(
     FROM lw_top JOIN art USING (article_idx) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""",
 )
 register(
-    "trend_by_age", "age_bucket:s rank:i article_idx:i sales:l prod_name:s",
+    "trend_by_age", "age_bucket:s rank:i article_idx:l sales:l prod_name:s",
     lambda s: ct.trend_by_age(cand.segment_top(s.history, WEEK, customer_age_buckets(s.customers)), s.articles),
     "SELECT age_bucket, source_rank AS rank, article_idx, score AS sales, prod_name FROM seg_top JOIN art USING (article_idx) WHERE source_rank <= 10 AND age_bucket <> 'missing'",
 )
@@ -166,13 +166,13 @@ def _append(s: Store):
 
 
 register(
-    "profile_purchase_append", "profile_id:i n_purchases:l n_accepted:l n_refused:l", _append,
+    "profile_purchase_append", "profile_id:l n_purchases:l n_accepted:l n_refused:l", _append,
     f"""SELECT customer_idx AS profile_id, CASE WHEN h + n <= 50 THEN h + n ELSE h END AS n_purchases, CASE WHEN h + n <= 50 THEN n ELSE 0 END AS n_accepted,
     CASE WHEN h + n <= 50 THEN 0 ELSE n END AS n_refused FROM
     (SELECT customer_idx, count(*) FILTER (week_idx < {WEEK - 10}) AS h, count(*) FILTER (week_idx >= {WEEK - 10}) AS n FROM tx GROUP BY 1)""",
 )
 register(
-    "profile_list", "profile_id:i customer_id:s n_purchases:l last_purchase:t",
+    "profile_list", "profile_id:l customer_id:s n_purchases:l last_purchase:t",
     lambda s: ct.profile_list(
         s.customers.select(F.col("customer_idx").alias("profile_id"), "customer_id"), _profile_rows(s)[0]
     ),

@@ -89,24 +89,24 @@ def frame(s: Store):
 
 
 register(
-    "customer_features", spec("customer", "customer_idx:i"),
+    "customer_features", spec("customer", "customer_idx:l"),
     lambda s: ft.customer_features(s.history, WEEK, s.customers, CAL), "SELECT * FROM c_feat",
 )
 register(
-    "article_features", spec("article", "article_idx:i") + " online_share_4w:d",
+    "article_features", spec("article", "article_idx:l") + " online_share_4w:d",
     lambda s: ft.article_features(s.history, WEEK, s.articles, s.customers, CAL), "SELECT * FROM a_feat",
 )
 register(
-    "ordinal_codes", "article_idx:i " + " ".join(f"a_{c}:i" for c in ft.ORDINAL),
+    "ordinal_codes", "article_idx:l " + " ".join(f"a_{c}:i" for c in ft.ORDINAL),
     lambda s: ft.ordinal_codes(s.articles), "SELECT * FROM codes",
 )
 register(
     "popularity_totals", "units_last_week:l units_decayed:d",
     lambda s: ft.popularity_totals(s.history, WEEK, CAL), "SELECT u1 AS units_last_week, ud AS units_decayed FROM pop_totals",
 )
-register("fold_features", spec(None, "customer_idx:i article_idx:i label:i"), frame, "SELECT * FROM features")
+register("fold_features", spec(None, "customer_idx:l article_idx:l label:i"), frame, "SELECT * FROM features")
 register(
-    "fold_features_downsampled", "customer_idx:i article_idx:i label:i final_rank:i",
+    "fold_features_downsampled", "customer_idx:l article_idx:l label:i final_rank:i",
     lambda s: ft.downsample_negatives(frame(s), 0.2, 42, portable=True),
     """SELECT * FROM features WHERE label = 1
     OR CAST('0x' || substr(md5(customer_idx || '|' || article_idx || '|42'), 1, 8) AS BIGINT) / 4294967296e0 < 0.2e0""",

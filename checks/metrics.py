@@ -49,7 +49,7 @@ def lists(s: Store) -> dict:
     }
 
 
-U = "customer_idx:i n_truth:l n_hits:l ap:d ndcg:d recall:d precision:d hit:d has_preds:b"
+U = "customer_idx:l n_truth:l n_hits:l ap:d ndcg:d recall:d precision:d hit:d has_preds:b"
 SUM = "n_customers:l map:d ndcg:d recall:d precision:d hit_rate:d micro_recall:d"
 
 
@@ -91,7 +91,7 @@ register(
     f"SELECT true AS deduplicated, * FROM ({summary_sql('u_base_b')}) UNION ALL SELECT false, * FROM ({summary_sql('u_base_raw')})",
 )
 register(
-    "baseline_lists", "customer_idx:i article_idx:i pos:i", lambda s: lists(s)["base_b"], "SELECT * FROM base_b",
+    "baseline_lists", "customer_idx:l article_idx:l pos:i", lambda s: lists(s)["base_b"], "SELECT * FROM base_b",
 )
 register(
     "repeats_in_recent_history", "n_customers:l n_with_repeats:l n_asked:l n_asked_with_repeats:l",
@@ -110,7 +110,7 @@ register(
     + " FROM truth t LEFT JOIN merged m ON m.customer_idx = t.customer_idx AND m.article_idx = t.article_idx GROUP BY 1)",
 )
 register(
-    "article_popularity_ranks", "article_idx:i units:l pop_rank:l",
+    "article_popularity_ranks", "article_idx:l units:l pop_rank:l",
     lambda s: mt.article_popularity_ranks(s.history), "SELECT * FROM art_rank",
 )
 register(
@@ -123,11 +123,11 @@ CTE["extras"] = """SELECT customer_idx, avg(pop_rank) AS pop_bias, avg(CASE WHEN
   avg(CASE WHEN pop_rank IS NULL THEN 1e0 ELSE 0 END) AS novelty_share FROM preds LEFT JOIN art_rank USING (article_idx)
   LEFT JOIN (SELECT DISTINCT customer_idx, article_idx, 1 AS n FROM hist) o USING (customer_idx, article_idx) GROUP BY customer_idx"""
 register(
-    "list_character", "customer_idx:i pop_bias:d repeat_share:d novelty_share:d",
+    "list_character", "customer_idx:l pop_bias:d repeat_share:d novelty_share:d",
     lambda s: mt.per_customer_extras(lists(s)["heuristic"], s.eval_customers, s.history), "SELECT * FROM extras",
 )
 register(
-    "overlap_with_truth", "model:s customer_idx:i n_bought:l",
+    "overlap_with_truth", "model:s customer_idx:l n_bought:l",
     lambda s: mt.overlap_with_truth({k: v for k, v in lists(s).items() if k in ("heuristic", "base_b")}, s.truth),
     """SELECT 'heuristic' AS model, customer_idx, count(*) AS n_bought FROM preds SEMI JOIN truth USING (customer_idx, article_idx) GROUP BY 2
     UNION ALL SELECT 'base_b', customer_idx, count(*) FROM base_b SEMI JOIN truth USING (customer_idx, article_idx) GROUP BY 2""",
@@ -145,7 +145,7 @@ def outcomes(s: Store):
 
 
 register(
-    "outcome_table", "customer_idx:i ranker_ap:d ranker_hit:d heuristic_ap:d heuristic_hit:d", outcomes, "SELECT * FROM outcomes"
+    "outcome_table", "customer_idx:l ranker_ap:d ranker_hit:d heuristic_ap:d heuristic_hit:d", outcomes, "SELECT * FROM outcomes"
 )
 
 
@@ -233,7 +233,7 @@ register(
     any_value((SELECT count(*) FROM tx h WHERE h.week_idx < tx.week_idx)) AS n_history FROM tx WHERE week_idx BETWEEN 339 AND 343 GROUP BY week_idx""",
 )
 register(
-    "fold_truth", "customer_idx:i article_idx:i", lambda s: build_fold(s.tx, 342, CAL).truth,
+    "fold_truth", "customer_idx:l article_idx:l", lambda s: build_fold(s.tx, 342, CAL).truth,
     "SELECT DISTINCT customer_idx, article_idx FROM tx WHERE week_idx = 342",
 )
 register(

@@ -54,7 +54,7 @@ register(
     coalesce(sum(n) FILTER (p = 0), 0) AS n_rows_dropped FROM (SELECT count(*) AS n, max(label) AS p FROM features GROUP BY customer_idx)""",
 )
 register(
-    "training_frame", "customer_idx:i article_idx:i label:i final_rank:i", lambda s: rk.training_frame(stored_frame(s)),
+    "training_frame", "customer_idx:l article_idx:l label:i final_rank:i", lambda s: rk.training_frame(stored_frame(s)),
     "SELECT * FROM features SEMI JOIN (SELECT customer_idx FROM features WHERE label = 1) USING (customer_idx)",
 )
 
@@ -64,8 +64,8 @@ def _scores(s: Store):
     return fixed_model(x).score(x)
 
 
-register("linear_scores", "customer_idx:i article_idx:i score:d", _scores, "SELECT * FROM scored")
-register("linear_top_lists", "customer_idx:i article_idx:i pos:i", lambda s: xp.mark_top(_scores(s)), "SELECT * FROM xtop")
+register("linear_scores", "customer_idx:l article_idx:l score:d", _scores, "SELECT * FROM scored")
+register("linear_top_lists", "customer_idx:l article_idx:l pos:i", lambda s: xp.mark_top(_scores(s)), "SELECT * FROM xtop")
 
 
 def _checks(s: Store):
@@ -78,7 +78,7 @@ register(
     "SELECT count(*) AS n_scored, 0 AS n_bad_scores, 0 AS n_repeated, (SELECT count(*) FROM features) AS n_expected FROM scored",
 )
 register(
-    "contributions", "customer_idx:i article_idx:i feature:s contribution:d contrast:d", lambda s: explained(s)[2], "SELECT * FROM contrib"
+    "contributions", "customer_idx:l article_idx:l feature:s contribution:d contrast:d", lambda s: explained(s)[2], "SELECT * FROM contrib"
 )
 
 
@@ -156,7 +156,7 @@ CTE["rok"] = """SELECT * FROM (SELECT *, bool_or(feature = 'i_days_since_bought_
 CTE["rbest"] = """SELECT *, row_number() OVER (PARTITION BY customer_idx, article_idx ORDER BY round(contrast, 9) DESC, feature) AS place FROM
   (SELECT * FROM rok QUALIFY row_number() OVER (PARTITION BY customer_idx, article_idx, theme ORDER BY round(contrast, 9) DESC, feature) = 1) QUALIFY place <= 3"""
 register(
-    "reasons", "customer_idx:i article_idx:i place:i theme:s feature:s reason:s", lambda s: _reason_rows(s)[3], "SELECT * FROM rbest"
+    "reasons", "customer_idx:l article_idx:l place:i theme:s feature:s reason:s", lambda s: _reason_rows(s)[3], "SELECT * FROM rbest"
 )
 
 
@@ -180,7 +180,7 @@ def _examples(s: Store):
 
 
 register(
-    "worked_examples", "family:s segment:s customer_idx:i article_idx:i pos:i reasons:s", _examples,
+    "worked_examples", "family:s segment:s customer_idx:l article_idx:l pos:i reasons:s", _examples,
     """SELECT family, segment, customer_idx, article_idx, pos, rs AS reasons FROM (SELECT family, segment, customer_idx FROM xseg SEMI JOIN xtop USING (customer_idx)
       QUALIFY row_number() OVER (PARTITION BY family, segment ORDER BY CAST('0x' || substr(md5(customer_idx || '|42'), 1, 8) AS BIGINT), customer_idx) = 1)
     JOIN xtop USING (customer_idx) LEFT JOIN (SELECT customer_idx, article_idx, string_agg(reason, ' | ' ORDER BY place) AS rs FROM rbest GROUP BY 1, 2) USING (customer_idx, article_idx)""",
@@ -247,7 +247,7 @@ def _recommend(s: Store):
 
 
 register(
-    "recommendations", "customer_idx:i article_idx:i pos:i final_source:s reasons:s", _recommend,
+    "recommendations", "customer_idx:l article_idx:l pos:i final_source:s reasons:s", _recommend,
     """SELECT customer_idx, article_idx, pos, final_source, rs AS reasons FROM xtop JOIN merged USING (customer_idx, article_idx)
     LEFT JOIN (SELECT customer_idx, article_idx, string_agg(reason, ' | ' ORDER BY place) AS rs FROM rbest GROUP BY 1, 2) USING (customer_idx, article_idx)""",
 )
@@ -263,6 +263,6 @@ def _custom(s: Store):
 
 
 register(
-    "custom_history_recommendations", "customer_idx:i article_idx:i pos:i", _custom,
+    "custom_history_recommendations", "customer_idx:l article_idx:l pos:i", _custom,
     "SELECT -customer_idx - 1 AS customer_idx, article_idx, pos FROM xtop",
 )

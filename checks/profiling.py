@@ -11,21 +11,21 @@ from shelfwise.sources import tables as tb
 from shelfwise.sources.splits import last_full_week
 
 register(
-    "scan_transactions", "customer_idx:i article_idx:i t_dat:t price:p sales_channel_id:i week_idx:i", lambda s: s.tx, "SELECT * FROM tx"
+    "scan_transactions", "customer_idx:l article_idx:l t_dat:t price:p sales_channel_id:i week_idx:i", lambda s: s.tx, "SELECT * FROM tx"
 )
 register(
-    "scan_articles", "article_idx:i article_id:s prod_name:s product_code:s product_type_no:i product_type_name:s colour_group_name:s",
+    "scan_articles", "article_idx:l article_id:s prod_name:s product_code:s product_type_no:i product_type_name:s colour_group_name:s",
     lambda s: s.articles, "SELECT * FROM art",
 )
 register(
-    "scan_customers", "customer_idx:i customer_id:s age:d FN:d Active:d club_member_status:s fashion_news_frequency:s",
+    "scan_customers", "customer_idx:l customer_id:s age:d FN:d Active:d club_member_status:s fashion_news_frequency:s",
     lambda s: s.customers, "SELECT * FROM cust",
 )
 register(
-    "customer_age_buckets", "customer_idx:i age_bucket:s", lambda s: tb.customer_age_buckets(s.customers), "SELECT * FROM bucket"
+    "customer_age_buckets", "customer_idx:l age_bucket:s", lambda s: tb.customer_age_buckets(s.customers), "SELECT * FROM bucket"
 )
 register(
-    "article_product_codes", "article_idx:i product_code:s", lambda s: tb.article_product_codes(s.articles),
+    "article_product_codes", "article_idx:l product_code:s", lambda s: tb.article_product_codes(s.articles),
     "SELECT article_idx, product_code FROM art",
 )
 register(
@@ -52,14 +52,14 @@ def converted(s: Store):
 CTE["dense_c"] = "SELECT customer_id, row_number() OVER (ORDER BY customer_id) - 1 AS customer_idx FROM cust"
 CTE["dense_a"] = "SELECT article_id, row_number() OVER (ORDER BY article_id) - 1 AS article_idx FROM art"
 register(
-    "dense_customer_keys", "customer_id:s customer_idx:i", lambda s: tb.dense_keys(s.customers.drop("customer_idx"), "customer_id", "customer_idx"),
+    "dense_customer_keys", "customer_id:s customer_idx:l", lambda s: tb.dense_keys(s.customers.drop("customer_idx"), "customer_id", "customer_idx"),
     "SELECT * FROM dense_c",
 )
 register(
-    "dense_article_keys", "article_id:s article_idx:i", lambda s: tb.convert_articles(s.articles.drop("article_idx")), "SELECT * FROM dense_a"
+    "dense_article_keys", "article_id:s article_idx:l", lambda s: tb.convert_articles(s.articles.drop("article_idx")), "SELECT * FROM dense_a"
 )
 register(
-    "convert_transactions", "t_dat:t customer_idx:i article_idx:i price:p sales_channel_id:i week_idx:i", lambda s: converted(s)[2],
+    "convert_transactions", "t_dat:t customer_idx:l article_idx:l price:p sales_channel_id:i week_idx:i", lambda s: converted(s)[2],
     """SELECT t_dat, d.customer_idx, e.article_idx, price, sales_channel_id, week_idx FROM tx JOIN cust USING (customer_idx)
     JOIN dense_c d USING (customer_id) JOIN art ON art.article_idx = tx.article_idx JOIN dense_a e USING (article_id)""",
 )
@@ -210,7 +210,7 @@ distribution(
 )
 CTE["pvar"] = """SELECT article_idx, count(*) AS n_tx, CASE WHEN avg(price) <> 0 THEN stddev_samp(price) / avg(price) END AS cv,
   CASE WHEN max(price) <> 0 THEN (max(price) - min(price)) / max(price) END AS discount_range FROM tx GROUP BY 1 HAVING count(*) >= 10"""
-register("price_variation", "article_idx:i n_tx:l cv:d discount_range:d", lambda s: pf.price_variation(s.tx), "SELECT * FROM pvar")
+register("price_variation", "article_idx:l n_tx:l cv:d discount_range:d", lambda s: pf.price_variation(s.tx), "SELECT * FROM pvar")
 distribution("price_cv_distribution", lambda s: pf.price_variation(s.tx), "cv", (25, 50, 75, 90), "SELECT cv AS v FROM pvar")
 register(
     "purchase_tiers", "tier:s n_customers:l pct:d", lambda s: pf.purchase_tiers(s.tx, s.customers),
@@ -301,7 +301,7 @@ register(
     any_value((SELECT count(DISTINCT article_idx) FROM truth ANTI JOIN hist USING (article_idx)) * 100e0 / (SELECT count(DISTINCT article_idx) FROM truth)) AS pct_new_articles FROM prior""",
 )
 register(
-    "top_copurchased_pairs", "article_a:i article_b:i pair_count:l name_a:s name_b:s", lambda s: pf.top_pairs(s.tx, WEEK + 2, 400, s.articles),
+    "top_copurchased_pairs", "article_a:l article_b:l pair_count:l name_a:s name_b:s", lambda s: pf.top_pairs(s.tx, WEEK + 2, 400, s.articles),
     """SELECT x.article_idx AS article_a, y.article_idx AS article_b, count(*) AS pair_count, any_value(p.prod_name) AS name_a, any_value(q.prod_name) AS name_b
     FROM (SELECT DISTINCT customer_idx, t_dat, article_idx FROM tx) x JOIN (SELECT DISTINCT customer_idx, t_dat, article_idx FROM tx) y
     ON x.customer_idx = y.customer_idx AND x.t_dat = y.t_dat AND x.article_idx < y.article_idx JOIN art p ON p.article_idx = x.article_idx JOIN art q ON q.article_idx = y.article_idx

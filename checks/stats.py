@@ -50,7 +50,7 @@ def segments(s: Store):
     return sg.extended_segments(s.history, s.customers, s.truth, WEEK, CAL)
 
 
-register("extended_segments", "customer_idx:i family:s segment:s", segments, "SELECT * FROM xseg")
+register("extended_segments", "customer_idx:l family:s segment:s", segments, "SELECT * FROM xseg")
 register(
     "segment_map", "family:s segment:s n:l map:d",
     lambda s: sg.segment_map(mt.per_customer_metrics(lists(s)["heuristic"], s.truth), segments(s)),
@@ -102,7 +102,7 @@ def arms(s: Store, users=None):
 
 
 register(
-    "assign_arms_all_customers", "customer_idx:i arm:s",
+    "assign_arms_all_customers", "customer_idx:l arm:s",
     lambda s: ex.assign_arms(s.customers.select("customer_idx")),
     f"""SELECT customer_idx, CASE WHEN row_number() OVER (ORDER BY {_U}, customer_idx) <= (SELECT count(*) // 2 FROM cust) THEN 'A' ELSE 'B' END AS arm FROM cust""",
 )

@@ -60,12 +60,18 @@ def _hex_uniform(digest: Column, start: Column) -> Column:
     return F.conv(F.substring(digest, start, F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def replicate_uniform(seed: int, unit: Column, replicate: Column) -> Column:
-    """One md5 serves four replicates: replicate r reads hex digits 8*(r mod 4)+1 .. +8."""
-    text = F.concat_ws(
-        "|", unit.cast("string"), F.floor(replicate / 4).cast("string"), F.lit(str(seed))
-    )
-    return _hex_uniform(F.md5(text.cast("binary")), ((replicate % 4) * 8 + 1).cast("int"))
+LANES = 4  # replicates served by one md5
+
+
+def lane_digest(seed: int, unit: Column, block: Column) -> Column:
+    """The md5 of one unit that serves replicates ``LANES * block`` and the three behind it."""
+    text = F.concat_ws("|", unit.cast("string"), block.cast("string"), F.lit(str(seed)))
+    return F.md5(text.cast("binary"))
+
+
+def lane_uniform(digest: Column, lane: int | Column) -> Column:
+    """Uniform of the lane's replicate: hex digits 8*lane+1 .. +8."""
+    return _hex_uniform(digest, F.lit(lane * 8 + 1) if isinstance(lane, int) else (lane * 8 + 1).cast("int"))
 
 
 # fixed values: cumulative Poisson(1) probabilities P(X <= n), n = 0..10

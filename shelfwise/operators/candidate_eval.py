@@ -71,16 +71,26 @@ def recall_by_source(sources: dict[str, DataFrame], truth: DataFrame, cuts=RECAL
 def incremental_recall(
     sources: dict[str, DataFrame], truth: DataFrame, n: int = MERGE_BUDGET, cuts=RECALL_CUTS, priority=SOURCES
 ) -> DataFrame:
-    """Recall as the sources are added by priority, and the gain of each step."""
+    """Recall as the sources are added by priority, and the gain of each step.
+
+    Sources of lower priority only append to a list, so one merge of all serves every step: a
+    step has the rows whose best source was added by then, at the ranks they have in the end.
+    """
     total = truth.agg(F.count("*").alias("n")).scalar()
-    used: dict[str, DataFrame] = {}
-    steps = []
-    for i, s in enumerate(x for x in priority if x in sources):
-        used[s] = sources[s]
-        merged = merge_candidates(dict(used), n, list(priority))
-        hits = merged.join(truth, PAIR, "left_semi").agg(*_hits(cuts))
-        steps.append(hits.select(F.lit(i + 1).alias("step"), F.lit(s).alias("source_added"), "*"))
-    rows = reduce(DataFrame.unionByName, steps).withColumn("n_truth", total)
+    names = [s for s in priority if s in sources]
+    merged = merge_candidates(dict(sources), n, list(priority)).join(truth, PAIR, "left_semi")
+    order = F.array_position(F.array(*map(F.lit, names)), F.col("final_source"))
+    marked = merged.select("final_rank", order.alias("prio"))
+    counts = marked.agg(
+        *[F.count_if((F.col("prio") <= i + 1) & (F.col("final_rank") <= c)).alias(f"h{c}_{i}") for i in range(len(names)) for c in cuts]
+    )
+    steps = F.array(
+        *[
+            F.struct(F.lit(i + 1).alias("step"), F.lit(s).alias("source_added"), *[F.col(f"h{c}_{i}").alias(f"h{c}") for c in cuts])
+            for i, s in enumerate(names)
+        ]
+    )
+    rows = counts.select(F.inline(steps)).withColumn("n_truth", total)
     from pyspark.sql import Window as W
 
     w = W.orderBy("step")  # one row per source

@@ -21,8 +21,8 @@ from shelfwise.sources.splits import before_week, weeks_between
 def shape(df: DataFrame, source: str, score: str = "score", rank: str = "source_rank") -> DataFrame:
     """Fixed columns and types; narrowing happens only here."""
     return df.select(
-        F.col("customer_idx").cast("int"),
-        F.col("article_idx").cast("int"),
+        F.col("customer_idx").cast("bigint"),
+        F.col("article_idx").cast("bigint"),
         F.lit(source).alias("source"),
         F.col(score).cast("float").alias("score"),
         F.col(rank).cast("smallint").alias("source_rank"),

@@ -184,8 +184,8 @@ def profile_list(profiles: DataFrame, purchases: DataFrame) -> DataFrame:
 def profile_history(purchases: DataFrame, day, price: float = 0.05, channel: int = 2, week: int | None = None) -> DataFrame:
     """Profile purchases as transactions of negative customer ids, so they never meet real ones."""
     return purchases.select(
-        (-F.col("profile_id")).cast("int").alias("customer_idx"),
-        F.col("article_idx").cast("int"),
+        (-F.col("profile_id")).cast("bigint").alias("customer_idx"),
+        F.col("article_idx").cast("bigint"),
         F.coalesce(F.col("t_dat"), F.lit(day)).alias("t_dat") if "t_dat" in purchases.columns else F.lit(day).alias("t_dat"),
         F.lit(price).alias("price"),
         F.lit(channel).cast("tinyint").alias("sales_channel_id"),

@@ -15,7 +15,7 @@ from shelfwise.functions.columns import (
     Z_975,
     hash_uniform,
     normal_cdf,
-    replicate_uniform,
+    LANES, lane_digest, lane_uniform,
     safe_ratio,
     two_sided_p,
 )
@@ -137,17 +137,27 @@ def guardrails(preds: DataFrame, arms: DataFrame, ranks: DataFrame) -> DataFrame
 
 def split_tests(outcomes: DataFrame, value: str, n_splits: int, seed: int = SEED) -> DataFrame:
     """One z-test per random split of the same outcomes (no true effect). Each user falls in
-    B by a hash of (user, split); tasks fold their users to one row per split and arm."""
+    B by a hash of (user, split), one digest for each block of splits; tasks fold their users to one row per block."""
     rows = outcomes.select("customer_idx", F.col(value).alias("x")).withColumn(
-        "split", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1)))
+        "block", F.explode(F.sequence(F.lit(0), F.lit(-(-n_splits // LANES) - 1)))
     )
-    in_b = replicate_uniform(seed, F.col("customer_idx"), F.col("split")) >= 0.5
-    counts = rows.groupBy("split").agg(
-        F.count(F.when(~in_b, 1)).alias("n_a"),
-        F.count(F.when(in_b, 1)).alias("n_b"),
-        F.coalesce(F.sum(F.when(~in_b, F.col("x"))), F.lit(0.0)).alias("hits_a"),
-        F.coalesce(F.sum(F.when(in_b, F.col("x"))), F.lit(0.0)).alias("hits_b"),
-    ).filter((F.col("n_a") > 0) & (F.col("n_b") > 0))
+    rows = rows.withColumn("digest", lane_digest(seed, F.col("customer_idx"), F.col("block")))
+    rows = rows.withColumns({f"b{j}": lane_uniform(F.col("digest"), j) >= 0.5 for j in range(LANES)})
+    aggs = [F.count("*").alias("n"), F.coalesce(F.sum("x"), F.lit(0.0)).alias("hits")]
+    for j in range(LANES):
+        aggs.append(F.count_if(f"b{j}").alias(f"n{j}"))
+        aggs.append(F.coalesce(F.sum(F.when(F.col(f"b{j}"), F.col("x"))), F.lit(0.0)).alias(f"hits{j}"))
+    lanes = F.array(
+        *[
+            F.struct(
+                (F.col("block") * LANES + j).alias("split"), (F.col("n") - F.col(f"n{j}")).alias("n_a"), F.col(f"n{j}").alias("n_b"),
+                (F.col("hits") - F.col(f"hits{j}")).alias("hits_a"), F.col(f"hits{j}").alias("hits_b"),
+            )
+            for j in range(LANES)
+        ]
+    )
+    counts = rows.groupBy("block").agg(*aggs).select(F.inline(lanes))
+    counts = counts.filter((F.col("split") < n_splits) & (F.col("n_a") > 0) & (F.col("n_b") > 0))
     return z_test(counts, "hits_a", "n_a", "hits_b", "n_b")
 
 

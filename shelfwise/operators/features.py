@@ -296,7 +296,7 @@ def enforce_types(x: DataFrame) -> DataFrame:
         (F.col(f.name) if f.name in have else F.lit(None)).cast(f.type).alias(f.name) for f in FEATURES
     ]
     return x.select(
-        F.col("customer_idx").cast("int"), F.col("article_idx").cast("int"), F.col("label").cast("tinyint"), *cols
+        F.col("customer_idx").cast("bigint"), F.col("article_idx").cast("bigint"), F.col("label").cast("tinyint"), *cols
     )
 
 

@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import safe_ratio
+from shelfwise.functions.skew import left_join_hot
 from shelfwise.functions.ordering import running_rank, top_k
 from shelfwise.schema import METRIC_K
 
 PAIR = ["customer_idx", "article_idx"]
 
 
+BEST_SELLERS = 500  # articles whose ranks are broadcast
+
 def predictions_from_ranks(merged: DataFrame, k: int = METRIC_K, rank: str = "final_rank") -> DataFrame:
     return merged.filter(F.col(rank) <= k).select(*PAIR, F.col(rank).cast("int").alias("pos"))
 
@@ -132,9 +135,12 @@ def per_customer_extras(
     if truth_customers is not None:
         preds = preds.join(truth_customers, "customer_idx", "left_semi")
     ranks = article_popularity_ranks(history) if ranks is None else ranks
-    bought = history.select(*PAIR).distinct().withColumn("bought", F.lit(True))
+    # only the listed customers' history is folded; the best sellers, which fill most lists, are joined by broadcast
+    listed = history.join(preds.select("customer_idx").distinct(), "customer_idx", "left_semi")
+    bought = listed.select(*PAIR).distinct().withColumn("bought", F.lit(True))
+    ranks = ranks.select("article_idx", "pop_rank")
     return (
-        preds.join(ranks.select("article_idx", "pop_rank"), "article_idx", "left")
+        left_join_hot(preds, ranks, "article_idx", ranks.filter(F.col("pop_rank") <= BEST_SELLERS), "customer_idx")
         .join(bought, PAIR, "left")
         .groupBy("customer_idx")
         .agg(

@@ -8,10 +8,10 @@ from math import exp
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.columns import poisson_weight, replicate_uniform, safe_ratio
+from shelfwise.functions.columns import LANES, lane_digest, lane_uniform, poisson_weight, safe_ratio
 from shelfwise.schema import SEED
 
-LANES = 4  # replicates served by one md5
+BITS = 64  # replicates whose draws one mask holds
 
 
 def replicate_sums(
@@ -35,10 +35,8 @@ def replicate_sums(
     )
     blocks = -(-n_boot // LANES)
     rows = base.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    for j in range(LANES):
-        rows = rows.withColumn(
-            f"__w{j}", poisson_weight(replicate_uniform(seed, F.col("__unit"), F.col("__block") * LANES + j))
-        )
+    rows = rows.withColumn("__digest", lane_digest(seed, F.col("__unit"), F.col("__block")))
+    rows = rows.withColumns({f"__w{j}": poisson_weight(lane_uniform(F.col("__digest"), j)) for j in range(LANES)})
     aggs = []
     for n in values:
         known = F.col(f"__x_{n}").isNotNull()
@@ -155,13 +153,28 @@ def bootstrap_coverage(
     """
     sold = history.select("article_idx").distinct().agg(F.count("*").alias("n")).scalar()
     point = preds.agg(F.countDistinct("article_idx").alias("n_rec"), F.countDistinct("customer_idx").alias("n_customers"))
-    u = replicate_uniform(seed, F.col("customer_idx"), F.col("replicate"))
+    # one bit for each replicate that draws a customer; an article is covered where any bit of its customers is set
+    word = F.col("word")
+    digests = F.transform(F.sequence(F.lit(0), F.lit(BITS // LANES - 1)), lambda i: lane_digest(seed, F.col("customer_idx"), word * (BITS // LANES) + i))
+
+    def with_bit(mask: Column, lane: Column) -> Column:
+        digest = F.get(F.col("digests"), F.floor(lane / LANES).cast("int"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), lane)
+        return F.when(lane_uniform(digest, lane % LANES) >= F.lit(exp(-fraction)), mask.bitwiseOR(bit)).otherwise(mask)
+
+    lanes = F.sequence(F.lit(0), F.lit(BITS - 1))
+    masks = (
+        preds.select("customer_idx").distinct()
+        .withColumn("word", F.explode(F.sequence(F.lit(0), F.lit(-(-n_boot // BITS) - 1))))
+        .withColumn("digests", digests)
+        .select("customer_idx", "word", F.aggregate(lanes, F.lit(0).cast("long"), with_bit).alias("mask"))
+    )
+    covered = preds.select("customer_idx", "article_idx").join(masks, "customer_idx").groupBy("article_idx", "word").agg(F.bit_or("mask").alias("mask"))
     drawn = (
-        preds.select("customer_idx", "article_idx")
-        .withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-        .filter(u >= F.lit(exp(-fraction)))
-        .select("replicate", "article_idx").distinct()
-        .groupBy("replicate").agg(F.count("*").alias("n_rec"))
+        covered.withColumn("lane", F.explode(lanes))
+        .groupBy((word * BITS + F.col("lane")).alias("replicate"))
+        .agg(F.sum(F.call_function("shiftright", F.col("mask"), F.col("lane")).bitwiseAND(F.lit(1))).alias("n_rec"))
+        .filter((F.col("replicate") < n_boot) & (F.col("n_rec") > 0))
         .withColumn("coverage", F.col("n_rec") / sold)
     )
     summary = drawn.agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.functions.ordering import exact_quantiles
 from shelfwise.functions.columns import age_bucket, purchase_segment, recency_bucket
 from shelfwise.operators.experiment import holm, paired_t, with_student_p
 from shelfwise.operators.resampling import paired_difference
@@ -34,9 +35,11 @@ def extended_segments(
         F.avg(F.when(F.col("sales_channel_id") == 2, 1.0).otherwise(0.0)).alias("online"),
         F.max("t_dat").alias("last"),
     )
-    cuts = stats.agg(
-        F.when(F.count("*") >= 3, F.percentile("online", F.lit(0.3333))).otherwise(0.33).alias("lo"),
-        F.when(F.count("*") >= 3, F.percentile("online", F.lit(0.6667))).otherwise(0.67).alias("hi"),
+    thirds = exact_quantiles(stats, [], "online", {"lo": 0.3333, "hi": 0.6667})
+    enough = F.col("n_values") >= 3
+    cuts = thirds.agg(
+        F.coalesce(F.max(F.when(enough, F.col("lo"))), F.lit(0.33)).alias("lo"),
+        F.coalesce(F.max(F.when(enough, F.col("hi"))), F.lit(0.67)).alias("hi"),
     ).select(F.struct("*")).scalar()
     known = (mine if new_scope == "evaluated" else history).select("article_idx").distinct()
     new_buyers = truth.join(known, "article_idx", "left_anti").select("customer_idx").distinct().withColumn("new", F.lit(True))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import safe_ratio
-from shelfwise.functions.ordering import running_totals, top_k
+from shelfwise.functions.ordering import exact_quantiles, running_totals, top_k
 
 EPSILON = 1e-6
 
@@ -137,8 +137,9 @@ def stability_index(base: DataFrame, other: DataFrame, features: list[str], bins
     """(feature, psi) with decile edges of ``base``; shares below 1e-6 are lifted to it. Nulls are
     left out. The edges are one small row, read as a scalar subquery."""
     probs = [i / bins for i in range(1, bins)]
-    edges = base.agg(*[F.percentile(F.col(f).cast("double"), F.array(*[F.lit(p) for p in probs])).alias(f) for f in features])
-    packed = edges.select(F.map_from_arrays(F.array(*[F.lit(f) for f in features]), F.array(*features)).alias("m")).scalar()
+    edges = exact_quantiles(unpivot(base, features, []), ["feature"], "value", {f"q{i}": p for i, p in enumerate(probs)})
+    row = F.struct("feature", F.array(*[f"q{i}" for i in range(len(probs))]))
+    packed = edges.agg(F.map_from_entries(F.collect_list(row)).alias("m")).scalar()
 
     def binned(x: DataFrame, name: str) -> DataFrame:
         long = unpivot(x, features, []).filter(F.col("value").isNotNull())

@@ -73,8 +73,8 @@ PURCHASE_SEGMENTS = ("0", "1-4", "5-19", "20+")
 TRANSACTIONS = T.StructType(
     [
         T.StructField("t_dat", T.DateType(), False),
-        T.StructField("customer_idx", T.IntegerType(), False),
-        T.StructField("article_idx", T.IntegerType(), False),
+        T.StructField("customer_idx", T.LongType(), False),
+        T.StructField("article_idx", T.LongType(), False),
         T.StructField("price", T.FloatType(), True),
         T.StructField("sales_channel_id", T.ByteType(), True),
     ]
@@ -82,8 +82,8 @@ TRANSACTIONS = T.StructType(
 
 CANDIDATES = T.StructType(
     [
-        T.StructField("customer_idx", T.IntegerType(), True),
-        T.StructField("article_idx", T.IntegerType(), True),
+        T.StructField("customer_idx", T.LongType(), True),
+        T.StructField("article_idx", T.LongType(), True),
         T.StructField("source", T.StringType(), False),
         T.StructField("score", T.FloatType(), True),
         T.StructField("source_rank", T.ShortType(), True),

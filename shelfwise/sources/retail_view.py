@@ -36,8 +36,8 @@ def transactions(
         "l_orderkey", "l_partkey", "l_extendedprice", "l_quantity", "l_linestatus"
     )
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("o_custkey").cast("int").alias("customer_idx"),
-        F.col("l_partkey").cast("int").alias("article_idx"),
+        F.col("o_custkey").cast("bigint").alias("customer_idx"),
+        F.col("l_partkey").cast("bigint").alias("article_idx"),
         "t_dat",
         F.try_divide("l_extendedprice", "l_quantity").alias("price"),
         F.when(F.col("l_linestatus") == "O", 2).otherwise(1).cast("tinyint").alias("sales_channel_id"),
@@ -48,7 +48,7 @@ def transactions(
 def customers(spark: SparkSession, folder: str) -> DataFrame:
     seg = F.col("c_mktsegment")
     return read(spark, folder, "customer").select(
-        F.col("c_custkey").cast("int").alias("customer_idx"),
+        F.col("c_custkey").cast("bigint").alias("customer_idx"),
         F.col("c_name").alias("customer_id"),
         F.when(F.col("c_custkey") % 50 != 0, 18 + (F.col("c_custkey") * 7) % 60).cast("float").alias("age"),
         F.when(F.col("c_acctbal") > 5000, 1).cast("float").alias("FN"),
@@ -67,7 +67,7 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
 def articles(spark: SparkSession, folder: str) -> DataFrame:
     word = F.split(F.col("p_name"), " ")
     return read(spark, folder, "part").select(
-        F.col("p_partkey").cast("int").alias("article_idx"),
+        F.col("p_partkey").cast("bigint").alias("article_idx"),
         F.lpad(F.col("p_partkey").cast("string"), 10, "0").alias("article_id"),
         F.col("p_name").alias("prod_name"),
         F.concat_ws("|", "p_brand", "p_type").alias("product_code"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import age_bucket, week_index
+from shelfwise.session import materialize
 from shelfwise.functions.ordering import running_rank
 from shelfwise.schema import Calendar
 
@@ -51,7 +52,7 @@ def dense_keys(df: DataFrame, id_col: str, key: str) -> DataFrame:
     single-task window (range shuffle plus partition offsets)."""
     ids = df.select(id_col).distinct()
     keyed = running_rank(ids, [], [F.col(id_col).asc()], key)
-    return df.join(keyed.select(id_col, (F.col(key) - 1).cast("int").alias(key)), id_col)
+    return df.join(keyed.select(id_col, (F.col(key) - 1).cast("bigint").alias(key)), id_col)
 
 
 def convert_articles(raw: DataFrame) -> DataFrame:
@@ -116,7 +117,9 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def write_transactions(tx: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
     """Fact sink: one folder per week, so week filters prune partitions; days sorted inside
     the files, so date filters skip row groups. A week is spread over as many tasks as its
-    size asks for, since one week may hold most rows."""
+    size asks for, since one week may hold most rows. The input is computed once and saved, as it
+    is read for the sizes and for the rows."""
+    tx = materialize(tx)
     parts = F.ceil(F.count("*") / F.lit(rows_per_file)).cast("int")
     sizes = tx.groupBy("week_idx").agg(parts.alias("parts"))  # one row per week
     (
@@ -132,25 +135,19 @@ def write_transactions(tx: DataFrame, path: str, rows_per_file: int = 5_000_000)
 
 
 def write_fold_features(features: DataFrame, path: str, fold_week: int) -> None:
-    (
-        features.withColumn("fold", F.lit(fold_week))
-        .write.mode("append")
-        .option("compression", "zstd")
-        .partitionBy("fold")
-        .parquet(path)
-    )
+    """Each fold owns one folder and overwrites it, so a fold that is built again is not stored twice."""
+    features.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/fold={fold_week}")
 
 
 def write_holdout_features(features: DataFrame, public: str, labels: str) -> None:
     """Holdout sink: the public features carry label -1, the labels are stored apart."""
-    features = features.persist()
+    features = materialize(features)
     features.withColumn("label", F.lit(-1).cast("tinyint")).write.mode("overwrite").option(
         "compression", "zstd"
     ).parquet(public)
     features.select("customer_idx", "article_idx", "label").write.mode("overwrite").option(
         "compression", "zstd"
     ).parquet(labels)
-    features.unpersist()
 
 
 def read_folds(spark: SparkSession, path: str, weeks: list[int]) -> DataFrame:
