@@ -14,7 +14,9 @@ register(
     "scan_transactions", "customer_idx:l article_idx:l t_dat:t price:p sales_channel_id:i week_idx:i", lambda s: s.tx, "SELECT * FROM tx"
 )
 register(
-    "scan_articles", "article_idx:l article_id:s prod_name:s product_code:s product_type_no:i product_type_name:s colour_group_name:s",
+    "scan_articles",
+    "article_idx:l article_id:s prod_name:s product_code:s product_type_no:i product_type_name:s product_group_name:s index_group_name:s "
+    "garment_group_name:s colour_group_name:s section_name:s department_name:s department_no:i",
     lambda s: s.articles, "SELECT * FROM art",
 )
 register(
@@ -104,13 +106,14 @@ def dictionary_sql(table: str, types: dict[str, str]) -> str:
     )
 
 
-_ART = {"article_idx": "int", "article_id": "string", "prod_name": "string", "product_code": "string", "product_type_no": "int",
-        "product_type_name": "string", "product_group_name": "string", "garment_group_name": "string", "colour_group_name": "string", "department_no": "int"}
+_ART = {"article_idx": "bigint", "article_id": "string", "prod_name": "string", "product_code": "string", "product_type_no": "int",
+        "product_type_name": "string", "product_group_name": "string", "index_group_name": "string", "garment_group_name": "string",
+        "colour_group_name": "string", "section_name": "string", "department_name": "string", "department_no": "int"}
 register(
     "column_dictionary_articles", "column_name:s type:s n_distinct:l pct_null:d examples:s",
     lambda s: pf.column_dictionary(s.articles.select(*_ART)), dictionary_sql("art", _ART),
 )
-_CUST = {"customer_idx": "int", "customer_id": "string", "age": "float", "FN": "float", "Active": "float", "club_member_status": "string", "fashion_news_frequency": "string"}
+_CUST = {"customer_idx": "bigint", "customer_id": "string", "age": "float", "FN": "float", "Active": "float", "club_member_status": "string", "fashion_news_frequency": "string"}
 register(
     "column_dictionary_customers", "column_name:s type:s n_distinct:l pct_null:d examples:s",
     lambda s: pf.column_dictionary(s.customers.select(*_CUST)), dictionary_sql("cust", _CUST),
