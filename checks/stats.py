@@ -292,15 +292,15 @@ register(
 )
 register(
     "mann_whitney_channel_price", "n1:l n2:l u:d rank_biserial:d",
-    lambda s: ex.mann_whitney(s.tx.withColumn("price", F.round("price", 4)), "price", F.col("sales_channel_id") == 2),
+    lambda s: ex.mann_whitney(s.tx, "price", F.col("sales_channel_id") == 2),
     """SELECT n1, n2, r1 - n1 * (n1 + 1) / 2e0 AS u, 1 - 2 * (r1 - n1 * (n1 + 1) / 2e0) / (n1 * 1e0 * n2) AS rank_biserial FROM
     (SELECT count(*) FILTER (c = 2) AS n1, count(*) FILTER (c <> 2) AS n2, sum(rk) FILTER (c = 2) AS r1 FROM (SELECT sales_channel_id AS c,
-      rank() OVER (ORDER BY round(price, 4)) + (count(*) OVER (PARTITION BY round(price, 4)) - 1) / 2e0 AS rk FROM tx))""",
+      rank() OVER (ORDER BY price) + (count(*) OVER (PARTITION BY price) - 1) / 2e0 AS rk FROM tx))""",
 )
 
 # --- single-feature signal -------------------------------------------------------------
 
-SIGNAL = [f for f in FEATURE_NAMES if f not in ("segment_popular_share", "i_price_ratio", "a_price_vs_own_history")]
+SIGNAL = list(FEATURE_NAMES)
 
 
 def signal_frame(s: Store):
@@ -344,7 +344,7 @@ register(
       FROM (SELECT customer_idx, count(*) AS n, count(m.article_idx) AS h FROM truth LEFT JOIN merged m USING (customer_idx, article_idx) GROUP BY 1)) AS map_flag
     FROM auc JOIN fmap USING (feature)""",
 )
-CORR = [f for f in FEATURE_NAMES if f.startswith(("c_", "a_", "i_"))]
+CORR = list(FEATURE_NAMES)
 register(
     "correlated_features", "feature_a:s feature_b:s r:d",
     lambda s: si.correlated_pairs(frame(s), CORR).filter(F.abs("r") > 0.95),
