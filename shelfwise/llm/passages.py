@@ -32,8 +32,8 @@ from shelfwise.llm.common import saved, small_batches, table_saved
 from shelfwise.llm.links import components, links_in_buckets
 
 NO_ID = -(1 << 63)
-#: Documents whose colliding lines are read again are broadcast by id if they are no more than so many.
-BROADCAST_DOCS = 200_000
+#: The places of colliding lines are broadcast if they are no more than so many, some 20 MB; else they are joined.
+BROADCAST_LINES = 400_000
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[32, *range(9, 14)]] = True
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -208,7 +208,7 @@ def similar_lines(docs: DataFrame, lines: DataFrame, how: Passages, group: int =
     wanted = wanted.groupBy("at.doc").agg(F.collect_list(F.struct("node", "at.start", "at.end")).alias("spans"))
     wanted = saved(wanted.select("doc", "spans"))
     texts = docs.select(_doc().alias("doc"), "text").filter("text is not null")
-    if wanted.count() <= BROADCAST_DOCS:
+    if (wanted.agg(F.sum(F.size("spans")).alias("n")).first()["n"] or 0) <= BROADCAST_LINES:
         wanted = F.broadcast(wanted)
     shingle, similarity = how.shingle, how.similarity
 
