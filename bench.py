@@ -99,6 +99,7 @@ def main() -> None:
     model = rk.LinearRanker(tuple(ft.FEATURES[i].name for i in range(len(ft.FEATURES))), *_moments(x))
     run("score_and_top_lists", lambda: xp.mark_top(model.score(x)))
     run("contributions_and_reasons", lambda: xp.reasons(xp.with_contrast(xp.contributions(x, model))))
+    run("reasons_of_top_lists", lambda: xp.reasons(xp.contrasts_of(x, model, xp.mark_top(model.score(x)), xp.THEMES)))
     run("repeat_rates", lambda: pf.repeat_rates(tx, articles))
     run("weekly_overlap", lambda: pf.weekly_overlap(tx))
     run("basket_sizes", lambda: pf.distribution(pf.basket_sizes(tx), "basket_size"))

@@ -38,6 +38,32 @@ def with_contrast(long: DataFrame) -> DataFrame:
     return long.withColumn("contrast", F.col("contribution") - F.avg("contribution").over(w))
 
 
+def contrasts_of(x: DataFrame, model: LinearRanker, rows: DataFrame, features=None) -> DataFrame:
+    """Contributions and contrasts, as of :func:`with_contrast`, of the given (customer, article) rows.
+
+    The means over each list are one aggregate of the wide rows; only the given rows, and only the
+    ``features`` asked for, become long.
+    """
+    chosen = [(i, f) for i, f in enumerate(model.features) if features is None or f in features]
+    wide = x.select(
+        *ROW,
+        *[F.col(f).cast("double").alias(f"v{i}") for i, f in chosen],
+        *[(model.contribution(i) + F.lit(0.0)).alias(f"c{i}") for i, _ in chosen],
+    )
+    means = wide.groupBy("customer_idx").agg(*[F.avg(f"c{i}").alias(f"m{i}") for i, _ in chosen])
+    picked = wide.join(rows.select(*ROW), ROW, "left_semi").join(means, "customer_idx")
+    parts = F.array(
+        *[
+            F.struct(
+                F.lit(f).alias("feature"), F.col(f"v{i}").alias("value"), F.col(f"c{i}").alias("contribution"),
+                (F.col(f"c{i}") - F.col(f"m{i}")).alias("contrast"),
+            )
+            for i, f in chosen
+        ]
+    )
+    return picked.select(*ROW, F.inline(parts))
+
+
 def additivity(long: DataFrame, scored: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """Rows whose contributions do not sum to the score."""
     sums = long.groupBy(*ROW).agg(F.sum("contribution").alias("s"))

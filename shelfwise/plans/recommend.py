@@ -46,8 +46,7 @@ def recommend(
 
 def explained_top(x: DataFrame, model: LinearRanker, k: int = METRIC_K) -> DataFrame:
     top = xp.mark_top(model.score(x), k)
-    long = xp.with_contrast(xp.contributions(x, model).filter(F.col("feature").isin(*xp.THEMES)))
-    texts = xp.reason_lists(xp.reasons(long.join(top, xp.ROW, "left_semi")))
+    texts = xp.reason_lists(xp.reasons(xp.contrasts_of(x, model, top, xp.THEMES)))
     return top.join(x.select(*xp.ROW, "final_source"), xp.ROW).join(texts, xp.ROW, "left")
 
 
