@@ -123,10 +123,9 @@ def op2_paragraph_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    t = byte_bpe.tables(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    out = byte_bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), t)
-    return byte_bpe.decode(out, t).select(
-        "row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(byte_bpe.little_endian(F.col("ids")), 256).alias("ids_sha256"),
-        F.sha2("bytes", 256).alias("decoded_sha256"),
+    shared, pattern = byte_bpe.vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+    ids = byte_bpe.encode_in_tasks(table(spark, folder, "documents"), shared, pattern)
+    return byte_bpe.decode_in_tasks(ids, shared, pattern).select(
+        "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"),
     )
