@@ -30,8 +30,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates, by five-word shingles."""
-    return simhash.keep_one(docs, words=5)
+    """The document with the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return simhash.keep_one_similar(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

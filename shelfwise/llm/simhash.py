@@ -8,11 +8,18 @@ Only distinct fingerprints are compared.
 Null text and texts without a word have fingerprint zero and link like any other. Repeated rows and
 equal texts share a fingerprint, and so a component. A null doc_id takes part but names no
 component unless all ids there are null. An empty table gives an empty result.
+
+``keep_one_similar`` has another rule: texts are near copies where the Jaccard similarity of their word shingles is
+``similarity`` or more. Some ten of 64 bits differ at 0.8, beyond any radius that blocks of one fingerprint reach with
+high recall, so texts within ``distance`` bits and texts that share a MinHash band of the same shingles are candidates. What
+candidates connect is one bucket, to which each text's shingles go once; there the exact similarity of the candidates is
+verified. A pair at just the least similarity is a candidate with a probability of ``recall`` or more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations, pairwise
 
 import numpy as np
@@ -21,22 +28,44 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import popcount, saved, small_batches, strings
+from shelfwise.llm.common import popcount, saved, small_batches, strings, text_or_empty
 from shelfwise.llm.links import components, links_in_buckets
 
 SEED = 42
 DISTANCE = 3
 BLOCK = 1 << 16  # shingles whose bits are counted at once
+#: The places of candidates are broadcast if they are no more than so many, some 20 MB; else they are joined.
+BROADCAST_TEXTS = 400_000
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """Bit k is set if it is set in over half of the shingles' hashes."""
+@dataclass(frozen=True)
+class NearCopies:
+    words: int = 5
+    similarity: float = 0.8
+    recall: float = 0.999  # of pairs that are just similar enough
+    rows: int = 4  # hashes in a band
+    distance: int = DISTANCE
+
+    @property
+    def bands(self) -> int:
+        """The fewest bands with the recall asked for at the least similarity."""
+        return int(np.ceil(np.log(1 - self.recall) / np.log(1 - self.similarity**self.rows)))
+
+
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """Hashes of the word shingles in order; a shorter text is one shingle."""
     w = text.lower().split()
-    if not w:
-        return 0
     grams = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(g, SEED) for g in grams], dtype="<u8")
+    return np.array([digest(g, SEED) for g in grams], dtype="<u8")
+
+
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """Bit k is set if it is set in over half of the shingles' hashes."""
+    return _majority(shingle_hashes(text, words)) if text.split() else 0
+
+
+def _majority(h: np.ndarray) -> int:
     ones = np.zeros(64, dtype=np.int64)
     for start in range(0, len(h), BLOCK):
         part = h[start : start + BLOCK].view(np.uint8).reshape(-1, 8)
@@ -104,7 +133,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = DISTANCE) -
 def keep_one(docs: DataFrame, words: int = 3, distance: int = DISTANCE) -> DataFrame:
     """The rows of ``docs``, one of each component: that with the smallest id."""
     prints = fingerprints(docs, words)
-    keepers = component_of_fingerprints(prints, distance).select("keeper.*").distinct()
+    return _only(docs, component_of_fingerprints(prints, distance).select("keeper.*").distinct())
+
+
+def _only(docs: DataFrame, keepers: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``keepers`` names by doc_id and text_hash, once each."""
     keepers = keepers.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.withColumn("__id", F.col("row.doc_id").cast("bigint"))
@@ -113,3 +146,89 @@ def keep_one(docs: DataFrame, words: int = 3, distance: int = DISTANCE) -> DataF
         keepers.alias("k"), F.col("r.__id").eqNullSafe(F.col("k.__id")) & (F.col("r.__hash") == F.col("k.__hash")), "left_semi"
     )
     return kept.dropDuplicates(["__id", "__hash"]).select("row.*")
+
+
+def _seeds(n: int) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(b"band", k) | 1 for k in range(n)], dtype=np.uint64)
+
+
+def band_keys(h: np.ndarray, seeds: np.ndarray, bands: int) -> np.ndarray:
+    """One key for each band of MinHashes of the shingle hashes."""
+    least = np.full(len(seeds), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for start in range(0, len(h), 4_096):
+        np.minimum(least, np.multiply.outer(seeds, h[start : start + 4_096]).min(axis=1), out=least)
+    parts = least.reshape(bands, -1)
+    return np.array([xxhash.xxh64_intdigest(p.tobytes(), k) for k, p in enumerate(parts)], dtype=np.uint64).view(np.int64)
+
+
+def sketches(docs: DataFrame, how: NearCopies) -> DataFrame:
+    """(doc_id, text_hash, fp, keys) of every row, saved."""
+    seeds, bands, words = _seeds(how.rows * how.bands), how.bands, how.words
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            fps, keys = [], []
+            for text in strings(batch.column(2)):
+                h = shingle_hashes(text, words)
+                fps.append(_majority(h))
+                keys.append(band_keys(h, seeds, bands))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "fp", "keys"],
+            )
+
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
+    return saved(slim.mapInArrow(scan, "doc_id bigint, text_hash bigint, fp bigint, keys array<bigint>"))
+
+
+def similar_texts(docs: DataFrame, nodes: DataFrame, how: NearCopies, group: int = 512) -> DataFrame:
+    """(node, root) of the texts that are linked to others. ``nodes``: node, first (its row), fp, keys."""
+    rows = nodes.select(F.explode("keys").alias("bucket"), "node")
+    shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+    stars = rows.join(shared.select("bucket", "low"), "bucket").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    prints = nodes.groupBy("fp").agg(F.min("node").alias("low"))
+    close = close_fingerprints(prints.select("fp"), how.distance)
+    name = lambda c: prints.select(F.col("fp").alias(c), F.col("low").alias(f"{c}_low"))
+    close = close.join(name("a"), "a").join(name("b"), "b").select(F.col("a_low").alias("a"), F.col("b_low").alias("b"))
+    equal = nodes.join(prints, "fp").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    met = components(stars.unionByName(close).unionByName(equal)).withColumnRenamed("root", "bucket")
+    wanted = saved(met.join(nodes, "node").select("first", "bucket", "fp", "keys"))
+    wanted = wanted.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("node"), "bucket", "fp", "keys")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("hash"), text_or_empty().alias("text"))
+    few = wanted.count() <= BROADCAST_TEXTS
+    places = wanted.select("__id", "node", "bucket")
+    met_texts = texts.join(
+        F.broadcast(places) if few else places, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("node"))
+    )
+    words, similarity, distance, bands = how.words, how.similarity, how.distance, how.bands
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 128):
+            sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in strings(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    sets = met_texts.select("node", "text").mapInArrow(read, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
+
+    def verify(t: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        fp = t.column("fp").to_numpy().view(np.uint64)
+        keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, bands)
+        out = (popcount(fp[i] ^ fp[j]) <= distance) | (keys[i] == keys[j]).any(axis=1)
+        column = t.column("shingles").combine_chunks()
+        edge, flat = column.offsets.to_numpy(), column.values.to_numpy()
+        for k in np.flatnonzero(out).tolist():
+            x, y = flat[edge[i[k]] : edge[i[k] + 1]], flat[edge[j[k]] : edge[j[k] + 1]]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out[k] = both >= similarity * (len(x) + len(y) - both) - 1e-12
+        return out
+
+    full = wanted.select("bucket", "node", "fp", "keys").join(sets, "node").select("bucket", "node", "fp", "keys", "shingles")
+    return components(links_in_buckets(full, verify, group))
+
+
+def keep_one_similar(docs: DataFrame, how: NearCopies = NearCopies()) -> DataFrame:
+    """The rows of ``docs``, one of each component of near copies: that with the smallest id."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    nodes = sketches(docs, how).groupBy(F.col("text_hash").alias("node")).agg(first, F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = saved(nodes)
+    rooted = nodes.join(similar_texts(docs, nodes, how), "node", "left").select("first", F.coalesce("root", "node").alias("root"))
+    return _only(docs, rooted.groupBy("root").agg(F.min("first").alias("keeper")).select("keeper.*"))

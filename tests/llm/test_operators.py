@@ -181,6 +181,29 @@ def test_simhash_chain_in_hot_bucket_keeps_every_link(spark):
     assert got == {k: v for k, v in root.items() if list(root.values()).count(v) > 1}
 
 
+def test_near_copies_of_a_pipeline_stage(spark, no_docs):
+    rows, cases = [], ((100, 1), (200, 4), (300, 3), (400, 7), (120, 1), (120, 4))
+    for k, (n, changes) in enumerate(cases):
+        base = text_of(500 + k, n).split()
+        near = list(base)
+        for c in range(changes):
+            near[(c + 1) * n // (changes + 1)] = f"changed{c}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+    rows += [(90, rows[0][1]), (91, None), (92, ""), (93, " "), (None, "no id here"), (None, rows[2][1]), (94, text_of(600, 80)), (94, text_of(601, 80))]
+    docs = table_of(spark, rows)
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    near = {2 * k for k in range(len(cases)) if len(shingles(rows[2 * k][1]) & shingles(rows[2 * k + 1][1])) >= 0.8 * len(shingles(rows[2 * k][1]) | shingles(rows[2 * k + 1][1]))}
+    assert near == {0, 2, 4, 6, 8}
+    kept = simhash.keep_one_similar(docs)
+    assert kept.columns == docs.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([0, 2, 4, 6, 8, 10, 11, 91, None, 94, 94])
+    assert simhash.keep_one_similar(no_docs).count() == 0
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 20)), max_size=40))
 def test_forest_connects_what_is_linked(rows):
