@@ -26,7 +26,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; trusted are those labelled as good."""
     trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    return quality_rules.keep(docs, trusted)
+    return quality_rules.keep(docs, trusted, quality_rules.SMOOTH)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

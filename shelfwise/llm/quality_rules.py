@@ -1,13 +1,14 @@
 """Quality rules: base counts of a text and a hashed n-gram log-likelihood ratio, in SQL functions only.
 
 Word unigrams and bigrams are hashed into ``buckets`` cells. Two multinomials are counted over all
-rows, one over the trusted target rows and one over the raw corpus, both with one added to each
-cell. A document scores the mean over its n-grams of log p_target - log p_raw, and is kept if that
+rows, one over the trusted target rows and one over the raw corpus. One is added to each raw cell. The target
+gets ``prior`` counts a cell too, but dealt out as the raw corpus is: where the trusted rows are few it stays near the
+raw one, and the score near zero, instead of being pulled to flat. With ``prior`` zero, one is added to each target cell. A document scores the mean over its n-grams of log p_target - log p_raw, and is kept if that
 is no less than ``threshold``; there is no sampling and no random number.
 
 Null or empty text: no words, all counts zero, score 0, base_failed. Repeated rows: each is
-counted and judged. No trusted row, or an empty table: both multinomials are flat, score 0 or less
-by the raw counts alone, still deterministic. Other columns are not touched and may have any name.
+counted and judged. No trusted row, or an empty table: with a prior every score is 0, so all that passes the base rules
+is kept; without one the scores come from the raw counts alone, still deterministic. Other columns are not touched and may have any name.
 """
 
 from __future__ import annotations
@@ -30,6 +31,11 @@ class QualityRules:
     threshold: float = -0.08
     min_words: int = 50
     max_repeat_percent: int = 50
+    prior: float = 0.0  # counts a cell that the target takes over from the raw corpus
+
+
+#: For tables of any size: clean texts unlike the few trusted rows are not rejected for that.
+SMOOTH = QualityRules(prior=8.0)
 
 
 def _words(text: Column) -> Column:
@@ -123,10 +129,15 @@ def weights(docs: DataFrame, trusted: DataFrame, rules: QualityRules) -> Column:
         F.array_sort(F.collect_list(F.struct("cell", "raw", "trust"))).alias("cells"),
         F.sum("raw").alias("raws"), F.sum("trust").alias("trusts"),
     )
-    ratio = F.transform(
-        "cells",
-        lambda c: F.log((c["trust"] + 1) / (F.col("trusts") + b)) - F.log((c["raw"] + 1) / (F.col("raws") + b)),
-    )
+    m = F.lit(rules.prior * rules.buckets)
+
+    def log_ratio(c: Column) -> Column:
+        p_raw = (c["raw"] + 1) / (F.col("raws") + b)
+        if rules.prior:
+            return F.log((c["trust"] / p_raw + m) / (F.col("trusts") + m))
+        return F.log((c["trust"] + 1) / (F.col("trusts") + b)) - F.log(p_raw)
+
+    ratio = F.transform("cells", log_ratio)
     return packed.select(ratio).scalar()
 
 

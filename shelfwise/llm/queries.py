@@ -24,7 +24,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 @query
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     trusted = table(spark, folder, "labels").filter("quality = 1").select("doc_id")
-    out = quality_rules.judge(table(spark, folder, "documents"), trusted)
+    out = quality_rules.judge(table(spark, folder, "documents"), trusted, quality_rules.SMOOTH)
     return out.select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         "kept", F.round("score", 9).alias("score"),

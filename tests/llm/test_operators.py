@@ -91,6 +91,28 @@ def test_quality_score_is_the_ratio_of_two_multinomials(spark):
         assert got[i] == pytest.approx(np.mean(ratio))
 
 
+@pytest.mark.parametrize("rows", [60, 300])
+def test_quality_keeps_clean_held_out_texts_of_each_language(spark, rows):
+    def clean(lang, seed):
+        r = np.random.default_rng(seed)
+        return " ".join(f"{lang}{int(v)}" for v in 400 * r.random(120) ** 2)
+
+    texts = [(i, clean("en" if i % 6 else "es", i)) for i in range(rows)]
+    junk = [(10_000 + i, " ".join(f"z{v}" for v in np.random.default_rng(i).integers(0, 300, 120))) for i in range(rows // 4)]
+    docs, trusted = table_of(spark, texts + junk), spark.createDataFrame([(i,) for i in range(0, rows, 4)], "doc_id bigint")
+
+    def rejected(trusted, rules):
+        return Counter(
+            r["row"]["text"][:2] if r["row"]["doc_id"] < 10_000 else "junk" for r in quality_rules.judge(docs, trusted, rules).collect()
+            if not r["kept"] and (r["row"]["doc_id"] >= 10_000 or r["row"]["doc_id"] % 4)
+        )
+
+    before, after = rejected(trusted, quality_rules.QualityRules()), rejected(trusted, quality_rules.SMOOTH)
+    assert before["en"] + before["es"] > 0 and after["en"] == after["es"] == 0
+    assert rows < 300 or after["junk"] > 0
+    assert not rejected(trusted.limit(0), quality_rules.SMOOTH)
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://", "https://A.Example.NET/en/x?q#f", "http://example.net", "http://b.org/fr/1", "http://example.com/de/",
             "http://xexample.com/de/", "http://cheap-pills.example.org/en/9.html", "http://quiet-meadow.example.org/en/9.html", "x://h?p/a", "a://b://c/d"]
