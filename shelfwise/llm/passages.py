@@ -6,7 +6,8 @@ similarity of their shingle sets is verified, and what is linked forms component
 pasted inside a line has no line of its own, so windows of ``window`` words are taken as paragraphs
 too: winnowing picks in every text the window with the least hash among ``window`` neighbours, so two texts
 that share a run of ``2 * window - 1`` words or more pick the same window within it. Windows are compared by
-a 96-bit hash of their words, ASCII letters in lower case.
+a 96-bit hash of their words, ASCII letters in lower case. Windows that repeat are seeds: each grows on either side, word by
+word and by up to ``window - 1`` words, as far as another document goes on alike, so no outer word of such a run is left.
 
 In each component the occurrence with the smallest (doc_id, start) stays, and those in other documents are to be
 removed. Overlapping removals of a document are merged. Positions are code points.
@@ -125,6 +126,7 @@ def line_bounds(w: Words, least: int) -> list[tuple[int, int]]:
 
 _LINES = "doc bigint, start int, end int, node bigint, keys array<bigint>"
 _WINDOWS = "doc bigint, start int, end int, hash bigint, proof int"
+_SPOT = ("at", "words")
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -141,7 +143,7 @@ def paragraphs(docs: DataFrame, how: Passages) -> tuple[DataFrame, DataFrame]:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 128):
-            out: dict[str, list] = {k: [] for k in ("doc", "start", "end", "node", "proof")}
+            out: dict[str, list] = {k: [] for k in ("doc", "start", "end", "node", "proof", *_SPOT)}
             keys: list[np.ndarray | None] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if not text:
@@ -156,6 +158,8 @@ def paragraphs(docs: DataFrame, how: Passages) -> tuple[DataFrame, DataFrame]:
                     out["end"].append(w.end[at + window - 1])
                     out["node"].append(a[at].view(np.int64))
                     out["proof"].append((b >> np.uint64(33)).astype(np.int32))
+                    out["at"].append(at.astype(np.int32))
+                    out["words"].append(np.full(len(at), len(w.hashes), dtype=np.int32))
                     keys += [None] * len(at)
                 bounds = line_bounds(w, least)
                 if bounds:
@@ -176,20 +180,80 @@ def paragraphs(docs: DataFrame, how: Passages) -> tuple[DataFrame, DataFrame]:
                     out["start"].append(w.start[ends[:, 0]])
                     out["end"].append(w.end[ends[:, 1] - 1])
                     out["node"].append(node.view(np.int64))
-                    out["proof"].append(np.zeros(len(bounds), dtype=np.int32))
+                    for k in ("proof", *_SPOT):
+                        out[k].append(np.zeros(len(bounds), dtype=np.int32))
                     keys += list(key.view(np.int64))
             if keys:
                 flat = {k: np.concatenate(v) for k, v in out.items()}
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(flat["doc"], pa.int64()), pa.array(flat["start"], pa.int32()), pa.array(flat["end"], pa.int32()),
-                     pa.array(flat["node"], pa.int64()), pa.array(flat["proof"], pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc", "start", "end", "node", "proof", "keys"],
+                     pa.array(flat["node"], pa.int64()), pa.array(flat["proof"], pa.int32()),
+                     *[pa.array(flat[k], pa.int32()) for k in _SPOT], pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc", "start", "end", "node", "proof", *_SPOT, "keys"],
                 )
 
     slim = docs.select(_doc().alias("doc"), "text")
-    both = table_saved(slim.mapInArrow(scan, "doc bigint, start int, end int, node bigint, proof int, keys array<bigint>"))
+    both = table_saved(slim.mapInArrow(scan, "doc bigint, start int, end int, node bigint, proof int, at int, words int, keys array<bigint>"))
     lines = both.filter("keys is not null").select("doc", "start", "end", "node", "keys")
-    return lines, both.filter("keys is null").select("doc", "start", "end", F.col("node").alias("hash"), "proof")
+    return lines, both.filter("keys is null").select("doc", "start", "end", F.col("node").alias("hash"), "proof", *_SPOT)
+
+
+def grown(docs: DataFrame, windows: DataFrame, how: Passages) -> DataFrame:
+    """(doc, start, end, hash, proof) of repeated windows with 1 to ``window - 1`` words more on one side.
+
+    A side of a window is looked at in all documents if in one of them repeated windows do not cover
+    it already, so the inner windows of a passage do not take part.
+    """
+    size, reach, pair = how.window, how.window - 1, ["hash", "proof"]
+    groups = windows.groupBy(*pair).agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high")
+    hits = windows.join(groups.select(*pair), pair, "left_semi").select("doc", "at", "words", *pair)
+    order = W.partitionBy("doc").orderBy("at")
+    before = F.max(F.col("at") + size).over(order.rowsBetween(W.unboundedPreceding, -1))
+    hits = hits.withColumn("fresh", F.coalesce((F.col("at") > before).cast("int"), F.lit(1)))
+    hits = saved(hits.withColumn("island", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0))))
+    edges = hits.groupBy("doc", "island").agg(F.min("at").alias("first"), F.max(F.col("at") + size).alias("last"))
+    left = (F.col("first") > 0) & (F.col("at") - reach < F.col("first"))
+    right = (F.col("last") < F.col("words")) & (F.col("at") + size + reach > F.col("last"))
+    sides = hits.join(edges, ["doc", "island"]).groupBy(*pair).agg(F.max(left).alias("left"), F.max(right).alias("right")).filter("left or right")
+    wanted = hits.join(sides, pair).groupBy("doc").agg(F.collect_list(F.struct("at", "left", "right", *pair)).alias("spans"))
+    wanted = saved(wanted)
+    if (wanted.agg(F.sum(F.size("spans")).alias("n")).first()["n"] or 0) <= BROADCAST_LINES:
+        wanted = F.broadcast(wanted)
+    steps = np.arange(1, size)
+    powers = [np.array([_power(b, int(k)) for k in steps]) for b in _BASES]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 128):
+            out: list[tuple[np.ndarray, ...]] = []
+            for doc, text, spans in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                w = words_of(text.encode())
+                seeds = rolling(w.hashes, size, _BASES[0]).view(np.int64)
+                for side in ("left", "right"):
+                    spot = [(s["at"], s["hash"], s["proof"]) for s in spans if s[side]]
+                    spot = [x for x in spot if x[0] < len(seeds) and seeds[x[0]] == x[1]]  # other texts may have the same id
+                    if not spot:
+                        continue
+                    at, seed, proof = (np.array(x, dtype=np.int64)[:, None] for x in zip(*spot))
+                    word = at - steps if side == "left" else at + reach + steps
+                    inside = (word >= 0) & (word < len(w.hashes))
+                    values = w.hashes[np.clip(word, 0, len(w.hashes) - 1)]
+                    mark = steps.astype(np.uint64) * np.uint64(2) + np.uint64(side == "left")
+                    one, two = (
+                        _mix(np.cumsum(values * p, axis=1, dtype=np.uint64) + _mix(start.view(np.uint64) + mark))
+                        for p, start in zip(powers, (seed, proof), strict=True)
+                    )
+                    low = word if side == "left" else np.broadcast_to(at, word.shape)
+                    high = np.broadcast_to(at + reach, word.shape) if side == "left" else word
+                    n = int(inside.sum())
+                    out.append((np.full(n, doc), w.start[low[inside]], w.end[high[inside]], one[inside].view(np.int64), (two[inside] >> np.uint64(33)).astype(np.int32)))
+            if out:
+                types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), types, strict=True)], names=["doc", "start", "end", "hash", "proof"],
+                )
+
+    texts = docs.select(_doc().alias("doc"), "text").filter("text is not null")
+    return table_saved(texts.join(wanted, "doc").select("doc", "text", "spans").mapInArrow(read, _WINDOWS))
 
 
 def _occurrences(found: DataFrame, by: list[str]) -> DataFrame:
@@ -247,7 +311,8 @@ def repeats(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
     lines, windows = paragraphs(docs, how)
     linked = similar_lines(docs, lines, how)
     rooted = lines.select("doc", "start", "end", "node").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    found = _occurrences(rooted, ["root"]).unionByName(_occurrences(windows, ["hash", "proof"])).distinct()
+    found = _occurrences(rooted, ["root"]).unionByName(_occurrences(windows, ["hash", "proof"]))
+    found = found.unionByName(_occurrences(grown(docs, windows, how), ["hash", "proof"])).distinct()
     found = found.withColumn("removed", F.col("keeper") != F.col("doc"))
     # merge what overlaps or touches, for each document and kind
     order = W.partitionBy("doc", "removed").orderBy("start", "end")

@@ -261,6 +261,22 @@ def test_passages_against_brute_force(spark, docs, no_docs):
     assert passages.repeats(no_docs).count() == 0 and passages.remove_repeats(no_docs).count() == 0
 
 
+def test_no_shared_word_of_a_passage_stays(spark):
+    rows, whole = [], {}
+    for k in range(30):
+        passage = text_of(900 + k, 51 + k % 3 * 10)
+        for i in (3 * k, 3 * k + 1, 3 * k + 2):
+            before, after = (" ".join(f"{side}{i}x{j}" for j in range(20 + i % 40)) for side in "pq")
+            rows.append((i, f"{before} é{i} {passage} {after}"))
+            whole[i] = (f"{before} é{i} ", " " + after, passage)
+    # a passage whose ends an earlier document shares with another one only
+    rows += [(200, text_of(990, 30)), (201, text_of(991, 10) + " " + text_of(990, 30) + " " + text_of(992, 40)), (202, " ".join((text_of(991, 10) + " " + text_of(990, 30) + " " + text_of(992, 40)).split()[5:]))]
+    by = {r["doc_id"]: r["text"] for r in passages.remove_repeats(table_of(spark, rows)).collect()}
+    for i, (before, after, passage) in whole.items():
+        assert by[i] == (before + (passage if i % 3 == 0 else "") + after)
+    assert 202 not in by
+
+
 def test_near_equal_lines_meet(spark):
     line = text_of(11, 80)
     words = line.split()
