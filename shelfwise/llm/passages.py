@@ -1,6 +1,7 @@
 """Substring dedup: paragraphs that repeat across documents, found by MinHash banding and verified.
 
-Two kinds of paragraph are compared. Lines of at least ``least_words`` words get MinHash signatures
+Two kinds of paragraph are compared. Lines of at least ``least_words`` words, which is one shingle, and blocks of lines
+between blank lines, so that hard-wrapped paragraphs are whole, get MinHash signatures
 of their five-word shingles; lines that share a band meet in a bucket, where the exact Jaccard
 similarity of their shingle sets is verified, and what is linked forms components. A passage that was
 pasted inside a line has no line of its own, so windows of ``window`` words are taken as paragraphs
@@ -46,7 +47,7 @@ class Passages:
     similarity: float = 0.8
     recall: float = 0.99  # of line pairs that are just similar enough
     rows: int = 2  # hashes in a band
-    least_words: int = 20
+    least_words: int = 5
     window: int = 25
 
     @property
@@ -124,6 +125,13 @@ def line_bounds(w: Words, least: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if b - a >= least]
 
 
+def block_bounds(w: Words, least: int) -> list[tuple[int, int]]:
+    """The same of the blocks of lines between blank lines; where one line has 95 % of a block's words, it stands for the block."""
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(w.line) > 1) + 1, [len(w.line)]])
+    blocks = [(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if b - a >= least and w.line[a] < w.line[b - 1]]
+    return [(a, b) for a, b in blocks if 100 * np.bincount(w.line[a:b] - w.line[a]).max() < 95 * (b - a)]
+
+
 _LINES = "doc bigint, start int, end int, node bigint, keys array<bigint>"
 _WINDOWS = "doc bigint, start int, end int, hash bigint, proof int"
 _SPOT = ("at", "words")
@@ -161,7 +169,7 @@ def paragraphs(docs: DataFrame, how: Passages) -> tuple[DataFrame, DataFrame]:
                     out["at"].append(at.astype(np.int32))
                     out["words"].append(np.full(len(at), len(w.hashes), dtype=np.int32))
                     keys += [None] * len(at)
-                bounds = line_bounds(w, least)
+                bounds = block_bounds(w, least) + line_bounds(w, least)
                 if bounds:
                     s = rolling(w.hashes, shingle, _BASES[0])
                     ends = np.array(bounds)

@@ -277,6 +277,25 @@ def test_no_shared_word_of_a_passage_stays(spark):
     assert 202 not in by
 
 
+def test_short_lines_and_wrapped_paragraphs_meet(spark):
+    words = text_of(700, 90).split()
+    near = [*words[:44], "other", *words[45:]]
+
+    def wrapped(w, n):
+        return "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+
+    short, four = "all rights of this text", "of only four words"
+    rows = [
+        (1, f"{wrapped(words, 11)}\n\n{text_of(701, 30)}\n{short}\n{four}"), (2, f"{text_of(702, 30)}\n \n{wrapped(near, 13)}\n\n{text_of(703, 9)}"),
+        (3, f"{text_of(704, 30)}\n{short}\n{text_of(705, 12)}\n{four}"), (4, f"{text_of(706, 12)}\n{text_of(705, 12)}"),
+    ]
+    by = {r["doc_id"]: r["text"] for r in passages.remove_repeats(table_of(spark, rows)).collect()}
+    assert by == {
+        1: rows[0][1], 2: f"{text_of(702, 30)}\n \n\n\n{text_of(703, 9)}",
+        3: f"{text_of(704, 30)}\n\n{text_of(705, 12)}\n{four}", 4: f"{text_of(706, 12)}\n",
+    }
+
+
 def test_near_equal_lines_meet(spark):
     line = text_of(11, 80)
     words = line.split()
