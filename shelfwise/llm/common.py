@@ -65,10 +65,10 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def table_saved(df: DataFrame) -> DataFrame:
+def table_saved(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Like :func:`saved`, but as a Parquet table in the checkpoint folder, which is far smaller for long tables."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)

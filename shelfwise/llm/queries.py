@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import byte_bpe, neighbours, packing, passages, quality_rules, secrets, sharding, simhash, toxicity, url_filter
-from shelfwise.llm.common import saved, table
+from shelfwise.llm import (
+    alignment, byte_bpe, licenses, neighbours, packing, passages, periodic, quality_rules, secrets, sharding, simhash, toxicity, url_filter,
+)
+from shelfwise.llm.common import saved, table, table_saved
 from shelfwise.llm.url_filter import Rule, UrlModel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +131,39 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op11_tokenizer_spans(spark: SparkSession, folder: str) -> DataFrame:
+    shared = alignment.vocabularies(spark, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    out = alignment.align(table(spark, folder, "documents").select("doc_id", "text"), shared, spans=False)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    slim = table_saved(
+        out.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"), "pairs", "times"), compression="zstd"
+    )
+    return alignment.rated(slim, alignment.pair_counts(slim))
+
+
+@query
+def op12_block_convolution(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    out = periodic.find(docs, periodic.with_repeats(F.col("text"), F.col("doc_id"))).withColumn("long", periodic.longest())
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return out.select(
+        "row.doc_id", F.size("runs").cast("long").alias("n_runs"), "long.start", "long.length", "long.period",
+        F.floor(F.col("long.length") * 1000 / F.col("long.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_license_join(spark: SparkSession, folder: str) -> DataFrame:
+    out = licenses.scan(table(spark, folder, "documents"), keep=["doc_id"])
+    base = F.array_distinct(F.transform("found", lambda x: x["label"]))
+    every = F.array_distinct(F.concat(base, F.transform("hits", lambda x: x["label"])))
+    starts = F.transform("found", lambda x: x["start"])
+    score = F.when(F.size("found") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("hits", lambda x: x["score"])), F.lit(0.0)))
+    return out.select(
+        "row.doc_id", "n_words", F.size("found").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(base), ",").alias("base_labels"), F.array_join(F.array_sort(every), ",").alias("labels"), score.alias("score"),
+    )
