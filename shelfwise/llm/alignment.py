@@ -8,7 +8,8 @@ do, are placed by their decoded bytes. Byte offsets at which a token of either s
 
 Work is done once for each distinct piece of text that a worker remembers: where a space follows a character that is no white
 space, A's pattern begins a new match and B, if no entry of its vocabulary holds a space behind another character
-(checked), a new piece. Both are tokenized from such cut to such cut; other vocabularies see whole texts.
+(checked), a new piece. The same holds before line ends and between letters and the punctuation that no entry holds behind a letter. Both
+are tokenized from such cut to such cut; other vocabularies see whole texts.
 
 A text that is null, empty, or not given back byte for byte by both sides has no tokens: zeros and the empty string.
 Repeated rows are rows of their own and count as documents. Long texts are read whole. An empty table gives an
@@ -17,10 +18,12 @@ empty result. The columns of the input stay in the struct ``row``, so they may h
 
 from __future__ import annotations
 
+import gc
 import json
 import re
+from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,23 +36,16 @@ from shelfwise.llm.common import saved, small_batches, strings, table_saved
 #: So many pairs of ids, those in most documents, are broadcast with their counts (some 17 bytes each); others are joined.
 BROADCAST_PAIRS = 1_000_000
 #: Pieces of text a worker remembers, the longest of them, and how many are tokenized in one call.
-REMEMBERED, LONGEST, TOGETHER = 400_000, 48, 16
+REMEMBERED, LONGEST, TOGETHER = 500_000, 48, 128
 _CUT = re.compile(r"(?<=\S)(?= )")
 _ODD = re.compile(r" \s|\s\Z")
 _B = np.int64(1 << 32)
+_NONE: tuple[tuple, ...] = ((),) * 7
 
 
-@dataclass(frozen=True, slots=True)
-class Aligned:
-    """The groups of one piece of text: as text, the linked ids (a * 2**32 + b, with repeats), group ends in bytes."""
-
-    groups: str
-    links: bytes
-    ends: bytes
-    n_a: int
-    n_b: int
-    n_groups: int
-    size: int
+#: The groups of one piece of text: as text, the linked ids (a * 2**32 + b, with repeats, 8 bytes each), where in the piece the groups end (8 bytes
+#: each), numbers of tokens of A and B, of groups, and the piece's bytes. A plain tuple: hundreds of thousands are remembered.
+Aligned = tuple[str, bytes, bytes, int, int, int, int]
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -62,7 +58,7 @@ def _byte_alphabet() -> dict[str, int]:
 class Aligner:
     """Both tokenizers in a worker, with the pieces of text met so far."""
 
-    def __init__(self, a_json: bytes, b_model: bytes):
+    def __init__(self, a_json: bytes, b_model: bytes, spans: bool = True):
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -82,7 +78,14 @@ class Aligner:
             not any(re.search("[^▁]▁", p) for p in pieces) and plan.get("normalizer") is None
             and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         )
+        marks = "".join(c for c in ".,;:!?" if not any(re.search(rf"[^\W_]{re.escape(c)}", p) for p in pieces))
+        lines = "" if any("\n" in p for p in pieces) else r"|(?<=\S)(?=\n)"
+        self.finer = re.compile(rf"(?<=[^\W_])(?=[{marks}]){lines}" if marks else lines[1:] or r"(?!)")
+        self.a_names, self.b_names = [str(i) for i in range(size)], [str(i) for i in range(len(pieces))]
+        self.spans = spans
+        self.skip = len(self.b.encode("x"))
         self.known: dict[str, Aligned | None] = {}
+        self.parts: dict[str, Aligned | None] = {}
 
     def pieces(self, text: str) -> list[str]:
         """Pieces of the text with its space, which both sides tokenize apart."""
@@ -93,21 +96,23 @@ class Aligner:
         return _CUT.split(text) if "\0" in text or _ODD.search(text) else text.replace(" ", "\0 ").split("\0")[1:]
 
     def _tokens(self, text: str) -> tuple[list[int], np.ndarray, list[int], np.ndarray] | None:
-        """Ids and byte ends of both sides of a text that begins with a space; none if the bytes differ."""
+        """Ids and byte ends of both sides of a part of a text; none if the bytes differ."""
         source = text.encode()
         e = self.a.encode(text, add_special_tokens=False)
-        proto = [(p.id, p.begin, p.end) for p in self.b.encode(text[1:], return_type="proto").pieces] if len(text) > 1 else []
-        if not proto:  # a lone space, which B would not see: read it behind a letter
-            proto = [(i, 0, 0) for i in self.b.encode("x" + text)[len(self.b.encode("x")) :]]
+        if text[0] == " " and len(text) > 1:  # B adds the space itself
+            proto, back = self.b.encode(text[1:], return_type="proto").pieces, -1
+        else:  # a lone space, which B would not see, or no space: read behind a letter, of whose pieces there are ``skip``
+            proto, back = self.b.encode("x" + text, return_type="proto").pieces[self.skip :], 1
+        proto = [(p.id, p.begin, p.end) for p in proto]
         a_ids, b_ids = e.ids, [p[0] for p in proto]
         if b"".join([self.a_bytes[i] for i in a_ids]) != source or b"".join([self.b_bytes[i] for i in b_ids]) != source:
             return None
-        a_spans, b_spans = np.array(e.offsets, dtype=np.int64).reshape(-1, 2), np.array(proto, dtype=np.int64).reshape(-1, 3)[:, 1:]
+        a_spans, b_spans = (np.fromiter(chain.from_iterable(x), dtype=np.int64).reshape(-1, k) for x, k in ((e.offsets, 2), (proto, 3)))
         if len(source) != len(text):  # characters to bytes
             raw = np.frombuffer(source, dtype=np.uint8)
             a_spans = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))[a_spans]
         return (
-            a_ids, _refined(a_spans, self.a_size[a_ids]), b_ids, _refined(b_spans + 1, self.b_size[b_ids]),
+            a_ids, _refined(a_spans, self.a_size[a_ids]), b_ids, _refined(b_spans[:, 1:] - back, self.b_size[b_ids]),
         )
 
     def _align(self, pieces: list[str]) -> list[Aligned | None]:
@@ -117,50 +122,81 @@ class Aligner:
             return [None] if len(pieces) == 1 else [self._align([p])[0] for p in pieces]
         a_ids, a_ends, b_ids, b_ends = found
         cut = np.intersect1d(a_ends, b_ends, assume_unique=True)
-        a_at, b_at = (np.append(0, np.searchsorted(e, cut, side="right")).tolist() for e in (a_ends, b_ends))
+        a_at, b_at = ([0, *np.searchsorted(e, cut, side="right").tolist()] for e in (a_ends, b_ends))
         stops = np.cumsum([len(p.encode()) for p in pieces])
         last = np.searchsorted(cut, stops, side="right").tolist()
-        out, first, start = [], 0, 0
+        a_names, b_names = [self.a_names[i] for i in a_ids], [self.b_names[i] for i in b_ids]
+        out, first, start, cuts = [], 0, 0, cut.tolist()
         for stop, upto in zip(stops.tolist(), last, strict=True):
-            names, links = [], []
+            names, links = [], array("q")
             for g in range(first, upto):
-                a, b = a_ids[a_at[g] : a_at[g + 1]], b_ids[b_at[g] : b_at[g + 1]]
-                names.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
-                if len(a) * len(b) <= 64:
-                    links += [x << 32 | y for x in a for y in b]
+                a, p, b, q = a_at[g], a_at[g + 1], b_at[g], b_at[g + 1]
+                if p - a == q - b == 1:
+                    names.append(f"{a_names[a]}|{b_names[b]}")
+                    links.append(a_ids[a] << 32 | b_ids[b])
+                    continue
+                names.append(f"{','.join(a_names[a:p])}|{','.join(b_names[b:q])}")
+                if (p - a) * (q - b) <= 64:
+                    links.extend([x << 32 | y for x in a_ids[a:p] for y in b_ids[b:q]])
                 else:
-                    links += (np.array(a, dtype=np.int64)[:, None] * _B + np.array(b, dtype=np.int64)).ravel().tolist()
-            out.append(
-                Aligned(
-                    ";".join(names), np.array(links, dtype=np.int64).tobytes(), (cut[first:upto] - start).tobytes(),
-                    a_at[upto] - a_at[first], b_at[upto] - b_at[first], upto - first, stop - start,
-                )
-            )
+                    links.frombytes((np.array(a_ids[a:p], dtype=np.int64)[:, None] * _B + np.array(b_ids[b:q], dtype=np.int64)).tobytes())
+            ends = array("q", [c - start for c in cuts[first:upto]]).tobytes() if self.spans else b""
+            out.append((";".join(names), links.tobytes(), ends, a_at[upto] - a_at[first], b_at[upto] - b_at[first], upto - first, stop - start))
             first, start = upto, stop
         return out
 
+    def _fill(self, fresh: list[str]) -> dict[str, Aligned | None]:
+        """The fresh pieces aligned: put together from their finer parts, of which the new ones are tokenized."""
+        if not self.cuts:
+            return {p: self._align([p])[0] for p in fresh}
+        split = [[p] if p[1:].isalnum() or p[-1] <= " " else self.finer.split(p) for p in fresh]
+        # a part without a space before it is read behind a letter, by itself
+        new = {q for parts in split for q in parts if q not in self.parts}
+        plain = [q for q in new if len(q) <= LONGEST and q[0] in " \n" and len(q) > 1 and q[1] > " " and q[-1] > " " and q[1:].isprintable()]
+        for i in range(0, len(plain), TOGETHER):
+            some = plain[i : i + TOGETHER]
+            self.parts.update(zip(some, self._align(some), strict=True))
+        for q in new:
+            if q not in self.parts:
+                self.parts[q] = self._align([q])[0]
+        out = {}
+        for p, parts in zip(fresh, split, strict=True):
+            got = [self.parts[q] for q in parts]
+            out[p] = got[0] if len(got) == 1 else None if None in got else _joined(got)
+        for q in new:
+            if len(q) > LONGEST:
+                del self.parts[q]
+        return out
+
     def align(self, texts: list[str]) -> list[list[Aligned] | None]:
         """The aligned pieces of each text; none for a text without tokens."""
         split = [self.pieces(t) if t else [] for t in texts]
         every = set().union(*split)
         if len(self.known) + len(every) > REMEMBERED:
             self.known.clear()
-        fresh = [p for p in every if p not in self.known]
-        plain = [p for p in fresh if len(p) <= LONGEST and self.cuts and p[-1] > " " and p[-1].isprintable()]
-        found: dict[str, Aligned | None] = {}
-        for i in range(0, len(plain), TOGETHER):
-            found.update(zip(plain[i : i + TOGETHER], self._align(plain[i : i + TOGETHER]), strict=True))
-        for p in fresh:
-            if p not in found:
-                found[p] = self._align([p])[0]
-        self.known.update((p, x) for p, x in found.items() if len(p) <= LONGEST)
-        known, out = self.known, []
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        known = self.known
+        fresh = [p for p in every if p not in known]
+        known.update(self._fill(fresh))
+        out = []
         for parts in split:
-            got = [known[p] if p in known else found[p] for p in parts]
+            got = list(map(known.__getitem__, parts))
             out.append(None if not got or None in got else got)
+        for p in fresh:
+            if len(p) > LONGEST:
+                del known[p]
         return out
 
 
+def _joined(parts: list[Aligned]) -> Aligned:
+    names, links, own, n_a, n_b, n_groups, size = zip(*parts, strict=True)
+    ends = b"".join(own)
+    if ends:
+        ends = (np.frombuffer(ends, dtype=np.int64) + np.repeat(np.cumsum((0, *size[:-1])), n_groups)).tobytes()
+    return ";".join(names), b"".join(links), ends, sum(n_a), sum(n_b), sum(n_groups), sum(size)
+
+
 def _refined(spans: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Byte ends of tokens: reported ends where they are whole cuts, between them by the sizes of the decoded tokens."""
     by_size = np.cumsum(sizes)
@@ -173,15 +209,15 @@ def _refined(spans: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return by_size + np.where(at >= 0, shift[at], 0)
 
 
-_aligners: dict[int, Aligner] = {}
+_aligners: dict[tuple[int, bool], Aligner] = {}
 
 
-def _aligner(shared: Broadcast) -> Aligner:
+def _aligner(shared: Broadcast, spans: bool) -> Aligner:
     """One for each worker and pair of vocabularies, so that what it remembers outlives a task."""
-    key = hash(shared.value)
+    key = hash(shared.value), spans
     if key not in _aligners:
         _aligners.clear()
-        _aligners[key] = Aligner(*shared.value)
+        _aligners[key] = Aligner(*shared.value, spans)
     return _aligners[key]
 
 
@@ -200,29 +236,30 @@ def align(docs: DataFrame, shared: Broadcast, text: str = "text", spans: bool =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(shared)
+        aligner = _aligner(shared, spans)
+        gc.disable()  # what is remembered has no cycles, and looking for some takes a fifth of the time
         for batch in small_batches(batches, 256):
             texts = [t.decode("utf-8", "surrogateescape") if t else "" for t in strings(batch.column(1))]
             whole = [t if t.isascii() or not any("\ud800" <= c <= "\udfff" for c in t) else "" for t in texts]  # bytes that are no UTF-8
             numbers: list[list[int]] = []
             names, ends, pairs, times = [], [], [], []
             for got in aligner.align(whole):
-                got = got or []
-                joined = np.frombuffer(b"".join([x.links for x in got]), dtype=np.int64)
+                text_groups, links, own, n_a, n_b, n_groups, size = zip(*got, strict=True) if got else _NONE
+                joined = np.frombuffer(b"".join(links), dtype=np.int64)
                 ids, n = np.unique(joined, return_counts=True)
-                numbers.append([sum([x.n_a for x in got]), sum([x.n_b for x in got]), sum([x.n_groups for x in got]), len(joined)])
-                names.append(";".join([x.groups for x in got]))
+                numbers.append([sum(n_a), sum(n_b), sum(n_groups), len(joined)])
+                names.append(";".join(text_groups))
                 pairs.append(ids)
                 times.append(n)
                 if spans:
-                    start = np.cumsum([0, *[x.size for x in got]])[:-1]
-                    own = np.frombuffer(b"".join([x.ends for x in got]), dtype=np.int64)
-                    ends.append(own + np.repeat(start, [x.n_groups for x in got]))
+                    start = np.cumsum((0, *size))[:-1]
+                    ends.append(np.frombuffer(b"".join(own), dtype=np.int64) + np.repeat(start, n_groups))
             count = np.array(numbers, dtype=np.int64).reshape(-1, 4)
             arrays = [batch.column(0), *[pa.array(count[:, k]) for k in range(4)], pa.array(names, pa.string())]
             arrays += [_lists(ends, pa.int64())] if spans else []
             arrays += [_lists(pairs, pa.int64()), _lists(times, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
+        gc.enable()
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
     schema = rows.select(
