@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import age_bucket
 from shelfwise.functions.ordering import running_rank, top_k
+from shelfwise.functions.skew import expansion_join
 from shelfwise.schema import (
     CANDIDATES,
     DECAY_WEEKS,
@@ -15,6 +16,7 @@ from shelfwise.schema import (
     SOURCE_K,
     Calendar,
 )
+from shelfwise.session import materialize
 from shelfwise.sources.splits import before_week, weeks_between
 
 
@@ -72,39 +74,53 @@ def product_code_siblings(
 ) -> DataFrame:
     """Unbought articles that share a product code with a recent purchase, by last week's sales.
 
-    A customer who owns b articles of a code can only need the first k + b of it, so codes
-    are ranked once and cut into blocks of k; each customer joins just the blocks needed.
-    A huge code is thus neither expanded in full nor handled under one join key.
+    The first 2k articles of a code are its head, one array a code. A customer takes the first k of it
+    that they do not own, by array difference, so a code's articles are not expanded for each customer. Only customers
+    who own most of the head of a larger code go on to its next articles, in blocks of k and no deeper than k plus
+    what they own. Both joins cut codes that very many customers bought.
     """
+    head = 2 * k
     codes = articles.select("article_idx", "product_code").filter(F.col("product_code").isNotNull())
     rows = of_customers(before_week(history, cutoff_week), customers)
     bought = rows.groupBy("customer_idx", "article_idx").agg(F.max("week_idx").alias("last_week"))
-    wanted = (
-        bought.join(codes, "article_idx")
-        .groupBy("customer_idx", "product_code")
-        .agg(F.count("*").alias("owned"), F.max("last_week").alias("last_week"))
-        .filter(F.col("last_week") >= cutoff_week - lookback_weeks)
-        .select(
-            "customer_idx",
-            "product_code",
-            (F.col("owned") + k).alias("deepest"),
-            F.explode(F.sequence(F.lit(0), F.floor((F.col("owned") + (k - 1)) / k).cast("int"))).alias("block"),
-        )
-    )
     sold = history if sales_history is None else sales_history
     sales = (
         sold.filter(F.col("week_idx") == cutoff_week - 1).groupBy("article_idx").agg(F.count("*").alias("score"))
     )
     scored = codes.join(sales, "article_idx", "left").withColumn("score", F.coalesce("score", F.lit(0)))
-    ranked = running_rank(scored, ["product_code"], [F.desc("score"), F.asc("article_idx")], "code_rank").withColumn(
-        "block", F.floor((F.col("code_rank") - 1) / k).cast("int")
+    ranked = materialize(running_rank(scored, ["product_code"], [F.desc("score"), F.asc("article_idx")], "code_rank"))
+    entry = F.when(F.col("code_rank") <= head, F.struct("code_rank", "article_idx", "score"))
+    heads = ranked.groupBy("product_code").agg(F.sort_array(F.collect_list(entry)).alias("head"), F.count("*").alias("articles"))
+    wanted = (
+        expansion_join(bought, ranked.select("article_idx", "product_code", "code_rank"), ["article_idx"], "customer_idx", "product_code")
+        .groupBy("customer_idx", "product_code")
+        .agg(
+            F.count("*").alias("owned"),
+            F.max("last_week").alias("last_week"),
+            F.collect_list(F.when(F.col("code_rank") <= head, F.col("code_rank").cast("int"))).alias("owned_head"),
+        )
+        .filter(F.col("last_week") >= cutoff_week - lookback_weeks)
+    )
+    free = F.array_except(F.sequence(F.lit(1), F.size("head")), F.col("owned_head"))
+    taken = expansion_join(wanted, heads, ["product_code"], "customer_idx", "product_code").select(
+        "customer_idx", "product_code", "owned", "articles", F.slice(free, 1, k).alias("free"), "head"
+    )
+    near = taken.select("customer_idx", F.explode(F.transform("free", lambda r: F.get("head", r - 1))).alias("a"))
+    near = near.select("customer_idx", "a.article_idx", "a.score")
+    more = taken.filter((F.size("free") < k) & (F.col("articles") > head)).select(
+        "customer_idx",
+        "product_code",
+        (F.col("owned") + k).alias("deepest"),
+        F.explode(F.sequence(F.lit(head // k), F.floor((F.col("owned") + (k - 1)) / k).cast("int"))).alias("block"),
     )
-    found = (
-        wanted.join(ranked, ["product_code", "block"])
+    blocks = ranked.filter(F.col("code_rank") > head).withColumn("block", F.floor((F.col("code_rank") - 1) / k).cast("int"))
+    deep = (
+        expansion_join(more, blocks, ["product_code", "block"], "customer_idx", "article_idx")
         .filter(F.col("code_rank") <= F.col("deepest"))
         .select("customer_idx", "article_idx", "score")
         .join(bought.select("customer_idx", "article_idx"), ["customer_idx", "article_idx"], "left_anti")
     )
+    found = near.unionByName(deep)
     best = top_k(found, ["customer_idx"], [F.desc("score"), F.asc("article_idx")], k, "source_rank")
     return shape(best, "product_code")
 

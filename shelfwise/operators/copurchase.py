@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.ordering import top_k
+from shelfwise.functions.skew import expansion_join
 from shelfwise.operators.candidates import of_customers, shape
 from shelfwise.schema import BASKET_WEEKS, SEED_WEEKS, SOURCE_K
 from shelfwise.session import materialize
@@ -104,9 +105,9 @@ def _with_large_baskets(small: DataFrame, large: DataFrame, min_count: int, dire
         )
     )
     # counted from the side with fewer large baskets
+    members = large.select(*BASKET, F.col("article_idx").alias("rare"), F.xxhash64(*BASKET).alias("basket"))
     shared = (
-        reach.filter(F.least("la", "lb") > 0)
-        .join(large.select(*BASKET, F.col("article_idx").alias("rare")), "rare")
+        expansion_join(members, reach.filter(F.least("la", "lb") > 0), ["rare"], "basket", "frequent")
         .join(large.select(*BASKET, F.col("article_idx").alias("frequent")), [*BASKET, "frequent"], "left_semi")
         .groupBy("article_a", "article_b")
         .agg(F.count("*").alias("n_shared"))
@@ -146,14 +147,16 @@ def copurchase_candidates(
     k: int = SOURCE_K["copurchase"],
     customer_lookback_weeks: int = SEED_WEEKS,
 ) -> DataFrame:
-    """Sum of edge weights over the distinct articles bought lately; bought articles excluded."""
+    """Sum of edge weights over the distinct articles bought lately; bought articles excluded.
+
+    A popular article has many buyers and many edges: the expansion cuts such a seed on both sides."""
     rows = of_customers(before_week(history, cutoff_week), customers)
     bought = rows.groupBy("customer_idx", "article_idx").agg(F.max("week_idx").alias("last_week"))
     seeds = bought.filter(F.col("last_week") >= cutoff_week - customer_lookback_weeks).select(
         "customer_idx", F.col("article_idx").alias("seed_article")
     )
     scores = (
-        seeds.join(edges, "seed_article")
+        expansion_join(seeds, edges, ["seed_article"], "customer_idx", "candidate_article")
         .groupBy("customer_idx", F.col("candidate_article").alias("article_idx"))
         # rounded so that equal sums tie in every summation order
         .agg(F.round(F.sum("cosine_score"), 9).alias("score"))

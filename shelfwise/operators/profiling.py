@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfwise.functions.bitmaps import distinct_counts, id_bitmaps
 from shelfwise.functions.columns import count_if, safe_ratio
 from shelfwise.functions.ordering import exact_quantiles, running_totals, top_k
 from shelfwise.operators.copurchase import basket_items, pair_counts
+from shelfwise.session import materialize
 from shelfwise.sources.splits import weeks_between
 
 BASKET = ["customer_idx", "t_dat"]
@@ -95,12 +97,9 @@ def value_summary(df: DataFrame, value: str, limits: dict[str, Column]) -> DataF
 
 
 def volume(tx: DataFrame, by: str) -> DataFrame:
-    """Rows, customers and articles per day (``t_dat``) or week (``week_idx``)."""
-    return tx.groupBy(by).agg(
-        F.count("*").alias("n_tx"),
-        F.countDistinct("customer_idx").alias("n_customers"),
-        F.countDistinct("article_idx").alias("n_articles"),
-    )
+    """Rows, customers and articles per day (``t_dat``) or week (``week_idx``), counted by bitmaps of ids."""
+    buyers = distinct_counts(id_bitmaps(tx, [by], "customer_idx"), [by], "n_customers", "n_tx")
+    return buyers.join(distinct_counts(id_bitmaps(tx, [by], "article_idx"), [by], "n_articles").drop("n_rows"), by)
 
 
 def weekday_pattern(tx: DataFrame) -> DataFrame:
@@ -404,10 +403,21 @@ def cold_start(history: DataFrame, truth: DataFrame) -> DataFrame:
     ).withColumn("pct_new_articles", safe_ratio(F.col("n_new_articles") * 100, F.col("n_articles")))
 
 
-def top_pairs(tx: DataFrame, as_of_week: int, lookback: int, articles: DataFrame, n: int = 20, min_count: int = 2) -> DataFrame:
-    """Most frequent article pairs of one basket, among pairs met at least ``min_count`` times."""
-    pairs = pair_counts(basket_items(tx, as_of_week, lookback), min_count)
-    best = pairs.orderBy(F.desc("pair_count"), "article_a", "article_b").limit(n)
+def top_pairs(tx: DataFrame, as_of_week: int, lookback: int, articles: DataFrame, n: int = 20) -> DataFrame:
+    """The n most frequent article pairs of one basket, fewer only where there are fewer.
+
+    No pair is in more baskets than the second most frequent article. From there the least count asked for is
+    halved until n pairs reach it; rare articles take no part before that, so early rounds cost little.
+    """
+    items = materialize(basket_items(tx, as_of_week, lookback))
+    most = items.groupBy("article_idx").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(2).collect()
+    least = most[1]["n"] if len(most) > 1 else 1
+    while True:
+        order = [F.desc("pair_count"), F.asc("article_a"), F.asc("article_b")]
+        best = materialize(pair_counts(items, least).orderBy(*order).limit(n))
+        if least == 1 or best.count() == n:
+            break
+        least //= 2
     names = articles.select("article_idx", "prod_name")
     return best.join(
         names.select(F.col("article_idx").alias("article_a"), F.col("prod_name").alias("name_a")), "article_a", "left"

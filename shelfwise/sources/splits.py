@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.functions.bitmaps import distinct_counts, id_bitmaps
 from shelfwise.functions.columns import week_end, week_index, week_start
 from shelfwise.schema import Calendar
 
@@ -60,22 +61,20 @@ def last_full_week(tx: DataFrame, cal: Calendar) -> DataFrame:
 
 def fold_overview(tx: DataFrame, weeks: list[int], cal: Calendar) -> DataFrame:
     """Dates, rows, buyers and history size of each fold week."""
-    per_week = (
-        tx.groupBy("week_idx")
-        .agg(
-            F.count("*").alias("n_transactions"),
-            F.countDistinct("customer_idx").alias("n_customers"),
-            F.countDistinct("article_idx").alias("n_articles"),
-        )
-    )
-    hist = [
-        F.count(F.when(F.col("week_idx") < w, 1)).alias(f"h{w}") for w in weeks
+    per_week = tx.groupBy("week_idx").agg(F.count("*").alias("n_transactions"))  # a row a week
+    folds = tx.filter(F.col("week_idx").isin(list(weeks)))
+    distinct = [
+        distinct_counts(id_bitmaps(folds, ["week_idx"], c), ["week_idx"], name).drop("n_rows")
+        for c, name in (("customer_idx", "n_customers"), ("article_idx", "n_articles"))
     ]
-    sizes = tx.agg(*hist).select(
+    hist = [F.sum(F.when(F.col("week_idx") < w, F.col("n_transactions")).otherwise(0)).alias(f"h{w}") for w in weeks]
+    sizes = per_week.agg(*hist).select(
         F.explode(F.array(*[F.struct(F.lit(w).alias("week_idx"), F.col(f"h{w}").alias("n_history")) for w in weeks]))
     ).select("col.*")
     return (
         per_week.filter(F.col("week_idx").isin(list(weeks)))
+        .join(distinct[0], "week_idx")
+        .join(distinct[1], "week_idx")
         .join(sizes, "week_idx")
         .select(
             "week_idx",

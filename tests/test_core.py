@@ -5,11 +5,14 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shelfwise.functions import bitmaps, skew
 from shelfwise.functions import columns as col
 from shelfwise.functions import ordering as od
+from shelfwise.functions.skew import expansion_join
 from shelfwise.functions.student import two_sided_t
 from shelfwise.operators import candidates as cand
 from shelfwise.operators import copurchase as cop
@@ -18,6 +21,7 @@ from shelfwise.operators import explain as xp
 from shelfwise.operators import features as ft
 from shelfwise.operators import merge as mg
 from shelfwise.operators import metrics as mt
+from shelfwise.operators import profiling
 from shelfwise.plans import candidate_run as cr
 from shelfwise.plans.fold_features import build_fold_features
 from shelfwise.schema import FEATURE_NAMES, FEATURES, RETAIL_CALENDAR as CAL
@@ -249,3 +253,83 @@ def test_last_full_week_of_a_short_last_week(spark):
     for days, want in ((0, 11), (5, 11), (6, 12), (7, 12)):
         tx = spark.createDataFrame([(start + dt.timedelta(days=days),)], "t_dat date")
         assert last_full_week(tx, CAL).first().last_week == want
+
+
+def test_expansion_join_cuts_heavy_keys(spark):
+    left = spark.createDataFrame([(k, c) for k, n in ((1, 700), (2, 40), (3, 1), (5, 3)) for c in range(n)], "k int, c int")
+    right = spark.createDataFrame([(k, a) for k, n in ((1, 90), (2, 30), (3, 50), (4, 9)) for a in range(n)], "k int, a int")
+    want = sorted((k, c, a) for k, n, m in ((1, 700, 90), (2, 40, 30), (3, 1, 50)) for c in range(n) for a in range(m))
+    for rows in ((20_000, 1_000), (50, 20), (1, 1)):
+        got = expansion_join(left, right, ["k"], "c", "a", *rows)
+        assert sorted(tuple(r) for r in got.select("k", "c", "a").collect()) == want
+
+
+def test_copurchase_candidates_with_one_article_in_most_baskets(spark, make_tx, monkeypatch):
+    """Article 0 is in nearly all baskets and has an edge to every other: no group of the expansion is large."""
+    r = np.random.default_rng(4)
+    rows = [(c, 0, 59, 0.1, 1) for c in range(400)] + [(c, int(a), 59, 0.1, 1) for c in range(400) for a in r.integers(1, 300, 4)]
+    tx = make_tx(rows)
+    edges = cop.copurchase_edges(tx, 60, 52, 1)
+    plain = sorted(map(tuple, cop.copurchase_candidates(tx, 60, None, edges, 20).collect()))
+    sizes = []
+
+    def cut(left, right, keys, a, b):
+        out = skew.expansion_join(left, right, keys, a, b, 50, 40)
+        spread = out.withColumn("g", F.struct("seed_article", F.pmod(F.xxhash64(a), F.lit(8)), F.pmod(F.xxhash64(b), F.lit(8))))
+        sizes.extend(r["count"] for r in spread.filter("seed_article = 0").groupBy("g").count().collect())
+        return out
+
+    monkeypatch.setattr(cop, "expansion_join", cut)
+    assert sorted(map(tuple, cop.copurchase_candidates(tx, 60, None, edges, 20).collect())) == plain
+    assert len(sizes) == 64 and max(sizes) <= 3 * sorted(sizes)[32]
+    bought, seen = {}, {}
+    for c, a, *_ in rows:
+        bought.setdefault(c, set()).add(a)
+    weight = {(e.seed_article, e.candidate_article): e.cosine_score for e in edges.collect()}
+    for (s, a), w in weight.items():
+        seen.setdefault(s, []).append((a, w))
+    for c in (0, 7, 399):
+        score = {}
+        for s in bought[c]:
+            for a, w in seen[s]:
+                if a not in bought[c]:
+                    score[a] = score.get(a, 0) + w
+        best = sorted(score, key=lambda a: (-round(score[a], 9), a))[:20]
+        assert [x[1] for x in sorted((x for x in plain if x[0] == c), key=lambda x: x[4])] == best
+
+
+def test_siblings_of_one_code_that_most_customers_buy(spark, make_tx, monkeypatch):
+    """One code with 60 articles and 300 buyers, some of whom own most of its head or all of it."""
+    rows = [(c, c % 60, 99, 0.1, 1) for c in range(300)] + [(c, a, 99, 0.1, 1) for c in range(4) for a in range(0, 60 if c == 3 else 14 + c)]
+    tx, art = make_tx(rows), spark.createDataFrame([(a, "p" if a < 60 else "q") for a in range(65)], "article_idx int, product_code string")
+    got = sorted(map(tuple, cand.product_code_siblings(tx, 100, None, art, 5).collect()))
+    monkeypatch.setattr(cand, "expansion_join", lambda a, b, keys, x, y: skew.expansion_join(a, b, keys, x, y, 20, 3))
+    assert sorted(map(tuple, cand.product_code_siblings(tx, 100, None, art, 5).collect())) == got
+    sold, bought = {}, {}
+    for c, a, *_ in rows:
+        sold[a] = sold.get(a, 0) + 1
+        bought.setdefault(c, set()).add(a)
+    order = sorted(range(60), key=lambda a: (-sold[a], a))
+    for c in range(300):
+        want = [a for a in order if a not in bought[c]][:5]
+        assert [x[1] for x in sorted((x for x in got if x[0] == c), key=lambda x: x[4])] == want
+
+
+def test_distinct_counts_by_bitmaps(spark, make_tx):
+    r = np.random.default_rng(2)
+    rows = [(int(c), int(a), int(w), 0.1, 1) for c, a, w in zip(r.integers(0, 90_000, 3_000), r.integers(0, 50, 3_000), r.integers(90, 100, 3_000))]
+    tx = make_tx(rows)
+    weekly = {w: ({c for c, _, v, *_ in rows if v == w}, {a for _, a, v, *_ in rows if v == w}, sum(v == w for _, _, v, *_ in rows)) for w in range(90, 100)}
+    got = profiling.volume(tx, "week_idx")
+    assert {r.week_idx: (r.n_tx, r.n_customers, r.n_articles) for r in got.collect()} == {w: (n, len(c), len(a)) for w, (c, a, n) in weekly.items()}
+    assert "Expand" not in got._jdf.queryExecution().toString()
+    coarse = bitmaps.merged(bitmaps.id_bitmaps(tx, ["week_idx"], "customer_idx").withColumn("half", F.col("week_idx") >= 95), ["half"])
+    want = {h: len(set().union(*[weekly[w][0] for w in weekly if (w >= 95) == h])) for h in (False, True)}
+    assert {r.half: r.n for r in bitmaps.distinct_counts(coarse, ["half"], "n").collect()} == want
+
+
+def test_top_pairs_reach_n(spark, make_tx):
+    tx = make_tx([(c, a, 99, 0.1, 1) for c, arts in ((1, (1, 2, 3)), (2, (1, 2)), (3, (1, 2, 4)), (4, (1,)), (5, (1,))) for a in arts])
+    art = spark.createDataFrame([(a, f"n{a}") for a in range(1, 5)], "article_idx int, prod_name string")
+    got = [(r.article_a, r.article_b, r.pair_count) for r in profiling.top_pairs(tx, 100, 52, art, 4).collect()]
+    assert sorted(got) == [(1, 2, 3), (1, 3, 1), (1, 4, 1), (2, 3, 1)]
