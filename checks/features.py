@@ -3,10 +3,11 @@
 from checks.base import CAL, CTE, SETTINGS, WEEK, Store, register
 from checks.candidates import NAMES
 from shelfwise.operators import features as ft
+from shelfwise.operators.partials import of_history, rolled
 from shelfwise.plans.fold_features import fold_frame
 from shelfwise.schema import FEATURE_NAMES, FEATURES
 from shelfwise.session import materialize
-from shelfwise.sources.splits import build_holdout_fold
+from shelfwise.sources.splits import before_week, build_holdout_fold
 from shelfwise.sources.tables import portable_content_summary
 
 D = f"(DATE '1994-12-28' + {WEEK * 7})"
@@ -92,6 +93,26 @@ register(
     "customer_features", spec("customer", "customer_idx:l"),
     lambda s: ft.customer_features(s.history, WEEK, s.customers, CAL), "SELECT * FROM c_feat",
 )
+
+
+def _rolled(s: Store):
+    """Partials of two weeks before, rolled on twice."""
+    start = of_history(before_week(s.tx, WEEK - 2), WEEK - 2, s.customers).saved()
+    return rolled(rolled(start, s.history, s.customers).saved(), s.history, s.customers)
+
+
+def _rolled_customers(s: Store):
+    p = _rolled(s)
+    return ft.customer_features_of(p.by_customer, p.pairs, WEEK, s.customers, CAL)
+
+
+def _rolled_articles(s: Store):
+    p = _rolled(s)
+    return ft.article_features_of(p.by_article, p.pairs, WEEK, s.articles, CAL)
+
+
+register("customer_features_rolled", spec("customer", "customer_idx:l"), _rolled_customers, "SELECT * FROM c_feat")
+register("article_features_rolled", spec("article", "article_idx:l") + " online_share_4w:d", _rolled_articles, "SELECT * FROM a_feat")
 register(
     "article_features", spec("article", "article_idx:l") + " online_share_4w:d",
     lambda s: ft.article_features(s.history, WEEK, s.articles, s.customers, CAL), "SELECT * FROM a_feat",

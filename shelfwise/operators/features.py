@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.columns import count_if, hash_uniform, safe_ratio, share_of
+from shelfwise.functions.columns import count_if, hash_uniform, safe_ratio
 from shelfwise.functions.skew import left_join_hot
 from shelfwise.operators.candidates import bucket_units, decay_weight
+from shelfwise.operators.partials import Partials, article_weeks, customer_weeks, of_history, pair_days
 from shelfwise.schema import FEATURES, NEGATIVE_RATE, SEED, SOURCES, Calendar
 from shelfwise.sources.splits import weeks_between
 
@@ -18,26 +19,26 @@ ORDINAL = ("product_group_name", "index_group_name", "garment_group_name", "colo
 
 
 def customer_features(history: DataFrame, cutoff_week: int, customers: DataFrame, cal: Calendar) -> DataFrame:
-    """One row per customer with history.
-
-    The rows are exchanged once by customer. Distinct articles, days and weeks are counted by
-    folding them there, not by a distinct aggregate, which would copy every row for each of them.
-    """
-    w = F.col("week_idx")
-    online = F.col("sales_channel_id") == 2
-    rows = history.select("customer_idx", "article_idx", "t_dat", "week_idx", "price", "sales_channel_id").repartition("customer_idx")
-    kinds = rows.groupBy("customer_idx", "article_idx").agg(F.lit(1).alias("one")).groupBy("customer_idx")
-    kinds = kinds.agg(F.count("*").alias("c_n_unique_articles"))
-    days = rows.groupBy("customer_idx", "week_idx", "t_dat").agg(F.lit(1).alias("one"))
-    days = days.groupBy("customer_idx", "week_idx").agg(F.count("*").alias("days")).groupBy("customer_idx")
-    days = days.agg(F.count("*").alias("c_n_active_weeks"), F.sum("days").alias("n_days"))
-    agg = rows.groupBy("customer_idx").agg(
-        F.count("*").alias("c_n_purchases"),
-        *[count_if(w >= cutoff_week - n).alias(f"c_n_purchases_{n}w") for n in (1, 4, 12)],
-        (F.lit(cal.cutoff_day(cutoff_week)) - F.unix_date(F.max("t_dat"))).alias("c_days_since_last_purchase"),
-        F.avg("price").alias("c_mean_price"),
-        F.stddev_samp("price").alias("c_std_price"),
-        share_of(online).alias("c_online_share"),
+    """One row per customer with history."""
+    rows = history.filter(F.col("week_idx") < cutoff_week)
+    return customer_features_of(customer_weeks(rows), pair_days(rows), cutoff_week, customers, cal)
+
+
+def customer_features_of(weeks: DataFrame, pairs: DataFrame, cutoff_week: int, customers: DataFrame, cal: Calendar) -> DataFrame:
+    """The same from partials by (customer, week) and (customer, article)."""
+    w, n = F.col("week_idx"), F.sum("n")
+    spread = (F.sum("price_sq") - F.sum("price") * F.sum("price") / n) / (n - 1)
+    kinds = pairs.groupBy("customer_idx").agg(F.count("*").alias("c_n_unique_articles"))
+    agg = weeks.groupBy("customer_idx").agg(
+        n.alias("c_n_purchases"),
+        *[F.sum(F.when(w >= cutoff_week - k, F.col("n")).otherwise(0)).alias(f"c_n_purchases_{k}w") for k in (1, 4, 12)],
+        (F.lit(cal.cutoff_day(cutoff_week)) - F.unix_date(F.max("last"))).alias("c_days_since_last_purchase"),
+        (F.sum("price") / n).alias("c_mean_price"),
+        # equal prices have no spread, whatever their sums round to
+        F.when(n > 1, F.when(F.min("lowest") == F.max("highest"), 0.0).otherwise(F.sqrt(F.greatest(spread, F.lit(0.0))))).alias("c_std_price"),
+        (F.sum("online") / n).alias("c_online_share"),
+        F.count("*").alias("c_n_active_weeks"),
+        F.sum(F.bit_count("days")).alias("n_days"),
     )
     status, news = F.col("club_member_status"), F.col("fashion_news_frequency")
     who = customers.select(
@@ -50,7 +51,7 @@ def customer_features(history: DataFrame, cutoff_week: int, customers: DataFrame
         F.coalesce(F.col("FN").cast("int"), F.lit(-1)).alias("c_FN"),
         F.coalesce(F.col("Active").cast("int"), F.lit(-1)).alias("c_Active"),
     )
-    agg = agg.join(kinds, "customer_idx").join(days, "customer_idx")
+    agg = agg.join(kinds, "customer_idx")
     # mean rows per shopping day
     agg = agg.withColumn("c_avg_basket_size", F.col("c_n_purchases") / F.col("n_days")).drop("n_days")
     out = agg.join(who, "customer_idx", "left")
@@ -83,41 +84,36 @@ def article_features(
     cal: Calendar,
     censored_before: int | None = None,
 ) -> DataFrame:
-    """One row per article of the dimension, and the helper ``online_share_4w``.
+    """One row per article of the dimension, and the helper ``online_share_4w``."""
+    rows = history.filter(F.col("week_idx") < cutoff_week)
+    return article_features_of(article_weeks(rows, customers), pair_days(rows), cutoff_week, articles, cal, censored_before)
 
-    Sales are folded to (article, customer) first. That splits a best seller over all its
-    buyers, gives buyer counts without a distinct, and shrinks the join with the ages.
-    """
+
+def article_features_of(
+    weeks: DataFrame, pairs: DataFrame, cutoff_week: int, articles: DataFrame, cal: Calendar, censored_before: int | None = None
+) -> DataFrame:
+    """The same from partials by (article, week) and (customer, article)."""
     c, w = cutoff_week, F.col("week_idx")
     censored = cal.anchor_day + 28 if censored_before is None else censored_before
-    price = F.col("price").cast("double")
-    pairs = history.groupBy("article_idx", "customer_idx").agg(
-        F.count("*").alias("n"),
-        *[count_if(w >= c - n).alias(f"n{n}") for n in (1, 2, 4, 12)],
-        F.min("t_dat").alias("first"),
-        F.max("t_dat").alias("last"),
-        F.sum(price).alias("p"),
-        F.sum(F.when(w >= c - 4, price)).alias("p4"),
-        F.sum(F.when(w >= c - 1, price)).alias("p1"),
-        count_if((w >= c - 4) & (F.col("sales_channel_id") == 2)).alias("online4"),
-    )
-    aged = pairs.join(customers.select("customer_idx", F.col("age").cast("double").alias("age")), "customer_idx", "left")
-    rows12 = F.when(F.col("age").isNotNull(), F.col("n12"))
-    sold = aged.groupBy("article_idx").agg(
-        *[F.sum(f"n{n}").alias(f"s{n}") for n in (1, 2, 4)],
-        count_if(F.col("n1") > 0).alias("buyers1"),
+
+    def late(column: str, n: int) -> Column:
+        return F.sum(F.when(w >= c - n, F.col(column)).otherwise(0))
+
+    # two distinct dates exist exactly when first and last differ
+    again = pairs.groupBy("article_idx").agg((count_if(F.col("first") < F.col("last")) / F.count("*")).alias("rebuy"))
+    sold = weeks.groupBy("article_idx").agg(
+        *[late("n", n).alias(f"s{n}") for n in (1, 2, 4)],
+        late("buyers", 1).alias("buyers1"),
         F.min("first").alias("first"),
         F.max("last").alias("last"),
-        (F.sum("p") / F.sum("n")).alias("mean_all"),
-        safe_ratio(F.sum("p4"), F.sum("n4")).alias("mean4"),
-        safe_ratio(F.sum("p1"), F.sum("n1")).alias("mean1"),
-        # two distinct dates exist exactly when first and last differ
-        (count_if(F.col("first") < F.col("last")) / F.count("*")).alias("rebuy"),
-        F.sum(rows12).alias("k12"),
-        F.sum(rows12 * F.col("age")).alias("a12"),
-        F.sum(rows12 * F.col("age") * F.col("age")).alias("q12"),
-        safe_ratio(F.sum("online4"), F.sum("n4")).alias("online_share_4w"),
-    )
+        (F.sum("price") / F.sum("n")).alias("mean_all"),
+        safe_ratio(late("price", 4), late("n", 4)).alias("mean4"),
+        safe_ratio(late("price", 1), late("n", 1)).alias("mean1"),
+        late("aged", 12).alias("k12"),
+        late("age", 12).alias("a12"),
+        late("age_sq", 12).alias("q12"),
+        safe_ratio(late("online", 4), late("n", 4)).alias("online_share_4w"),
+    ).join(again, "article_idx")
     k, a, q = F.col("k12"), F.col("a12"), F.col("q12")
     cutoff = F.lit(cal.cutoff_day(c))
     meta = articles.select("article_idx", "product_type_no", "department_no")
@@ -180,19 +176,10 @@ def bucket_totals(history: DataFrame, cutoff_week: int, buckets: DataFrame) -> D
 # --- interaction and assembly --------------------------------------------------
 
 
-def pair_history(history: DataFrame) -> DataFrame:
-    """(customer, article, n, last) folded from the raw rows, laid out by customer. A customer
-    has at most one row per article here."""
-    pairs = history.groupBy("customer_idx", "article_idx").agg(F.count("*").alias("n"), F.max("t_dat").alias("last"))
-    return pairs.repartition("customer_idx")
-
-
-def add_interactions(
-    candidates: DataFrame, history: DataFrame, articles: DataFrame, cutoff_week: int, cal: Calendar
-) -> DataFrame:
+def add_interactions(candidates: DataFrame, pairs: DataFrame, articles: DataFrame, cutoff_week: int, cal: Calendar) -> DataFrame:
     """Interaction features. ``candidates`` carries the customer and article features, the
-    article's product_code and both group names, and ``online_share_4w``."""
-    pairs = pair_history(history)
+    article's product_code and both group names, and ``online_share_4w``; ``pairs`` are the partials by (customer, article)."""
+    pairs = pairs.repartition("customer_idx")
     meta = articles.select("article_idx", "product_code", "product_group_name", "garment_group_name")
     detailed = pairs.join(meta, "article_idx", "left").repartition("customer_idx")
 
@@ -252,23 +239,27 @@ def assemble(
     article_table: DataFrame | None = None,
     totals: DataFrame | None = None,
     per_bucket: DataFrame | None = None,
+    partials: Partials | None = None,
 ) -> DataFrame:
     """Candidates with all features in double or integer precision.
 
-    ``customer_history`` may hold just the served customers' rows. With the three last tables, which
-    a state has, ``history`` is not read at all. The shared lists fill most
+    ``customer_history`` may hold just the served customers' rows; with ``partials`` it is not needed. With the last tables, which
+    a state has, no raw sales are read at all. The shared lists fill most
     candidate rows with few articles, so their features are broadcast and only the remaining
     rows are joined by article.
     """
-    mine = history.join(merged.select("customer_idx").distinct(), "customer_idx", "left_semi") if customer_history is None else customer_history
+    if customer_history is not None:
+        own = of_history(customer_history, cutoff_week, customers)
+    else:
+        own = (of_history(history, cutoff_week, customers) if partials is None else partials).of(merged)
     art = article_features(history, cutoff_week, articles, customers, cal) if article_table is None else article_table
     art = art.join(
         articles.select("article_idx", "product_code", "product_group_name", "garment_group_name"), "article_idx"
     )
     x = candidate_features(merged)
     x = left_join_hot(x, art, "article_idx", shared.select("article_idx"), "customer_idx")
-    x = x.repartition("customer_idx").join(customer_features(mine, cutoff_week, customers, cal), "customer_idx", "left")
-    x = add_interactions(x, mine, articles, cutoff_week, cal)
+    x = x.repartition("customer_idx").join(customer_features_of(own.by_customer, own.pairs, cutoff_week, customers, cal), "customer_idx", "left")
+    x = add_interactions(x, own.pairs, articles, cutoff_week, cal)
     totals = popularity_totals(history, cutoff_week, cal) if totals is None else totals
     per_bucket = bucket_totals(history, cutoff_week, buckets) if per_bucket is None else per_bucket
     return add_shares(x, totals, per_bucket, buckets)

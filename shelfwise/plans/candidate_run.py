@@ -12,6 +12,7 @@ from shelfwise.operators import candidates as cand
 from shelfwise.operators import copurchase as cop
 from shelfwise.operators import features as ft
 from shelfwise.operators.merge import merge_with_shared_lists, shared_lists
+from shelfwise.operators.partials import Partials, of_history, rolled
 from shelfwise.schema import (
     AGE_BUCKETS,
     BASKET_WEEKS,
@@ -55,6 +56,7 @@ class CandidateState:
     article_table: DataFrame  # features of all articles
     popularity_totals: DataFrame  # one row
     bucket_totals: DataFrame  # one row per age bucket
+    partials: Partials  # what the features need of the sales
 
     def tables(self) -> dict[str, DataFrame]:
         return {
@@ -65,6 +67,9 @@ class CandidateState:
             "article_features": self.article_table,
             "popularity_totals": self.popularity_totals,
             "bucket_totals": self.bucket_totals,
+            "customer_weeks": self.partials.by_customer,
+            "article_weeks": self.partials.by_article,
+            "pair_days": self.partials.pairs,
         }
 
 
@@ -75,8 +80,13 @@ def build_state(
     articles: DataFrame,
     customers: DataFrame,
     settings: RunSettings | None = None,
+    last: Partials | None = None,
 ) -> CandidateState:
+    """``last``: the partials of the week before; then the features read one week of ``history`` only."""
     s = settings or RunSettings()
+    if last is not None and last.week != week - 1:
+        raise ValueError(f"partials of week {last.week} do not lead to week {week}")
+    partials = (of_history(history, week, customers) if last is None else rolled(last, history, customers)).saved()
     buckets = customers.select("customer_idx", age_bucket(F.col("age")).alias("age_bucket"))
     last_week = cand.last_week_top(history, week, s.k["popularity_last_week"])
     decayed = cand.decayed_top(history, week, cal, s.k["popularity_decayed"])
@@ -93,9 +103,10 @@ def build_state(
         segments=segments,
         shared=materialize(shared_lists(last_week, decayed, segments, list(AGE_BUCKETS))),
         settings=s,
-        article_table=materialize(ft.article_features(history, week, articles, customers, cal)),
+        article_table=materialize(ft.article_features_of(partials.by_article, partials.pairs, week, articles, cal)),
         popularity_totals=materialize(ft.popularity_totals(history, week, cal)),
         bucket_totals=materialize(ft.bucket_totals(history, week, buckets)),
+        partials=partials,
     )
 
 

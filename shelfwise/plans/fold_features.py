@@ -30,10 +30,9 @@ def fold_frame(
     state = state or cr.build_state(fold.history, fold.week, cal, articles, customers, settings)
     who = fold.eval_customers if serve is None else serve
     merged = materialize(cr.generate(fold.history, who, state))
-    mine = fold.history.join(who.select("customer_idx"), "customer_idx", "left_semi")
     x = ft.assemble(
-        merged, fold.history, fold.week, articles, customers, state.buckets, state.shared, cal, customer_history=mine,
-        article_table=state.article_table, totals=state.popularity_totals, per_bucket=state.bucket_totals,
+        merged, fold.history, fold.week, articles, customers, state.buckets, state.shared, cal, article_table=state.article_table,
+        totals=state.popularity_totals, per_bucket=state.bucket_totals, partials=state.partials,
     )
     return ft.add_labels(x, fold.truth)
 
@@ -48,10 +47,12 @@ def build_fold_features(
     negative_rate: float = 1.0,
     seed: int = SEED,
     allow_holdout: bool = False,
+    state: cr.CandidateState | None = None,
 ) -> DataFrame:
-    """Typed feature matrix of one fold; below rate 1 the negatives are downsampled."""
+    """Typed feature matrix of one fold; below rate 1 the negatives are downsampled. ``state``: one of that
+    week, which may be rolled from the week before."""
     fold = build_fold(tx, week, cal, allow_holdout)
-    x = fold_frame(fold, cal, articles, customers, settings)
+    x = fold_frame(fold, cal, articles, customers, settings, state=state)
     if negative_rate < 1.0:
         x = ft.downsample_negatives(x, negative_rate, seed)
     return ft.enforce_types(x)
