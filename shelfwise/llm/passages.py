@@ -13,9 +13,10 @@ word and by up to ``window - 1`` words, as far as another document goes on alike
 In each component the occurrence with the smallest (doc_id, start) stays, and those in other documents are to be
 removed. Overlapping removals of a document are merged. Positions are code points.
 
-Null, empty or shorter texts have no paragraphs. Repeated rows, that is rows with one doc_id, count as
-one document; paragraphs that repeat only within a document stay. A null doc_id counts as one document below all others.
-An empty table gives an empty result.
+Null, empty or shorter texts have no paragraphs. A document is a doc_id with a text: repeated rows count as
+one, different texts under one doc_id or without one as several; paragraphs that repeat only within a document stay. A null doc_id counts as
+less than all others. Ties of two texts under one id are decided by the hash of the text. Long texts are read whole. An empty table gives an empty
+result. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -50,6 +51,16 @@ class Passages:
     least_words: int = 5
     window: int = 25
 
+    @property
+    def least_banded(self) -> int:
+        """Shingles from which on a line has bands. Of two different sets of which the larger has n, n - 1 are common at best; below this
+        number lines are similar enough only if their sets are equal. Then the lines are equal, and so are their hashes, unless a word
+        comes twice in them."""
+        n = 1
+        while n - 1 < self.similarity * n - 1e-9:
+            n += 1
+        return n - 1
+
     @property
     def bands(self) -> int:
         """The fewest bands with the recall asked for at the least similarity."""
@@ -132,9 +143,9 @@ def block_bounds(w: Words, least: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in blocks if 100 * np.bincount(w.line[a:b] - w.line[a]).max() < 95 * (b - a)]
 
 
-_LINES = "doc bigint, start int, end int, node bigint, keys array<bigint>"
-_WINDOWS = "doc bigint, start int, end int, hash bigint, proof int"
+_WINDOWS = "id bigint, own bigint, start int, end int, hash bigint, proof int"
 _SPOT = ("at", "words")
+_NO_KEYS = np.empty(0, dtype=np.int64)
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -145,15 +156,27 @@ def _doc(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("bigint"), F.lit(NO_ID))
 
 
+def _key(docs: DataFrame) -> DataFrame:
+    """(doc, text): the texts that are not null with their document, that is id and hash of the text."""
+    return docs.filter("text is not null").select(F.struct(_doc().alias("id"), F.xxhash64("text").alias("own")).alias("doc"), "text")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Rows out of a task, with ``id`` and ``own`` put together again."""
+    return rows.select(F.struct("id", "own").alias("doc"), *[c for c in rows.columns if c not in ("id", "own")])
+
+
 def paragraphs(docs: DataFrame, how: Passages) -> tuple[DataFrame, DataFrame]:
     """(lines, windows) of all documents, saved. A text is read once for both."""
     seeds, shingle, window, least, rows, bands = _seeds(how.rows * how.bands), how.shingle, how.window, how.least_words, how.rows, how.bands
+    least_banded = how.least_banded
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 128):
-            out: dict[str, list] = {k: [] for k in ("doc", "start", "end", "node", "proof", *_SPOT)}
+            out: dict[str, list] = {k: [] for k in ("id", "own", "start", "end", "node", "proof", *_SPOT)}
             keys: list[np.ndarray | None] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            ids, owns = (c.to_pylist() for c in batch.column(0).flatten())
+            for doc, own, text in zip(ids, owns, batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if not text:
                     continue
                 w = words_of(text)
@@ -161,7 +184,8 @@ def paragraphs(docs: DataFrame, how: Passages) -> tuple[DataFrame, DataFrame]:
                 at = winnowed(a, window)
                 if len(at):
                     b = rolling(w.hashes, window, _BASES[1])[at]
-                    out["doc"].append(np.full(len(at), doc))
+                    out["id"].append(np.full(len(at), doc))
+                    out["own"].append(np.full(len(at), own))
                     out["start"].append(w.start[at])
                     out["end"].append(w.end[at + window - 1])
                     out["node"].append(a[at].view(np.int64))
@@ -175,33 +199,46 @@ def paragraphs(docs: DataFrame, how: Passages) -> tuple[DataFrame, DataFrame]:
                     ends = np.array(bounds)
                     inside = np.concatenate([s[a:b - shingle + 1] for a, b in bounds])
                     cut = np.concatenate([[0], np.cumsum(ends[:, 1] - ends[:, 0] - shingle + 1)[:-1]])
-                    sign = np.stack([np.minimum.reduceat(_mix(inside * k), cut) for k in seeds], axis=1)
-                    band = sign.reshape(len(bounds), bands, rows)
-                    key = np.zeros((len(bounds), bands), dtype=np.uint64)
-                    for r in range(rows):
-                        key = _mix(key * _BASES[1] + band[:, :, r])
-                    key = _mix(key + np.arange(bands, dtype=np.uint64) * _BASES[0])
+                    many = ends[:, 1] - ends[:, 0] - shingle + 1
+                    has_bands = many >= least_banded
+                    for i in np.flatnonzero(~has_bands).tolist():
+                        first, last = bounds[i]
+                        has_bands[i] = len(set(w.hashes[first:last].tolist())) < last - first
+                    banded = np.flatnonzero(has_bands)
+                    key = np.zeros((len(banded), bands), dtype=np.uint64)
+                    if len(banded):
+                        some, size = inside[np.repeat(has_bands, many)], many[banded]
+                        begin = np.cumsum(size) - size
+                        sign = np.stack([np.minimum.reduceat(_mix(some * k), begin) for k in seeds], axis=1)
+                        band = sign.reshape(len(banded), bands, rows)
+                        for r in range(rows):
+                            key = _mix(key * _BASES[1] + band[:, :, r])
+                        key = _mix(key + np.arange(bands, dtype=np.uint64) * _BASES[0])
                     # the whole line's hash: its shingles in order
                     order = np.concatenate([np.arange(b - a - shingle + 1, dtype=np.uint64) for a, b in bounds])
                     node = np.add.reduceat(_mix(inside + order * _BASES[1]), cut)
-                    out["doc"].append(np.full(len(bounds), doc))
+                    out["id"].append(np.full(len(bounds), doc))
+                    out["own"].append(np.full(len(bounds), own))
                     out["start"].append(w.start[ends[:, 0]])
                     out["end"].append(w.end[ends[:, 1] - 1])
                     out["node"].append(node.view(np.int64))
                     for k in ("proof", *_SPOT):
                         out[k].append(np.zeros(len(bounds), dtype=np.int32))
-                    keys += list(key.view(np.int64))
+                    own_keys = [_NO_KEYS] * len(bounds)
+                    for i, k in zip(banded.tolist(), key.view(np.int64), strict=True):
+                        own_keys[i] = k
+                    keys += own_keys
             if keys:
                 flat = {k: np.concatenate(v) for k, v in out.items()}
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat["doc"], pa.int64()), pa.array(flat["start"], pa.int32()), pa.array(flat["end"], pa.int32()),
+                    [pa.array(flat["id"], pa.int64()), pa.array(flat["own"], pa.int64()), pa.array(flat["start"], pa.int32()), pa.array(flat["end"], pa.int32()),
                      pa.array(flat["node"], pa.int64()), pa.array(flat["proof"], pa.int32()),
                      *[pa.array(flat[k], pa.int32()) for k in _SPOT], pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc", "start", "end", "node", "proof", *_SPOT, "keys"],
+                    names=["id", "own", "start", "end", "node", "proof", *_SPOT, "keys"],
                 )
 
-    slim = docs.select(_doc().alias("doc"), "text")
-    both = table_saved(slim.mapInArrow(scan, "doc bigint, start int, end int, node bigint, proof int, at int, words int, keys array<bigint>"))
+    schema = "id bigint, own bigint, start int, end int, node bigint, proof int, at int, words int, keys array<bigint>"
+    both = _keyed(table_saved(_key(docs).mapInArrow(scan, schema)))
     lines = both.filter("keys is not null").select("doc", "start", "end", "node", "keys")
     return lines, both.filter("keys is null").select("doc", "start", "end", F.col("node").alias("hash"), "proof", *_SPOT)
 
@@ -233,7 +270,7 @@ def grown(docs: DataFrame, windows: DataFrame, how: Passages) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 128):
             out: list[tuple[np.ndarray, ...]] = []
-            for doc, text, spans in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for doc, own, text, spans in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 w = words_of(text.encode())
                 seeds = rolling(w.hashes, size, _BASES[0]).view(np.int64)
                 for side in ("left", "right"):
@@ -253,15 +290,14 @@ def grown(docs: DataFrame, windows: DataFrame, how: Passages) -> DataFrame:
                     low = word if side == "left" else np.broadcast_to(at, word.shape)
                     high = np.broadcast_to(at + reach, word.shape) if side == "left" else word
                     n = int(inside.sum())
-                    out.append((np.full(n, doc), w.start[low[inside]], w.end[high[inside]], one[inside].view(np.int64), (two[inside] >> np.uint64(33)).astype(np.int32)))
+                    out.append((np.full(n, doc), np.full(n, own), w.start[low[inside]], w.end[high[inside]], one[inside].view(np.int64), (two[inside] >> np.uint64(33)).astype(np.int32)))
             if out:
-                types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), types, strict=True)], names=["doc", "start", "end", "hash", "proof"],
+                    [pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), types, strict=True)], names=["id", "own", "start", "end", "hash", "proof"],
                 )
 
-    texts = docs.select(_doc().alias("doc"), "text").filter("text is not null")
-    return table_saved(texts.join(wanted, "doc").select("doc", "text", "spans").mapInArrow(read, _WINDOWS))
+    return _keyed(table_saved(_key(docs).join(wanted, "doc").select("doc.id", "doc.own", "text", "spans").mapInArrow(read, _WINDOWS)))
 
 
 def _occurrences(found: DataFrame, by: list[str]) -> DataFrame:
@@ -273,13 +309,14 @@ def _occurrences(found: DataFrame, by: list[str]) -> DataFrame:
 
 def similar_lines(docs: DataFrame, lines: DataFrame, how: Passages, group: int = 512) -> DataFrame:
     """(node, root) of the lines that are linked to others that are not equal to them."""
-    rows = lines.select(F.explode("keys").alias("bucket"), "node")
+    # equal lines are one node, however many documents hold them
+    rows = lines.filter(F.size("keys") > 0).select("node", "keys").dropDuplicates(["node"]).select(F.explode("keys").alias("bucket"), "node")
     shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
     met = saved(rows.join(shared.select("bucket"), "bucket", "left_semi").distinct())
     wanted = lines.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "start", "end")).alias("at"))
     wanted = wanted.groupBy("at.doc").agg(F.collect_list(F.struct("node", "at.start", "at.end")).alias("spans"))
     wanted = saved(wanted.select("doc", "spans"))
-    texts = docs.select(_doc().alias("doc"), "text").filter("text is not null")
+    texts = _key(docs)
     if (wanted.agg(F.sum(F.size("spans")).alias("n")).first()["n"] or 0) <= BROADCAST_LINES:
         wanted = F.broadcast(wanted)
     shingle, similarity = how.shingle, how.similarity
@@ -311,7 +348,7 @@ def similar_lines(docs: DataFrame, lines: DataFrame, how: Passages, group: int =
 
 
 def repeats(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
-    """(doc_id, start, end, component_id, removed): the repeated stretches of each document.
+    """(doc_id, text_hash, start, end, component_id, removed): the repeated stretches of each document.
 
     ``component_id`` is the doc_id whose occurrence stays, the smallest where several meet in a
     stretch; ``removed`` is false for the occurrences that stay.
@@ -331,22 +368,23 @@ def repeats(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
         F.min("start").alias("start"), F.max("end").alias("end"), F.min("keeper").alias("keeper")
     )
     name = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return merged.select(name("doc").alias("doc_id"), "start", "end", name("keeper").alias("component_id"), "removed")
+    return merged.select(name("doc.id").alias("doc_id"), F.col("doc.own").alias("text_hash"), "start", "end", name("keeper.id").alias("component_id"), "removed")
 
 
 def remove_repeats(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
     """The rows of ``docs`` with the stretches to be removed cut out; rows left without a word go."""
-    cuts = repeats(docs, how).filter("removed").groupBy(_doc().alias("__doc"))
-    cuts = cuts.agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
-    names, place = docs.columns, docs.columns.index("text")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    met = rows.withColumn("__doc", _doc("row.doc_id")).join(cuts, "__doc", "left")
-    flat = met.select(*[F.col(f"row.`{c}`").alias(c) for c in names], F.col("__cuts"))
+    cuts = repeats(docs, how).filter("removed").groupBy(F.struct(_doc().alias("id"), F.col("text_hash").alias("own")).alias("key"))
+    cuts = cuts.agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    place = docs.columns.index("text")
+    # the row stays one struct to the end, so its columns may have any names
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    met = rows.withColumn("key", F.struct(_doc("row.doc_id").alias("id"), F.xxhash64("row.text").alias("own"))).join(cuts, "key", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            texts, stay = batch.column(place).to_pylist(), []
-            for i, spans in enumerate(batch.column(len(names)).to_pylist()):
+            columns = batch.column(0).flatten()
+            texts, stay = columns[place].to_pylist(), []
+            for i, spans in enumerate(batch.column(1).to_pylist()):
                 if spans and texts[i] is not None:
                     out, at = [], 0
                     for s in spans:
@@ -354,8 +392,8 @@ def remove_repeats(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
                         at = max(at, s["end"])
                     texts[i] = "".join([*out, texts[i][at:]])
                 stay.append(not spans or bool(texts[i] and texts[i].encode().split()))
-            columns = list(batch.columns[: len(names)])
             columns[place] = pa.array(texts, columns[place].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay))
+            yield pa.RecordBatch.from_arrays(columns, names=docs_names).filter(pa.array(stay))
 
-    return flat.mapInArrow(cut, docs.schema)
+    docs_names = docs.columns
+    return met.select("row", "cuts").mapInArrow(cut, docs.schema)

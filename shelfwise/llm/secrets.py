@@ -8,7 +8,7 @@ block holds a bounded number of them and no key of the join is hot.
 
 Null or empty text: no spans. Repeated rows: each has its own result, as rows are told apart by a
 number given after the scan is saved. A null doc_id changes nothing. An empty table gives an empty
-result. Positions are code points, ends exclusive.
+result. Long texts are scanned whole. Other columns may have any names. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -151,15 +151,15 @@ def redact(docs: DataFrame, reach: int = REACH, mask: str = "[SECRET]") -> DataF
     rows = rows.withColumn("__i", F.col("row.doc_id").cast("bigint")).withColumn("__h", F.xxhash64(F.coalesce("row.text", F.lit(""))))
     met = rows.join(found, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left")
     names, place = docs.columns, docs.columns.index("text")
-    flat = met.select(*[F.col(f"row.`{c}`").alias(c) for c in names], F.col("__spans"))
+    flat = met.select("row", "__spans")  # the row stays one struct to the end, so its columns may have any names
 
     def mask_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            texts = batch.column(place).to_pylist()
-            for i, spans in enumerate(batch.column(len(names)).to_pylist()):
+            columns = batch.column(0).flatten()
+            texts = columns[place].to_pylist()
+            for i, spans in enumerate(batch.column(1).to_pylist()):
                 if spans:
                     texts[i] = masked(texts[i], [(s["start"], s["end"]) for s in spans], mask)
-            columns = list(batch.columns[: len(names)])
             columns[place] = pa.array(texts, columns[place].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from shelfwise.llm import alignment, licenses, periodic
+from shelfwise.llm import alignment, licenses, passages, periodic, secrets
 from shelfwise.llm.queries import QUERIES
 
 #: Names that operators use inside stand here as further columns of the input.
@@ -280,3 +280,63 @@ def test_queries_of_the_contract(spark, docs, vocabularies, tmp_path):
         n, base, _ = licences_plainly(t)
         want.append((i, n, len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted({b for _, b in base}))))
     assert Counter(tuple(r[n] for n in names) for r in got) == Counter(want)
+
+
+# 2: documents are told apart by id and text, columns may have any names
+
+
+def test_passages_of_shared_and_missing_ids(spark):
+    r = np.random.default_rng(9)
+    text = lambda n: " ".join(f"{chr(97 + int(i) % 26)}{int(i)}" for i in r.integers(0, 5_000, n))
+    shared, other, clean = text(80), text(90), text(200)
+    rows = [
+        (None, f"{text(30)} {shared} {text(30)}"), (None, f"{text(40)} {shared} {text(20)}"), (1, other), (2, f"{text(25)} {other}"), (2, clean), (3, clean[: len(clean) // 3]),
+        (4, None), (5, ""), (5, "x " * 9_000),
+    ]
+    docs = spark.createDataFrame([(i, t, [1], "k", "c") for i, t in rows], "doc_id bigint, text string, __cuts array<int>, key string, cuts string").repartition(3)
+    got = passages.repeats(docs).filter("removed").collect()
+    assert {(g.doc_id, g.component_id) for g in got} == {(None, None), (2, 1), (3, 2)}
+    left = Counter(tuple(x) for x in passages.remove_repeats(docs).select("doc_id", "text", "key").collect())
+    kept = {t for _, t, _ in left}
+    assert (2, clean, "k") in left and sum(shared in (t or "") for t in kept) == 1 and not any(other in (t or "") for i, t, _ in left if i == 2)
+    assert passages.remove_repeats(docs).columns == docs.columns
+
+
+def lines_plainly(lines, similarity=0.8):
+    """Pairs of different lines whose five-word shingle sets are similar enough, by comparing all."""
+    sets = {s: {tuple(s.split()[i : i + 5]) for i in range(len(s.split()) - 4)} for s in set(lines) if len(s.split()) >= 5}
+    names = sorted(sets)
+    return {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-12}
+
+
+def test_short_lines_are_linked_without_bands_of_all(spark):
+    """Lines of five words and more, with repeated words, against all pairs."""
+    r = np.random.default_rng(3)
+    lines = ["ab ba " * 3 + "x", "ba ab " * 3 + "x", "a b a b a b", "b a b a b a", "a a a a a", "a a a a a a", "a a a a a a a a a"]
+    for n in (5, 6, 7, 8, 9, 12, 30):
+        for k in range(6):
+            base = [f"w{n}{k}{int(i)}" for i in r.integers(0, 400, n)]
+            lines += [" ".join(base), " ".join(base[:-1]), " ".join([*base[: n // 2], "new", *base[n // 2 + 1 :]]), " ".join([*base, "tail"])]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    how = passages.Passages(recall=0.999999)
+    found, _ = passages.paragraphs(docs, how)
+    root = {x.node: x.root for x in passages.similar_lines(docs, found, how).collect()}
+    where = {lines[x.id]: root.get(x.node, x.node) for x in found.select("doc.id", "node").collect()}
+    up = {s: s for s in where}
+
+    def top(s):
+        while up[s] != s:
+            s = up[s]
+        return s
+
+    for a, b in lines_plainly(lines):
+        up[max(top(a), top(b))] = min(top(a), top(b))
+    for a in where:
+        for b in where:
+            assert (where[a] == where[b]) == (top(a) == top(b)), (a, b)
+
+
+def test_secrets_are_masked_with_any_columns(spark):
+    docs = spark.createDataFrame([(None, "password=hunter2secret end", 1, "h"), (1, None, 2, "h"), (1, "token: abcdefgh", 3, "h")], "doc_id bigint, text string, __spans int, __hash string")
+    got = {r["__spans"]: r.text for r in secrets.redact(docs).collect()}
+    assert got == {1: "[SECRET] end", 2: None, 3: "[SECRET]"}
