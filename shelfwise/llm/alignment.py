@@ -36,9 +36,10 @@ from shelfwise.llm.common import saved, small_batches, strings, table_saved
 #: So many pairs of ids, those in most documents, are broadcast with their counts (some 17 bytes each); others are joined.
 BROADCAST_PAIRS = 1_000_000
 #: Pieces of text a worker remembers, the longest of them, and how many are tokenized in one call.
-REMEMBERED, LONGEST, TOGETHER = 500_000, 48, 128
+REMEMBERED, LONGEST, TOGETHER = 600_000, 48, 128
 _CUT = re.compile(r"(?<=\S)(?= )")
 _ODD = re.compile(r" \s|\s\Z")
+_ODD_ASCII = ["  ", *(f" {c}" for c in "\t\n\v\f\r\x1c\x1d\x1e\x1f")]
 _B = np.int64(1 << 32)
 _NONE: tuple[tuple, ...] = ((),) * 7
 
@@ -85,7 +86,7 @@ class Aligner:
         self.spans = spans
         self.skip = len(self.b.encode("x"))
         self.known: dict[str, Aligned | None] = {}
-        self.parts: dict[str, Aligned | None] = {}
+        self.long: list[str] = []
 
     def pieces(self, text: str) -> list[str]:
         """Pieces of the text with its space, which both sides tokenize apart."""
@@ -93,7 +94,8 @@ class Aligner:
         if not self.cuts:
             return [text]
         # a space that no white space follows ends a match of A and a piece of B wherever it stands
-        return _CUT.split(text) if "\0" in text or _ODD.search(text) else text.replace(" ", "\0 ").split("\0")[1:]
+        odd = "\0" in text or text[-1] <= " " or (any(w in text for w in _ODD_ASCII) if text.isascii() else _ODD.search(text))
+        return _CUT.split(text) if odd else text.replace(" ", "\0 ").split("\0")[1:]
 
     def _tokens(self, text: str) -> tuple[list[int], np.ndarray, list[int], np.ndarray] | None:
         """Ids and byte ends of both sides of a part of a text; none if the bytes differ."""
@@ -103,16 +105,16 @@ class Aligner:
             proto, back = self.b.encode(text[1:], return_type="proto").pieces, -1
         else:  # a lone space, which B would not see, or no space: read behind a letter, of whose pieces there are ``skip``
             proto, back = self.b.encode("x" + text, return_type="proto").pieces[self.skip :], 1
-        proto = [(p.id, p.begin, p.end) for p in proto]
-        a_ids, b_ids = e.ids, [p[0] for p in proto]
+        a_ids, b_ids, offsets = e.ids, [p.id for p in proto], e.offsets
         if b"".join([self.a_bytes[i] for i in a_ids]) != source or b"".join([self.b_bytes[i] for i in b_ids]) != source:
             return None
-        a_spans, b_spans = (np.fromiter(chain.from_iterable(x), dtype=np.int64).reshape(-1, k) for x, k in ((e.offsets, 2), (proto, 3)))
+        a_spans = np.fromiter(chain.from_iterable(offsets), dtype=np.int64, count=2 * len(a_ids)).reshape(-1, 2)
+        b_spans = np.array([[p.begin for p in proto], [p.end for p in proto]], dtype=np.int64).T - back
         if len(source) != len(text):  # characters to bytes
             raw = np.frombuffer(source, dtype=np.uint8)
             a_spans = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))[a_spans]
         return (
-            a_ids, _refined(a_spans, self.a_size[a_ids]), b_ids, _refined(b_spans[:, 1:] - back, self.b_size[b_ids]),
+            a_ids, _refined(a_spans, self.a_size[a_ids]), b_ids, _refined(b_spans, self.b_size[b_ids]),
         )
 
     def _align(self, pieces: list[str]) -> list[Aligned | None]:
@@ -145,47 +147,41 @@ class Aligner:
             first, start = upto, stop
         return out
 
-    def _fill(self, fresh: list[str]) -> dict[str, Aligned | None]:
-        """The fresh pieces aligned: put together from their finer parts, of which the new ones are tokenized."""
-        if not self.cuts:
-            return {p: self._align([p])[0] for p in fresh}
-        split = [[p] if p[1:].isalnum() or p[-1] <= " " else self.finer.split(p) for p in fresh]
-        # a part without a space before it is read behind a letter, by itself
-        new = {q for parts in split for q in parts if q not in self.parts}
-        plain = [q for q in new if len(q) <= LONGEST and q[0] in " \n" and len(q) > 1 and q[1] > " " and q[-1] > " " and q[1:].isprintable()]
+    def _fill(self, fresh: list[str]) -> None:
+        """Align the fresh pieces: those with more than a word are put together from finer parts, of which the new ones are tokenized."""
+        known = self.known
+        cut = [(p, self.finer.split(p)) for p in fresh if not p[1:].isalnum() and p[-1] > " "] if self.cuts else []
+        new = {q for _, parts in cut for q in parts if q not in known}
+        new.update([p for p in fresh if p[1:].isalnum() or p[-1] <= " "] if cut else fresh)
+        # a part without a space or line end before it is read behind a letter, by itself
+        plain = [q for q in new if q[0] in " \n" and len(q) <= LONGEST and (q[1:].isalnum() or (q[1:2] > " " and q[-1] > " " and q[1:].isprintable()))] if self.cuts else []
         for i in range(0, len(plain), TOGETHER):
             some = plain[i : i + TOGETHER]
-            self.parts.update(zip(some, self._align(some), strict=True))
+            known.update(zip(some, self._align(some), strict=True))
         for q in new:
-            if q not in self.parts:
-                self.parts[q] = self._align([q])[0]
-        out = {}
-        for p, parts in zip(fresh, split, strict=True):
-            got = [self.parts[q] for q in parts]
-            out[p] = got[0] if len(got) == 1 else None if None in got else _joined(got)
-        for q in new:
-            if len(q) > LONGEST:
-                del self.parts[q]
-        return out
+            if q not in known:
+                known[q] = self._align([q])[0]
+        for p, parts in cut:
+            if len(parts) > 1:
+                got = [known[q] for q in parts]
+                known[p] = None if None in got else _joined(got)
+        self.long += [q for q in new if len(q) > LONGEST] + [p for p, _ in cut if len(p) > LONGEST]
 
     def align(self, texts: list[str]) -> list[list[Aligned] | None]:
         """The aligned pieces of each text; none for a text without tokens."""
         split = [self.pieces(t) if t else [] for t in texts]
         every = set().union(*split)
-        if len(self.known) + len(every) > REMEMBERED:
-            self.known.clear()
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
         known = self.known
-        fresh = [p for p in every if p not in known]
-        known.update(self._fill(fresh))
+        if len(known) + len(every) > REMEMBERED:
+            known.clear()
+        self._fill([p for p in every if p not in known])
         out = []
         for parts in split:
             got = list(map(known.__getitem__, parts))
             out.append(None if not got or None in got else got)
-        for p in fresh:
-            if len(p) > LONGEST:
-                del known[p]
+        for p in self.long:  # too long to be remembered
+            known.pop(p, None)
+        self.long.clear()
         return out
 
 
