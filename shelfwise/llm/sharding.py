@@ -1,14 +1,19 @@
 """Histogram sort: rows go to shards that are ranges of one key and hold nearly equal bytes, in SQL functions only.
 
-The key is (62 bits of the text's hash, id), so equal texts stand side by side and a shard border
+The key is (62 bits of the text's hash, id, part), so equal texts stand side by side and a shard border
 falls inside a group of them only where the group is too large for the tolerance. A table of
-(hash, id, size) is saved once. Each round counts the exact bytes below evenly spaced probes within
+(hash, id, part, size) is saved once. Each round counts the exact bytes below evenly spaced probes within
 every open bracket, and narrows the brackets, until each border is within ``tolerance`` of its
 target or lies between two neighbouring keys. Only the counts of the probes reach the driver, a
 number that depends on the shards and not on the rows. Whole rows are then exchanged once.
 
+``part`` is 0 but for rows that share text and id with so many others that together they weigh more than the
+tolerance or a block. Those rows, and no others, are saved whole with a number of their own, so that borders
+and blocks can cut such a group too.
+
 Null text: no bytes, as the empty text. Null id: sorts below all others. Rows with the same text and id
-share one key, so they share a shard, with a slot each. An empty table gives an empty result.
+are told apart by ``part`` alone, so which of them goes where is open; each has a slot of its own. Very long texts:
+a row is never cut, so a shard's bytes may be off by one row. An empty table gives an empty result.
 Other columns are carried along in ``row`` and may have any name.
 """
 
@@ -25,6 +30,8 @@ from shelfwise.llm.common import saved
 
 TOP = 1 << 62
 LOWEST_ID = -(1 << 63)
+#: Groups of equal rows to be numbered that are sent to every task, some 16 bytes each; more are joined.
+BROADCAST_GROUPS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -107,78 +114,100 @@ def _refine(
     return done
 
 
-def key_table(docs: DataFrame, overhead: int) -> DataFrame:
-    """(hash, id, size) of every row, saved."""
+def keyed(docs: DataFrame, overhead: int) -> DataFrame:
+    """Whole rows as ``row``, with hash, id and size."""
     text = F.coalesce("text", F.lit(""))
-    return saved(
-        docs.select(
-            F.shiftrightunsigned(F.xxhash64(text), 2).alias("hash"),
-            F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST_ID)).alias("id"),
-            (F.octet_length(text) + overhead).cast("bigint").alias("size"),
-        )
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.shiftrightunsigned(F.xxhash64(text), 2).alias("hash"),
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST_ID)).alias("id"),
+        (F.octet_length(text) + overhead).cast("bigint").alias("size"),
     )
 
 
-def borders(keys: DataFrame, how: Sharding) -> tuple[list[tuple[int, int]], int]:
-    """The keys (hash, id) at which shards 1, 2, ... begin, and the total of bytes."""
+def with_parts(rows: DataFrame, how: Sharding) -> tuple[DataFrame, DataFrame]:
+    """The rows with ``part``, and their saved table (hash, id, part, size).
+
+    The groups to be numbered are at most ``shards / tolerance``, or one for each ``block_bytes``, whichever is more.
+    """
+    plain = saved(rows.select("hash", "id", "size"))
+    total = plain.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("t")).first()["t"]
+    limit = min(how.block_bytes, how.tolerance * total / how.shards)
+    groups = plain.groupBy("hash", "id").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    heavy = saved(groups.filter((F.col("n") > 1) & (F.col("bytes") > limit)).select("hash", "id"))
+    n_heavy = heavy.count()
+    none = F.lit(0).cast("bigint")
+    if not n_heavy:
+        return rows.withColumn("part", none), plain.withColumn("part", none)
+    if n_heavy <= BROADCAST_GROUPS:
+        heavy = F.broadcast(heavy)
+    numbered = saved(rows.join(heavy, ["hash", "id"], "left_semi").withColumn("part", F.monotonically_increasing_id()))
+    light = rows.join(heavy, ["hash", "id"], "left_anti").withColumn("part", none)
+    keys = plain.join(heavy, ["hash", "id"], "left_anti").withColumn("part", none)
+    return light.unionByName(numbered), saved(keys.unionByName(numbered.select("hash", "id", "size", "part")))
+
+
+def borders(keys: DataFrame, how: Sharding) -> tuple[list[tuple[int, int, int]], int]:
+    """The keys (hash, id, part) at which shards 1, 2, ... begin, and the total of bytes."""
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("t")).first()["t"]
     if not total:
         return [], 0
     targets = [total * j / how.shards for j in range(1, how.shards)]
     slack = how.tolerance * total / how.shards
-    by_hash = _refine(keys, F.col("hash"), Bracket(0, TOP, 0, total), targets, slack, how.probes)
-    cuts = {}
-    groups: dict[int, tuple[Bracket, list[float]]] = {}
-    for t, (border, b) in by_hash.items():
-        near = min(t - b.below_low, b.below_high - t)
-        if near <= slack or b.high - b.low > 1:
-            cuts[t] = (border, LOWEST_ID)
-        else:
-            groups.setdefault(b.low, (b, []))[1].append(t)
-    for value, (b, inside) in groups.items():  # at most one for each border
-        same = keys.filter(F.col("hash") == value)
-        ends = same.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
-        whole = Bracket(ends["low"], ends["high"] + 1, b.below_low, b.below_high)
-        for t, (border, _) in _refine(same, F.col("id"), whole, inside, slack, how.probes).items():
-            cuts[t] = (value, border) if border <= ends["high"] else (value + 1, LOWEST_ID)
-            if border == ends["low"]:
-                cuts[t] = (value, LOWEST_ID)
+    whole = Bracket(0, TOP, 0, total)
+    cuts = _cut(keys, ["hash", "id", "part"], [0, LOWEST_ID, 0], whole, targets, slack, how.probes)
     return [cuts[t] for t in targets], total
 
 
-def _shard(cuts: list[tuple[int, int]], at: int = 0) -> Column:
+def _cut(
+    keys: DataFrame, columns: list[str], lowest: list[int], whole: Bracket, targets: list[float], slack: float, probes: int
+) -> dict[float, tuple[int, ...]]:
+    """The key at which each target's border lies: by the first column, and inside one of its values by the others."""
+    first, rest = columns[0], columns[1:]
+    cuts: dict[float, tuple[int, ...]] = {}
+    inside: dict[int, tuple[Bracket, list[float]]] = {}  # at most one value for each border
+    for t, (border, b) in _refine(keys, F.col(first), whole, targets, slack, probes).items():
+        if rest and b.high - b.low == 1 and min(t - b.below_low, b.below_high - t) > slack:
+            inside.setdefault(b.low, (b, []))[1].append(t)
+        else:
+            cuts[t] = (border, *lowest[1:])
+    for value, (b, within) in inside.items():
+        same = keys.filter(F.col(first) == value)
+        ends = same.agg(F.min(rest[0]).alias("low"), F.max(rest[0]).alias("high")).first()
+        bracket = Bracket(ends["low"], ends["high"] + 1, b.below_low, b.below_high)
+        for t, key in _cut(same, rest, lowest[1:], bracket, within, slack, probes).items():
+            cuts[t] = (value + 1, *lowest[1:]) if key[0] > ends["high"] else (value, *key)
+    return cuts
+
+
+def _below(cut: tuple[int, int, int]) -> Column:
+    h, i, p = (F.lit(v) for v in cut)
+    same_id = (F.col("id") == i) & (F.col("part") < p)
+    return (F.col("hash") < h) | ((F.col("hash") == h) & ((F.col("id") < i) | same_id))
+
+
+def _shard(cuts: list[tuple[int, int, int]], at: int = 0) -> Column:
     if not cuts:
         return F.lit(at)
     mid = len(cuts) // 2
-    h, i = cuts[mid]
-    under = F.col("hash") < F.lit(h)
-    if i != LOWEST_ID:
-        under = under | ((F.col("hash") == F.lit(h)) & (F.col("id") < F.lit(i)))
-    return F.when(under, _shard(cuts[:mid], at)).otherwise(_shard(cuts[mid + 1 :], at + mid + 1))
+    return F.when(_below(cuts[mid]), _shard(cuts[:mid], at)).otherwise(_shard(cuts[mid + 1 :], at + mid + 1))
 
 
 def shard(docs: DataFrame, how: Sharding = Sharding()) -> DataFrame:
     """Whole rows as ``row``, each with ``size``, ``shard`` and ``slot`` (gapless from 0 in a shard).
 
-    A shard is cut into blocks by a hash of the id. The slots of a block begin behind those of the blocks
+    A shard is cut into blocks by a hash of the key. The slots of a block begin behind those of the blocks
     before it and follow the key inside, so that no task sorts a whole shard.
     """
-    keys = key_table(docs, how.overhead)
+    rows, keys = with_parts(keyed(docs, how.overhead), how)
     cuts, total = borders(keys, how)
     blocks = max(1, ceil(total / how.shards / how.block_bytes))
-    block = F.pmod(F.xxhash64("id", "hash"), F.lit(blocks)).cast("int")
+    block = F.pmod(F.xxhash64("id", "hash", "part"), F.lit(blocks)).cast("int")
     counts = keys.groupBy(_shard(cuts).alias("shard"), block.alias("block")).agg(F.count("*").alias("n"))
     before = W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.shiftrightunsigned(F.xxhash64(text), 2).alias("hash"),
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST_ID)).alias("id"),
-        (F.octet_length(text) + how.overhead).cast("bigint").alias("size"),
-    )
     rows = rows.withColumn("shard", _shard(cuts)).withColumn("block", block)
-    order = W.partitionBy("shard", "block").orderBy("hash", "id")
+    order = W.partitionBy("shard", "block").orderBy("hash", "id", "part")
     numbered = rows.withColumn("nth", F.row_number().over(order).cast("bigint"))
     placed = numbered.join(offsets, ["shard", "block"])
     return placed.select("row", "size", "shard", (F.col("offset") + F.col("nth") - 1).alias("slot"))
