@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm import (
     alignment, byte_bpe, licenses, neighbours, packing, passages, periodic, quality_rules, secrets, sharding, simhash, toxicity, url_filter,
+    url_labels,
 )
 from shelfwise.llm.common import saved, table, table_saved
 from shelfwise.llm.url_filter import Rule, UrlModel
@@ -37,30 +38,18 @@ URL_RULES = [
     Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"),
     Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"),
 ]
-#: Hosts of the small labelled table: known unwanted ones, and ordinary ones.
-UNWANTED = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "adult-x", "ads-track")
-ORDINARY = (
-    "library", "weather", "museum", "garden-club", "city-news", "physics", "recipes", "archive", "history",
-    "travel-notes", "schools", "open-data", "gazette", "science", "music-hall", "bird-watch", "maps", "theatre",
-)
+#: Steps, momentum and limit chosen on the labelled hosts that are held out.
+URL_MODEL = UrlModel(rounds=150, rate=4.0, momentum=0.9)
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, label): each host with every usual prefix, path form and ending, 1 for unwanted."""
-    hosts = [(h, 1) for h in UNWANTED] + [(h, 0) for h in ORDINARY]
-    prefixes, tails = ("", "www.", "m.", "blog."), ("/en/1{}.html", "/de/2{}", "/fr/3{}/", "/es/4{}")
-    endings = ("com", "org", "net")
-    rows = [
-        (f"https://{p}{h}.example.{endings[(i + k) % 3]}{tails[(i + k) % 4].format(k)}", y)
-        for k, (h, y) in enumerate(hosts)
-        for i, p in enumerate(prefixes)
-    ]
-    return spark.createDataFrame(rows, "url string, label int")
+def labelled_urls(spark: SparkSession, held_out: bool = False) -> DataFrame:
+    """(url, label), 1 for unwanted: the training part of the labelled table, or the hosts held out of it."""
+    return spark.createDataFrame(url_labels.rows(held_out), "url string, label int")
 
 
 @query
 def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
-    out = url_filter.judge(table(spark, folder, "pages").select("page_id", "url"), URL_RULES, labelled_urls(spark), UrlModel(limit=0.3))
+    out = url_filter.judge(table(spark, folder, "pages").select("page_id", "url"), URL_RULES, labelled_urls(spark), URL_MODEL)
     return out.select("row.page_id", "host", "path", "rule", "verdict", F.round("probability", 9).alias("probability"))
 
 

@@ -2,10 +2,11 @@
 
 The model is trained from a small labelled table (url, label 0 or 1, 1 means block) of at most
 ``max_rows`` rows, by full gradient descent written as array functions over one row; the weights
-come back as one array of ``buckets`` numbers and a bias. A row's cells are scaled to length one, and the
+come back as one array of ``buckets`` numbers and a bias. With ``momentum`` each gradient is taken ahead of the weights (Nesterov). A row's cells are scaled to length one, and the
 two classes weigh the same. Every page is then scored by itself, with no shuffle.
 
-Null url, or one without ``://``: host and path are empty, the score is the bias alone. Repeated
+Null url, or one without ``://``: host and path are empty, the probability is that of the bias alone. A page without
+a host gives the model nothing to judge, so it is allowed unless a rule fits. Very long urls are scored whole. Repeated
 rows are judged one by one. Equally long rules that fit: the smaller (host, path) wins. Other columns are
 not touched and may have any name.
 """
@@ -40,6 +41,7 @@ class UrlModel:
     rounds: int = 250
     rate: float = 8.0
     decay: float = 1e-4
+    momentum: float = 0.0  # share of the last step that the next one starts ahead by
     max_rows: int = 2_000
     limit: float = 0.5  # block above this probability
 
@@ -131,7 +133,18 @@ def train(labelled: DataFrame, model: UrlModel = UrlModel()) -> Column:
 
     def descend(d: Column) -> Column:
         start = F.array_repeat(F.lit(0.0), F.size(d["where"]) + 1)
-        return F.aggregate(F.sequence(F.lit(1), F.lit(model.rounds)), start, lambda w, _: step(d, w))
+        rounds = F.sequence(F.lit(1), F.lit(model.rounds))
+        if not model.momentum:
+            return F.aggregate(rounds, start, lambda w, _: step(d, w))
+
+        def ahead(s: Column) -> Column:
+            return F.zip_with(s["w"], s["last"], lambda a, b: a + model.momentum * (a - b))
+
+        def moved(s: Column) -> Column:
+            return F.struct(let(ahead(s), lambda w: step(d, w)).alias("w"), s["w"].alias("last"))
+
+        both = F.struct(start.alias("w"), start.alias("last"))
+        return F.aggregate(rounds, both, lambda s, _: moved(s), lambda s: s["w"])
 
     fitted = slots.select("used", let(F.col("d"), descend).alias("w"))
     def dense(d: Column) -> Column:
@@ -163,5 +176,5 @@ def judge(pages: DataFrame, rules: list[Rule], labelled: DataFrame, model: UrlMo
         F.size("cells") > 0, F.aggregate("cells", F.lit(0.0), lambda a, c: a + F.get(w, c)) / F.sqrt(F.size("cells"))
     ).otherwise(F.lit(0.0))
     df = df.withColumn("probability", 1 / (1 + F.exp(-total)))
-    own = F.when(F.col("probability") > model.limit, F.lit("block")).otherwise(F.lit("allow"))
+    own = F.when((F.col("host") != "") & (F.col("probability") > model.limit), F.lit("block")).otherwise(F.lit("allow"))
     return df.select("row", "host", "path", rule.alias("rule"), "probability", F.coalesce(by_rule, own).alias("verdict"))

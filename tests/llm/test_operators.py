@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from tokenizers import Tokenizer
 
 from shelfwise.llm import byte_bpe, neighbours, packing, passages, quality_rules, secrets, sharding, simhash, toxicity, url_filter
 from shelfwise.llm.links import components, forest
-from shelfwise.llm.queries import URL_RULES, labelled_urls
+from shelfwise.llm.queries import URL_MODEL, URL_RULES, labelled_urls
 
 #: Names that operators use inside stand here as further columns of the input.
 SCHEMA = "doc_id bigint, text string, w int, row string, score double, kept boolean, hash string, bucket int, shard int, n_chars int"
@@ -117,7 +118,7 @@ def test_urls(spark):
     urls = [None, "", "no scheme", "http://", "https://A.Example.NET/en/x?q#f", "http://example.net", "http://b.org/fr/1", "http://example.com/de/",
             "http://xexample.com/de/", "http://cheap-pills.example.org/en/9.html", "http://quiet-meadow.example.org/en/9.html", "x://h?p/a", "a://b://c/d"]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(4, urls[4], "x")], "page_id int, url string, host string")
-    got = url_filter.judge(pages, URL_RULES, labelled_urls(spark), url_filter.UrlModel(limit=0.3)).collect()
+    got = url_filter.judge(pages, URL_RULES, labelled_urls(spark), URL_MODEL).collect()
     assert len(got) == len(urls) + 1
     by = {r["row"]["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in got}
     assert by[0] == by[1] == by[2] == by[3] == ("", "", None, "allow")
@@ -131,8 +132,45 @@ def test_urls(spark):
         url_filter.judge(pages, URL_RULES, labelled_urls(spark), url_filter.UrlModel(max_rows=3)).collect()
 
 
-def test_url_training_follows_gradient_descent(spark):
-    model = url_filter.UrlModel(buckets=64, rounds=5, rate=1.0)
+def plain_parts(url):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.match(r"[^/?#]*", rest).group()
+    return host.lower(), re.match(r"[^?#]*", rest[len(host):]).group()
+
+
+def plain_cells(url, model):
+    host, path = plain_parts(url)
+    s = f"^{host}{path}$"
+    at = np.array([xxhash.xxh64_intdigest(s[i:i + k], seed=42) for k in model.sizes for i in range(len(s) - k + 1)], dtype=np.uint64).astype(np.int64)
+    x = np.zeros(model.buckets + 1)
+    cells = np.unique(at % model.buckets)
+    x[cells], x[-1] = 1 / np.sqrt(max(1, len(cells))), 1
+    return x
+
+
+def test_url_verdicts_of_held_out_hosts_follow_a_plain_model(spark):
+    train, held = labelled_urls(spark), labelled_urls(spark, held_out=True)
+    rows = [(r["url"], r["label"]) for r in train.collect()]
+    names = [{plain_parts(r["url"])[0] for r in part.collect()} for part in (train, held)]
+    assert not names[0] & names[1] and len(names[0]) > 500 and len(names[1]) > 200
+    x, y = np.array([plain_cells(u, URL_MODEL) for u, _ in rows]), np.array([t for _, t in rows], dtype=float)
+    w = last = np.zeros(URL_MODEL.buckets + 1)
+    share, decay = np.where(y == 1, y.mean(), 1 - y.mean()), np.r_[np.full(URL_MODEL.buckets, URL_MODEL.decay), 0]
+    for _ in range(URL_MODEL.rounds):
+        a = w + URL_MODEL.momentum * (w - last)
+        wrong = (y - 1 / (1 + np.exp(-(x @ a)))) / (2 * share)
+        w, last = a + URL_MODEL.rate * (x.T @ wrong / len(y) - decay * a), w
+    got = url_filter.judge(held, [], train, URL_MODEL).collect()
+    for r in got:
+        want = 1 / (1 + np.exp(-plain_cells(r["row"]["url"], URL_MODEL) @ w))
+        assert abs(r["probability"] - want) < 1e-6 and r["verdict"] == ("block" if r["probability"] > URL_MODEL.limit else "allow")
+    blocked = {k: np.mean([r["verdict"] == "block" for r in got if r["row"]["label"] == k]) for k in (0, 1)}
+    assert blocked[1] >= 0.85 and blocked[0] <= 0.1
+
+
+@pytest.mark.parametrize("momentum", [0.0, 0.5])
+def test_url_training_follows_gradient_descent(spark, momentum):
+    model = url_filter.UrlModel(buckets=64, rounds=5, rate=1.0, momentum=momentum)
     rows = [("http://aa.b/c", 1), ("http://dd.e/f", 0), ("http://gg.h/i", 0)]
     labelled = spark.createDataFrame(rows, "url string, label int")
     parts = url_filter.with_parts(labelled).select("row.label", "host", "path", url_filter.cells(F.col("host"), F.col("path"), model).alias("f"))
@@ -142,9 +180,11 @@ def test_url_training_follows_gradient_descent(spark):
     for i, r in enumerate(data):
         x[i, r["f"]] = 1 / np.sqrt(len(r["f"]))
     share = np.where(y == 1, y.mean(), 1 - y.mean())
+    old_w, old_b = w, b
     for _ in range(model.rounds):
-        wrong = (y - 1 / (1 + np.exp(-(x @ w) - b))) / (2 * share)
-        w, b = w + (x.T @ wrong / 3 - model.decay * w), b + wrong.sum() / 3
+        u, v = w + momentum * (w - old_w), b + momentum * (b - old_b)
+        wrong = (y - 1 / (1 + np.exp(-(x @ u) - v))) / (2 * share)
+        (w, b), old_w, old_b = (u + (x.T @ wrong / 3 - model.decay * u), v + wrong.sum() / 3), w, b
     got = spark.range(1).select(url_filter.train(labelled, model).alias("w")).first()["w"]
     assert np.allclose(got, [*w, b])
 
