@@ -58,17 +58,15 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def cells(host: Column, path: Column, model: UrlModel) -> Column:
     """Distinct cells of the character n-grams of ``^host path$``."""
     s = F.concat(F.lit("^"), host, path, F.lit("$"))
-    grams = [
-        F.when(
-            F.length(s) >= k,
-            F.transform(
-                F.sequence(F.lit(1), F.length(s) - k + 1),
-                lambda i, k=k: F.pmod(F.xxhash64(F.substring(s, i, F.lit(k))), F.lit(model.buckets)).cast("int"),
-            ),
-        ).otherwise(F.array().cast("array<int>"))
-        for k in model.sizes
-    ]
-    return F.array_distinct(F.concat(*grams))
+
+    def grams(k: int) -> Column:
+        def cell(i: Column) -> Column:  # one parameter: a second one would be given the index
+            return F.pmod(F.xxhash64(F.substring(s, i, F.lit(k))), F.lit(model.buckets)).cast("int")
+
+        starts = F.sequence(F.lit(1), F.length(s) - k + 1)
+        return F.when(F.length(s) >= k, F.transform(starts, cell)).otherwise(F.array().cast("array<int>"))
+
+    return F.array_distinct(F.concat(*[grams(k) for k in model.sizes]))
 
 
 def with_parts(df: DataFrame, url: str = "url") -> DataFrame:
@@ -90,22 +88,19 @@ def train(labelled: DataFrame, model: UrlModel = UrlModel()) -> Column:
     guard = F.when(size <= model.max_rows, F.col("data")).otherwise(
         F.raise_error(F.lit(f"the labelled table has more than {model.max_rows} rows"))
     )
-    packed = packed.select(guard.alias("data")).select("data", F.size("data").alias("n"))
-    # rows by cell, to sum what a cell's rows are wrong by; only cells that occur are kept
-    used = packed.withColumn("used", F.array_sort(F.array_distinct(F.flatten(F.transform("data", lambda d: d["f"])))))
-
-    def indexed(d: Column) -> Column:
-        def to_slots(m: Column) -> Column:
-            return F.transform(d["data"], lambda r: F.transform(r["f"], lambda c: F.element_at(m, c)))
-
-        f = let(F.map_from_arrays(d["used"], F.sequence(F.lit(0), F.size(d["used"]) - 1)), to_slots)
-        rows_with = lambda g: F.transform(
-            F.sequence(F.lit(0), F.size(d["used"]) - 1),
-            lambda s: F.filter(F.sequence(F.lit(0), d["n"] - 1), lambda i: F.array_contains(F.get(g, i), s)),
-        )
-        return let(f, lambda g: F.struct(g.alias("f"), rows_with(g).alias("where"), F.transform(d["data"], lambda r: r["y"]).alias("y"), d["n"].alias("n")))
-
-    slots = used.select("used", let(F.struct("data", "used", "n"), indexed).alias("d"))
+    packed = packed.select(guard.alias("data"))
+    # rows by cell, to sum what a cell's rows are wrong by
+    pairs = packed.select(F.posexplode("data").alias("i", "r")).select("i", F.explode("r.f").alias("cell"))
+    by_cell = pairs.groupBy("cell").agg(F.array_sort(F.collect_list("i")).alias("rows"))
+    cells_all = labelled.sparkSession.range(model.buckets).select(F.col("id").cast("int").alias("cell"))
+    full = cells_all.join(by_cell, "cell", "left").select("cell", F.coalesce("rows", F.array().cast("array<int>")).alias("rows"))
+    where = full.agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "rows"))), lambda x: x["rows"]).alias("w"))
+    ready = packed.select(
+        F.struct(
+            F.transform("data", lambda r: r["f"]).alias("f"), F.transform("data", lambda r: r["y"]).alias("y"),
+            F.size("data").alias("n"), where.scalar().alias("where"),
+        ).alias("d")
+    )
 
     def wrong(d: Column, w: Column) -> Column:
         """Label minus probability of every row, times its class's weight; the bias is the last weight."""
@@ -146,16 +141,7 @@ def train(labelled: DataFrame, model: UrlModel = UrlModel()) -> Column:
         both = F.struct(start.alias("w"), start.alias("last"))
         return F.aggregate(rounds, both, lambda s, _: moved(s), lambda s: s["w"])
 
-    fitted = slots.select("used", let(F.col("d"), descend).alias("w"))
-    def dense(d: Column) -> Column:
-        def at(c: Column) -> Column:
-            place = F.array_position(d["used"], c).cast("int")
-            return F.when(place > 0, F.get(d["w"], place - 1)).otherwise(F.lit(0.0))
-
-        spread = F.transform(F.sequence(F.lit(0), F.lit(model.buckets - 1)), at)
-        return F.concat(spread, F.array(F.element_at(d["w"], -1)))
-
-    return fitted.select(let(F.struct("used", "w"), dense)).scalar()
+    return ready.select(let(F.col("d"), descend)).scalar()
 
 
 def judge(pages: DataFrame, rules: list[Rule], labelled: DataFrame, model: UrlModel = UrlModel()) -> DataFrame:

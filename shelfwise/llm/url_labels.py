@@ -1,6 +1,6 @@
 """A labelled table of URLs, put together from general vocabulary by a rule; none of its hosts comes from the tables that are judged.
 
-An unwanted host joins a word of unwanted trades to a neutral one, an ordinary host an ordinary word to the same neutral ones, with and
+An unwanted host joins a word of unwanted trades to a neutral or a luring one, an ordinary host an ordinary word to the same neutral ones, with and
 without a hyphen, so that neither hyphens nor neutral words tell the classes apart. Every ``hold_out``-th neutral
 partner is left out of the training part: those hosts measure what the model makes of names that it has not seen.
 """
@@ -16,6 +16,8 @@ UNWANTED = (
     "spam scam phishing malware warez cracks keygen torrent "
     "loans payday forex crypto bitcoin replica fakes"
 ).split()
+# fixed values: words that unwanted sites lure with
+LURES = "cheap free win bonus instant hot discount cash prize secret quick unlimited".split()
 # fixed values: words of ordinary sites
 ORDINARY = (
     "library museum weather garden physics recipes archive history school science music theatre gazette maps travel nature "
@@ -62,6 +64,12 @@ def _coined(number: int) -> list[str]:
     return ["".join(SYLLABLES[(k * 7 + m * (k // n + 3)) % n] for m in range(3 + k % 2)) for k in range(number)]
 
 
+def _lured(lures: int) -> list[str]:
+    """Each unwanted word with so many luring ones."""
+    both = ((w, LURES[(5 * i + 7 * j + 3) % len(LURES)], i + j) for i, w in enumerate(dict.fromkeys(UNWANTED)) for j in range(lures))
+    return [(f"{b}-{a}", f"{a}{b}", f"{b}{a}", f"{a}-{b}")[k % 4] for a, b, k in both]
+
+
 def _pairs(number: int) -> list[str]:
     """Names of two ordinary words, with and without a hyphen."""
     both = ((FIRST[k % len(FIRST)], SECOND[(k * 3 + k // len(FIRST)) % len(SECOND)]) for k in range(number))
@@ -73,6 +81,7 @@ def rows(held_out: bool = False, hold_out: int = 4) -> list[tuple[str, int]]:
     hosts = [(h, j, 1) for h, j in _hosts(UNWANTED, 8)] + [(h, j, 0) for h, j in _hosts(ORDINARY, 4)]
     hosts += [(h, k, 0) for k, h in enumerate(dict.fromkeys(_coined(200)))]
     hosts += [(h, k, 0) for k, h in enumerate(_pairs(400))]
+    hosts += [(h, k, 1) for k, h in enumerate(_lured(3))]
     out = []
     for k, (host, j, label) in enumerate(hosts):
         if (j % hold_out == hold_out - 1) == held_out:
