@@ -143,7 +143,7 @@ def block_bounds(w: Words, least: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in blocks if 100 * np.bincount(w.line[a:b] - w.line[a]).max() < 95 * (b - a)]
 
 
-_WINDOWS = "id bigint, own bigint, start int, end int, hash bigint, proof int"
+_PATHS = "id bigint, own bigint, no bigint, left boolean, hash bigint, proof int, edge int, path binary, places array<int>"
 _SPOT = ("at", "words")
 _NO_KEYS = np.empty(0, dtype=np.int64)
 
@@ -243,61 +243,94 @@ def paragraphs(docs: DataFrame, how: Passages) -> tuple[DataFrame, DataFrame]:
     return lines, both.filter("keys is null").select("doc", "start", "end", F.col("node").alias("hash"), "proof", *_SPOT)
 
 
-def grown(docs: DataFrame, windows: DataFrame, how: Passages) -> DataFrame:
-    """(doc, start, end, hash, proof) of repeated windows with 1 to ``window - 1`` words more on one side.
+def repeated(windows: DataFrame) -> DataFrame:
+    """The windows that two or more documents hold, saved: all that later steps read."""
+    pair = ["hash", "proof"]
+    bounds = [f(f"doc.{c}").alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("id", "own")]
+    groups = windows.groupBy(*pair).agg(*bounds).filter("min_id <> max_id or min_own <> max_own")
+    return table_saved(windows.join(groups.select(*pair), pair, "left_semi").select("doc", "start", "end", "at", "words", *pair))
+
+
+def grown(docs: DataFrame, hits: DataFrame, how: Passages) -> DataFrame:
+    """(doc, start, end, keeper, removed) of repeated windows with 1 to ``window - 1`` words more on one side.
 
     A side of a window is looked at in all documents if in one of them repeated windows do not cover
-    it already, so the inner windows of a passage do not take part.
+    it already, so the inner windows of a passage do not take part. Of a side only two stretches are told: the longest that an
+    earlier document has too, and the longest of those that no earlier one but a later one has. The keeper
+    of the former is that of the window or a later one, so it is left null.
     """
     size, reach, pair = how.window, how.window - 1, ["hash", "proof"]
-    groups = windows.groupBy(*pair).agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high")
-    hits = windows.join(groups.select(*pair), pair, "left_semi").select("doc", "at", "words", *pair)
+    spots = hits.select("doc", "at", "words", *pair)
     order = W.partitionBy("doc").orderBy("at")
     before = F.max(F.col("at") + size).over(order.rowsBetween(W.unboundedPreceding, -1))
-    hits = hits.withColumn("fresh", F.coalesce((F.col("at") > before).cast("int"), F.lit(1)))
-    hits = saved(hits.withColumn("island", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0))))
-    edges = hits.groupBy("doc", "island").agg(F.min("at").alias("first"), F.max(F.col("at") + size).alias("last"))
+    spots = spots.withColumn("fresh", F.coalesce((F.col("at") > before).cast("int"), F.lit(1)))
+    spots = table_saved(spots.withColumn("island", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0))))
+    edges = spots.groupBy("doc", "island").agg(F.min("at").alias("first"), F.max(F.col("at") + size).alias("last"))
     left = (F.col("first") > 0) & (F.col("at") - reach < F.col("first"))
     right = (F.col("last") < F.col("words")) & (F.col("at") + size + reach > F.col("last"))
-    sides = hits.join(edges, ["doc", "island"]).groupBy(*pair).agg(F.max(left).alias("left"), F.max(right).alias("right")).filter("left or right")
-    wanted = hits.join(sides, pair).groupBy("doc").agg(F.collect_list(F.struct("at", "left", "right", *pair)).alias("spans"))
-    wanted = saved(wanted)
+    sides = spots.join(edges, ["doc", "island"]).groupBy(*pair).agg(F.max(left).alias("left"), F.max(right).alias("right")).filter("left or right")
+    wanted = spots.join(sides, pair).groupBy("doc").agg(F.collect_list(F.struct("at", "left", "right", *pair)).alias("spans"))
+    # numbers in the order of the documents
+    wanted = table_saved(wanted.orderBy("doc").withColumn("no", F.monotonically_increasing_id()))
     if (wanted.agg(F.sum(F.size("spans")).alias("n")).first()["n"] or 0) <= BROADCAST_LINES:
         wanted = F.broadcast(wanted)
     steps = np.arange(1, size)
-    powers = [np.array([_power(b, int(k)) for k in steps]) for b in _BASES]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 128):
             out: list[tuple[np.ndarray, ...]] = []
-            for doc, own, text, spans in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for doc, own, no, text, spans in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 w = words_of(text.encode())
-                seeds = rolling(w.hashes, size, _BASES[0]).view(np.int64)
                 for side in ("left", "right"):
                     spot = [(s["at"], s["hash"], s["proof"]) for s in spans if s[side]]
-                    spot = [x for x in spot if x[0] < len(seeds) and seeds[x[0]] == x[1]]  # other texts may have the same id
                     if not spot:
                         continue
-                    at, seed, proof = (np.array(x, dtype=np.int64)[:, None] for x in zip(*spot))
-                    word = at - steps if side == "left" else at + reach + steps
+                    at, seed, proof = np.array(spot, dtype=np.int64).T
+                    word = at[:, None] - steps if side == "left" else at[:, None] + reach + steps
                     inside = (word >= 0) & (word < len(w.hashes))
-                    values = w.hashes[np.clip(word, 0, len(w.hashes) - 1)]
-                    mark = steps.astype(np.uint64) * np.uint64(2) + np.uint64(side == "left")
-                    one, two = (
-                        _mix(np.cumsum(values * p, axis=1, dtype=np.uint64) + _mix(start.view(np.uint64) + mark))
-                        for p, start in zip(powers, (seed, proof), strict=True)
-                    )
-                    low = word if side == "left" else np.broadcast_to(at, word.shape)
-                    high = np.broadcast_to(at + reach, word.shape) if side == "left" else word
-                    n = int(inside.sum())
-                    out.append((np.full(n, doc), np.full(n, own), w.start[low[inside]], w.end[high[inside]], one[inside].view(np.int64), (two[inside] >> np.uint64(33)).astype(np.int32)))
+                    many = inside.sum(axis=1)
+                    word, some = word[inside], many > 0
+                    edge = w.end[at + reach] if side == "left" else w.start[at]
+                    n = int(some.sum())
+                    out.append((
+                        np.full(n, doc), np.full(n, own), np.full(n, no), np.full(n, side == "left"), seed[some], proof[some].astype(np.int32),
+                        edge[some].astype(np.int32), many[some], (w.hashes[word] >> np.uint64(32)).astype(np.uint32),
+                        (w.start if side == "left" else w.end)[word].astype(np.int32),
+                    ))
             if out:
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), types, strict=True)], names=["id", "own", "start", "end", "hash", "proof"],
-                )
-
-    return _keyed(table_saved(_key(docs).join(wanted, "doc").select("doc.id", "doc.own", "text", "spans").mapInArrow(read, _WINDOWS)))
+                *flat, many, path, places = (np.concatenate(c) for c in zip(*out, strict=True))
+                cut = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
+                paths = pa.Array.from_buffers(pa.binary(), len(many), [None, pa.py_buffer(cut * np.int32(4)), pa.py_buffer(path)])
+                places = pa.ListArray.from_arrays(pa.array(cut), pa.array(places))
+                names = ["id", "own", "no", "left", "hash", "proof", "edge", "path", "places"]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, flat), paths, places], names=names)
+
+    found = _key(docs).join(wanted, "doc").select("doc.id", "doc.own", "no", "text", "spans").mapInArrow(read, _PATHS)
+    found = table_saved(_keyed(found).withColumn("way", F.xxhash64("proof", "left", "path")))
+    # documents that go on alike are one way; only windows with several ways are looked at word by word
+    ways = found.groupBy("hash", "way", "proof", "left", "path").agg(F.min("no").alias("low"), F.max("no").alias("high"))
+    ways = table_saved(ways.withColumn("n", F.expr("cast(octet_length(path) / 4 as int)")))
+    window = ["hash", "proof", "left"]
+    forks = ways.groupBy(*window).agg(F.min("way").alias("a"), F.max("way").alias("b")).filter("a <> b").select(*window)
+    plain = ways.join(forks, window, "left_anti").filter("low <> high").select("hash", "way", "low", F.col("n").alias("any"), F.lit(0).alias("lower"))
+    prefix = F.xxhash64("proof", "left", F.expr("substring(path, 1, 4 * k)"))
+    steps_of = ways.join(forks, window, "left_semi").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    steps_of = steps_of.select("hash", prefix.alias("step"), "way", "k", "low", "high")
+    common = steps_of.groupBy("hash", "step").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first <> last")
+    forked = steps_of.join(common, ["hash", "step"]).groupBy("hash", "way").agg(
+        F.min("low").alias("low"), F.max("k").alias("any"), F.coalesce(F.max(F.when(F.col("first") < F.col("low"), F.col("k"))), F.lit(0)).alias("lower")
+    )
+    met = found.join(plain.unionByName(forked), ["hash", "way"])
+    lowest = F.col("no") == F.col("low")
+    both = F.array(
+        F.struct(F.when(lowest, F.col("lower")).otherwise(F.col("any")).alias("k"), F.lit(True).alias("removed")),
+        F.struct(F.when(lowest & (F.col("any") > F.col("lower")), F.col("any")).otherwise(0).alias("k"), F.lit(False).alias("removed")),
+    )
+    far = F.get("places", F.col("x.k") - 1)
+    return met.select("doc", "left", "edge", "places", F.explode(both).alias("x")).filter("x.k > 0").select(
+        "doc", F.when(F.col("left"), far).otherwise(F.col("edge")).alias("start"), F.when(F.col("left"), F.col("edge")).otherwise(far).alias("end"),
+        F.when(~F.col("x.removed"), F.col("doc")).alias("keeper"), "x.removed",
+    )
 
 
 def _occurrences(found: DataFrame, by: list[str]) -> DataFrame:
@@ -344,7 +377,7 @@ def similar_lines(docs: DataFrame, lines: DataFrame, how: Passages, group: int =
             out[k] = both >= similarity * (len(x) + len(y) - both) - 1e-12
         return out
 
-    return components(links_in_buckets(met.join(sets, "node").select("bucket", "node", "shingles"), verify, group))
+    return components(links_in_buckets(met.join(sets, "node").select("bucket", "node", "shingles"), verify, group, met))
 
 
 def repeats(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
@@ -356,9 +389,9 @@ def repeats(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
     lines, windows = paragraphs(docs, how)
     linked = similar_lines(docs, lines, how)
     rooted = lines.select("doc", "start", "end", "node").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    found = _occurrences(rooted, ["root"]).unionByName(_occurrences(windows, ["hash", "proof"]))
-    found = found.unionByName(_occurrences(grown(docs, windows, how), ["hash", "proof"])).distinct()
-    found = found.withColumn("removed", F.col("keeper") != F.col("doc"))
+    hits = repeated(windows)
+    found = _occurrences(rooted, ["root"]).unionByName(_occurrences(hits, ["hash", "proof"]))
+    found = found.withColumn("removed", F.col("keeper") != F.col("doc")).unionByName(grown(docs, hits, how))
     # merge what overlaps or touches, for each document and kind
     order = W.partitionBy("doc", "removed").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
