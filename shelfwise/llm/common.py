@@ -61,6 +61,18 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterato
             yield batch.slice(start, rows)
 
 
+def sized_batches(batches: Iterator[pa.RecordBatch], column: int, rows: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows whose texts together have at most ``most`` bytes, or of one row with a longer text."""
+    for batch in small_batches(batches, rows):
+        size = np.cumsum(np.array([len(t) for t in strings(batch.column(column))], dtype=np.int64))
+        start = 0
+        while start < batch.num_rows:
+            done = size[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(size, done + most, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import saved, small_batches, table_saved
+from shelfwise.llm.common import saved, sized_batches, small_batches, table_saved
 from shelfwise.llm.links import components, links_in_buckets
 
 NO_ID = -(1 << 63)
@@ -87,10 +88,24 @@ def rolling(h: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
     return _mix(_runs(h, n, base)) if len(h) >= n else np.empty(0, dtype=np.uint64)
 
 
+@cache
 def _power(base: np.uint64, n: int) -> np.uint64:
     return np.uint64(pow(int(base), n, 1 << 64))
 
 
+def values_at(h: np.ndarray, at: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
+    """What :func:`rolling` holds at some positions."""
+    powers = np.array([_power(base, n - 1 - k) for k in range(n)])
+    return _mix((h[at[:, None] + np.arange(n)] * powers).sum(axis=1, dtype=np.uint64))
+
+
+def _laid(start: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges behind one another: the positions in them, each one's place in its range, and where the ranges begin."""
+    cut = np.cumsum(many) - many
+    order = np.arange(many.sum()) - np.repeat(cut, many)
+    return np.repeat(start, many) + order, order.astype(np.uint64), cut
+
+
 def _sliding(x: np.ndarray, n: int, least: bool) -> np.ndarray:
     """Minimum or maximum of every n neighbours."""
     pick, size = (np.minimum if least else np.maximum), 1
@@ -120,14 +135,16 @@ class Words:
     line: np.ndarray
 
 
+def word_hashes(text: bytes) -> np.ndarray:
+    return np.array(list(map(xxhash.xxh64_intdigest, text.lower().split())), dtype=np.uint64)
+
+
 def words_of(text: bytes) -> Words:
     raw = np.frombuffer(text, dtype=np.uint8)
     space = np.concatenate([[True], _SPACES[raw], [True]])
     first, last = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
     points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(w) for w in text.lower().split()], dtype=np.uint64)
-    return Words(h, points[first], points[last], np.cumsum(raw == 10)[first] if len(raw) else first)
+    return Words(word_hashes(text), points[first], points[last], np.cumsum(raw == 10)[first] if len(raw) else first)
 
 
 def line_bounds(w: Words, least: int) -> list[tuple[int, int]]:
@@ -145,7 +162,8 @@ def block_bounds(w: Words, least: int) -> list[tuple[int, int]]:
 
 _PATHS = "id bigint, own bigint, no bigint, left boolean, hash bigint, proof int, edge int, path binary, places array<int>"
 _SPOT = ("at", "words")
-_NO_KEYS = np.empty(0, dtype=np.int64)
+_NO_HASHES = np.empty(0, dtype=np.uint64)
+_NO_BOUNDS = np.empty((0, 2), dtype=np.int64)
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -172,70 +190,52 @@ def paragraphs(docs: DataFrame, how: Passages) -> tuple[DataFrame, DataFrame]:
     least_banded = how.least_banded
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 128):
-            out: dict[str, list] = {k: [] for k in ("id", "own", "start", "end", "node", "proof", *_SPOT)}
-            keys: list[np.ndarray | None] = []
-            ids, owns = (c.to_pylist() for c in batch.column(0).flatten())
-            for doc, own, text in zip(ids, owns, batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                if not text:
-                    continue
-                w = words_of(text)
-                a = rolling(w.hashes, window, _BASES[0])
-                at = winnowed(a, window)
-                if len(at):
-                    b = rolling(w.hashes, window, _BASES[1])[at]
-                    out["id"].append(np.full(len(at), doc))
-                    out["own"].append(np.full(len(at), own))
-                    out["start"].append(w.start[at])
-                    out["end"].append(w.end[at + window - 1])
-                    out["node"].append(a[at].view(np.int64))
-                    out["proof"].append((b >> np.uint64(33)).astype(np.int32))
-                    out["at"].append(at.astype(np.int32))
-                    out["words"].append(np.full(len(at), len(w.hashes), dtype=np.int32))
-                    keys += [None] * len(at)
-                bounds = block_bounds(w, least) + line_bounds(w, least)
-                if bounds:
-                    s = rolling(w.hashes, shingle, _BASES[0])
-                    ends = np.array(bounds)
-                    inside = np.concatenate([s[a:b - shingle + 1] for a, b in bounds])
-                    cut = np.concatenate([[0], np.cumsum(ends[:, 1] - ends[:, 0] - shingle + 1)[:-1]])
-                    many = ends[:, 1] - ends[:, 0] - shingle + 1
-                    has_bands = many >= least_banded
-                    for i in np.flatnonzero(~has_bands).tolist():
-                        first, last = bounds[i]
-                        has_bands[i] = len(set(w.hashes[first:last].tolist())) < last - first
-                    banded = np.flatnonzero(has_bands)
-                    key = np.zeros((len(banded), bands), dtype=np.uint64)
-                    if len(banded):
-                        some, size = inside[np.repeat(has_bands, many)], many[banded]
-                        begin = np.cumsum(size) - size
-                        sign = np.stack([np.minimum.reduceat(_mix(some * k), begin) for k in seeds], axis=1)
-                        band = sign.reshape(len(banded), bands, rows)
-                        for r in range(rows):
-                            key = _mix(key * _BASES[1] + band[:, :, r])
-                        key = _mix(key + np.arange(bands, dtype=np.uint64) * _BASES[0])
-                    # the whole line's hash: its shingles in order
-                    order = np.concatenate([np.arange(b - a - shingle + 1, dtype=np.uint64) for a, b in bounds])
-                    node = np.add.reduceat(_mix(inside + order * _BASES[1]), cut)
-                    out["id"].append(np.full(len(bounds), doc))
-                    out["own"].append(np.full(len(bounds), own))
-                    out["start"].append(w.start[ends[:, 0]])
-                    out["end"].append(w.end[ends[:, 1] - 1])
-                    out["node"].append(node.view(np.int64))
-                    for k in ("proof", *_SPOT):
-                        out[k].append(np.zeros(len(bounds), dtype=np.int32))
-                    own_keys = [_NO_KEYS] * len(bounds)
-                    for i, k in zip(banded.tolist(), key.view(np.int64), strict=True):
-                        own_keys[i] = k
-                    keys += own_keys
-            if keys:
-                flat = {k: np.concatenate(v) for k, v in out.items()}
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat["id"], pa.int64()), pa.array(flat["own"], pa.int64()), pa.array(flat["start"], pa.int32()), pa.array(flat["end"], pa.int32()),
-                     pa.array(flat["node"], pa.int64()), pa.array(flat["proof"], pa.int32()),
-                     *[pa.array(flat[k], pa.int32()) for k in _SPOT], pa.array(keys, pa.list_(pa.int64()))],
-                    names=["id", "own", "start", "end", "node", "proof", *_SPOT, "keys"],
-                )
+        for batch in sized_batches(batches, 1, 128):
+            # the words of all texts of the batch in a row, so that hashes are made in few calls
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            read = [words_of(t or b"") for t in texts]
+            counts = np.array([len(w.hashes) for w in read])
+            base = np.cumsum(counts) - counts
+            h, start, end = (np.concatenate([getattr(w, c) for w in read]) for c in ("hashes", "start", "end"))
+            a, s = rolling(h, window, _BASES[0]), rolling(h, shingle, _BASES[0])
+            picked, bounds = [], []
+            for w, first, n in zip(read, base.tolist(), counts.tolist(), strict=True):
+                picked.append(winnowed(a[first : max(first, first + n - window + 1)], window))
+                bounds.append(np.array(block_bounds(w, least) + line_bounds(w, least), dtype=np.int64).reshape(-1, 2) if n >= least else _NO_BOUNDS)
+            owner = [np.repeat(np.arange(len(read)), list(map(len, x))) for x in (picked, bounds)]
+            at, ends = np.concatenate(picked), np.concatenate(bounds)
+            spot, ends = at + base[owner[0]], ends + base[owner[1]][:, None]
+            proof = (values_at(h, spot, window, _BASES[1]) >> np.uint64(33)).astype(np.int32)
+            many = ends[:, 1] - ends[:, 0] - shingle + 1
+            has_bands = many >= least_banded
+            for i in np.flatnonzero(~has_bands).tolist():
+                first, last = ends[i].tolist()
+                has_bands[i] = len(set(h[first:last].tolist())) < last - first
+            inside, order, cut = _laid(ends[:, 0], many)
+            inside = s[inside]
+            # the whole line's hash: its shingles in order
+            node = np.add.reduceat(_mix(inside + order * _BASES[1]), cut) if len(ends) else np.empty(0, dtype=np.uint64)
+            some, size = inside[np.repeat(has_bands, many)], many[has_bands]
+            key = np.zeros((len(size), bands), dtype=np.uint64)
+            if len(size):
+                begin = np.cumsum(size) - size
+                sign = np.stack([np.minimum.reduceat(_mix(some * k), begin) for k in seeds], axis=1)
+                band = sign.reshape(len(size), bands, rows)
+                for r in range(rows):
+                    key = _mix(key * _BASES[1] + band[:, :, r])
+                key = _mix(key + np.arange(bands, dtype=np.uint64) * _BASES[0])
+            where, no_spot = np.concatenate(owner), np.zeros(len(ends), dtype=np.int32)
+            keys = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([np.zeros(len(at) + 1, dtype=np.int32), np.cumsum(has_bands * bands)]).astype(np.int32)),
+                pa.array(key.ravel().view(np.int64)), mask=pa.array(np.arange(len(where)) < len(at)),
+            )
+            ids = [c.take(pa.array(where)) for c in batch.column(0).flatten()]
+            flat = [
+                np.concatenate([start[spot], start[ends[:, 0]]]).astype(np.int32), np.concatenate([end[spot + window - 1], end[ends[:, 1] - 1]]).astype(np.int32),
+                np.concatenate([a[spot], node]).view(np.int64), np.concatenate([proof, no_spot]),
+                np.concatenate([at.astype(np.int32), no_spot]), np.concatenate([counts[owner[0]].astype(np.int32), no_spot]),
+            ]
+            yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, flat), keys], names=["id", "own", "start", "end", "node", "proof", *_SPOT, "keys"])
 
     schema = "id bigint, own bigint, start int, end int, node bigint, proof int, at int, words int, keys array<bigint>"
     both = _keyed(table_saved(_key(docs).mapInArrow(scan, schema)))
@@ -356,12 +356,14 @@ def similar_lines(docs: DataFrame, lines: DataFrame, how: Passages, group: int =
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 128):
-            nodes, sets = [], []
+            nodes, hashes, sets = [], [_NO_HASHES], []
             for text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for s in spans:
-                    w = words_of(text[s["start"] : s["end"]].encode())
-                    nodes.append(s["node"])
-                    sets.append(np.unique(rolling(w.hashes, shingle, _BASES[0])).view(np.int64))
+                nodes += [x["node"] for x in spans]
+                hashes += [word_hashes(text[x["start"] : x["end"]].encode()) for x in spans]
+            every, at = rolling(np.concatenate(hashes), shingle, _BASES[0]).view(np.int64), 0
+            for own in hashes[1:]:
+                sets.append(np.unique(every[at : at + len(own) - shingle + 1]))
+                at += len(own)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     sets = texts.join(wanted, "doc").select("text", "spans").mapInArrow(read, "node bigint, shingles array<bigint>")

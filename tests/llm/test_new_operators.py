@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -13,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shelfwise.llm import alignment, licenses, passages, periodic, secrets
+from shelfwise.llm.common import sized_batches
 from shelfwise.llm.queries import QUERIES
 
 #: Names that operators use inside stand here as further columns of the input.
@@ -340,3 +342,46 @@ def test_secrets_are_masked_with_any_columns(spark):
     docs = spark.createDataFrame([(None, "password=hunter2secret end", 1, "h"), (1, None, 2, "h"), (1, "token: abcdefgh", 3, "h")], "doc_id bigint, text string, __spans int, __hash string")
     got = {r["__spans"]: r.text for r in secrets.redact(docs).collect()}
     assert got == {1: "[SECRET] end", 2: None, 3: "[SECRET]"}
+
+
+def test_scan_of_many_texts_is_that_of_each(spark):
+    """Lines and windows of texts read together, in batches cut by size, are those of the texts read alone."""
+    r = np.random.default_rng(5)
+    texts = [None, "", " \n ", "a b", "one line of five words", *[" ".join(f"w{int(i)}" for i in r.integers(0, 50, n)) for n in (24, 25, 26, 60, 900)]]
+    texts += ["\n\n".join(t or "" for t in texts), "first line of the block\nsecond line of the block\n\nx"]
+    found = passages.paragraphs(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1), passages.Passages())
+    together = [Counter(map(str, t.collect())) for t in found]
+    alone = [Counter(), Counter()]
+    for i, text in enumerate(texts):
+        for n, t in zip(alone, passages.paragraphs(spark.createDataFrame([(i, text)], "doc_id bigint, text string"), passages.Passages()), strict=True):
+            n.update(map(str, t.collect()))
+    assert together == alone and all(together)
+    batch = pa.RecordBatch.from_pydict({"n": range(6), "text": [None, "a" * 9, "b", "c" * 30, "", "d"]})
+    assert [b.num_rows for b in sized_batches(iter([batch]), 1, 4, 10)] == [3, 1, 2]
+
+
+def test_windows_grow_as_far_as_each_other_document(spark):
+    """A shared run of words and how far each two documents go on alike after it, against plain comparison."""
+    r = np.random.default_rng(8)
+    core = [f"c{i}" for i in range(60)]
+    docs = {}
+    for d in range(14):
+        tails = [[f"t{int(i)}" for i in r.integers(0, 2, 12)] for _ in range(2)]
+        docs[d] = [f"u{d}a", *tails[0], *core, *tails[1], f"u{d}b"]
+    rows = [(d, " ".join(w)) for d, w in docs.items()]
+    got = Counter(tuple(x) for x in passages.repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "start", "end", "removed").collect())
+    want = Counter()
+    for d, words in docs.items():
+        cut = list(np.cumsum([0] + [len(w) + 1 for w in words]))
+
+        def span(others, words=words):
+            """(first word, word behind the last) that the words share with some of the others around the core."""
+            ahead = max(next(k for k in range(20) if words[12 - k] != o[12 - k]) for o in others)
+            behind = max(next(k for k in range(20) if words[73 + k] != o[73 + k]) for o in others)
+            return 13 - ahead, 73 + behind
+
+        earlier = [docs[o] for o in docs if o < d]
+        if earlier:
+            a, b = span(earlier)
+            want[d, cut[a], cut[b] - 1, True] += 1
+    assert {k: n for k, n in got.items() if k[3]} == dict(want)

@@ -359,7 +359,7 @@ def test_near_equal_lines_meet(spark):
     far = " ".join(words[:30] + text_of(12, 50).split())
     docs = table_of(spark, [(i, f"intro {i}\n{t}\nend {i}") for i, t in enumerate([line, *near, far, "x"])])
     lines, _ = passages.paragraphs(docs, passages.Passages())
-    nodes = {r["doc"]: r["node"] for r in lines.collect()}
+    nodes = {r["doc"]["id"]: r["node"] for r in lines.collect()}
     linked = {r["node"]: r["root"] for r in passages.similar_lines(docs, lines, passages.Passages()).collect()}
 
     def shingles(t):
