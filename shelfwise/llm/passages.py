@@ -238,17 +238,17 @@ def paragraphs(docs: DataFrame, how: Passages) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, flat), keys], names=["id", "own", "start", "end", "node", "proof", *_SPOT, "keys"])
 
     schema = "id bigint, own bigint, start int, end int, node bigint, proof int, at int, words int, keys array<bigint>"
-    both = _keyed(table_saved(_key(docs).mapInArrow(scan, schema)))
+    both = _keyed(table_saved(_key(docs).mapInArrow(scan, schema), compression="zstd"))
     lines = both.filter("keys is not null").select("doc", "start", "end", "node", "keys")
     return lines, both.filter("keys is null").select("doc", "start", "end", F.col("node").alias("hash"), "proof", *_SPOT)
 
 
 def repeated(windows: DataFrame) -> DataFrame:
     """The windows that two or more documents hold, saved: all that later steps read."""
-    pair = ["hash", "proof"]
-    bounds = [f(f"doc.{c}").alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("id", "own")]
-    groups = windows.groupBy(*pair).agg(*bounds).filter("min_id <> max_id or min_own <> max_own")
-    return table_saved(windows.join(groups.select(*pair), pair, "left_semi").select("doc", "start", "end", "at", "words", *pair))
+    mark = F.xxhash64("doc")
+    groups = windows.groupBy("hash").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low <> high").select("hash")
+    hits = windows.join(groups, "hash", "left_semi").select("doc", "start", "end", "at", "words", "hash", "proof")
+    return table_saved(hits, compression="zstd")
 
 
 def grown(docs: DataFrame, hits: DataFrame, how: Passages) -> DataFrame:
@@ -306,7 +306,7 @@ def grown(docs: DataFrame, hits: DataFrame, how: Passages) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*map(pa.array, flat), paths, places], names=names)
 
     found = _key(docs).join(wanted, "doc").select("doc.id", "doc.own", "no", "text", "spans").mapInArrow(read, _PATHS)
-    found = table_saved(_keyed(found).withColumn("way", F.xxhash64("proof", "left", "path")))
+    found = table_saved(_keyed(found).withColumn("way", F.xxhash64("proof", "left", "path")), compression="zstd")
     # documents that go on alike are one way; only windows with several ways are looked at word by word
     ways = found.groupBy("hash", "way", "proof", "left", "path").agg(F.min("no").alias("low"), F.max("no").alias("high"))
     ways = table_saved(ways.withColumn("n", F.expr("cast(octet_length(path) / 4 as int)")))
@@ -344,8 +344,10 @@ def similar_lines(docs: DataFrame, lines: DataFrame, how: Passages, group: int =
     """(node, root) of the lines that are linked to others that are not equal to them."""
     # equal lines are one node, however many documents hold them
     rows = lines.filter(F.size("keys") > 0).select("node", "keys").dropDuplicates(["node"]).select(F.explode("keys").alias("bucket"), "node")
-    shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    met = saved(rows.join(shared.select("bucket"), "bucket", "left_semi").distinct())
+    # buckets with the same nodes, as near copies have in most bands, are compared once
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"mark_{i}") for i in range(2)]
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), *marks).filter("n > 1").groupBy("n", "mark_0", "mark_1").agg(F.min("bucket").alias("bucket"))
+    met = table_saved(rows.join(shared.select("bucket"), "bucket", "left_semi"))
     wanted = lines.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "start", "end")).alias("at"))
     wanted = wanted.groupBy("at.doc").agg(F.collect_list(F.struct("node", "at.start", "at.end")).alias("spans"))
     wanted = saved(wanted.select("doc", "spans"))
