@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import saved, sized_batches, small_batches, table_saved
+from shelfwise.llm.common import sized_batches, small_batches, strings, table_saved
 from shelfwise.llm.links import components, links_in_buckets
 
 NO_ID = -(1 << 63)
@@ -162,7 +162,6 @@ def block_bounds(w: Words, least: int) -> list[tuple[int, int]]:
 
 _PATHS = "id bigint, own bigint, no bigint, left boolean, hash bigint, proof int, edge int, path binary, places array<int>"
 _SPOT = ("at", "words")
-_NO_HASHES = np.empty(0, dtype=np.uint64)
 _NO_BOUNDS = np.empty((0, 2), dtype=np.int64)
 
 
@@ -264,7 +263,7 @@ def grown(docs: DataFrame, hits: DataFrame, how: Passages) -> DataFrame:
     order = W.partitionBy("doc").orderBy("at")
     before = F.max(F.col("at") + size).over(order.rowsBetween(W.unboundedPreceding, -1))
     spots = spots.withColumn("fresh", F.coalesce((F.col("at") > before).cast("int"), F.lit(1)))
-    spots = table_saved(spots.withColumn("island", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0))))
+    spots = table_saved(spots.withColumn("island", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0))), compression="zstd")
     edges = spots.groupBy("doc", "island").agg(F.min("at").alias("first"), F.max(F.col("at") + size).alias("last"))
     left = (F.col("first") > 0) & (F.col("at") - reach < F.col("first"))
     right = (F.col("last") < F.col("words")) & (F.col("at") + size + reach > F.col("last"))
@@ -350,7 +349,7 @@ def similar_lines(docs: DataFrame, lines: DataFrame, how: Passages, group: int =
     met = table_saved(rows.join(shared.select("bucket"), "bucket", "left_semi"))
     wanted = lines.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "start", "end")).alias("at"))
     wanted = wanted.groupBy("at.doc").agg(F.collect_list(F.struct("node", "at.start", "at.end")).alias("spans"))
-    wanted = saved(wanted.select("doc", "spans"))
+    wanted = table_saved(wanted.select("doc", "spans"))
     texts = _key(docs)
     if (wanted.agg(F.sum(F.size("spans")).alias("n")).first()["n"] or 0) <= BROADCAST_LINES:
         wanted = F.broadcast(wanted)
@@ -358,30 +357,32 @@ def similar_lines(docs: DataFrame, lines: DataFrame, how: Passages, group: int =
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 128):
-            nodes, hashes, sets = [], [_NO_HASHES], []
+            nodes, lines = [], []
             for text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 nodes += [x["node"] for x in spans]
-                hashes += [word_hashes(text[x["start"] : x["end"]].encode()) for x in spans]
-            every, at = rolling(np.concatenate(hashes), shingle, _BASES[0]).view(np.int64), 0
-            for own in hashes[1:]:
-                sets.append(np.unique(every[at : at + len(own) - shingle + 1]))
-                at += len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+                lines += [text[x["start"] : x["end"]] for x in spans]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines, pa.string())], names=["node", "line"])
 
-    sets = texts.join(wanted, "doc").select("text", "spans").mapInArrow(read, "node bigint, shingles array<bigint>")
-    sets = sets.dropDuplicates(["node"])
+    # lines travel as texts, which are smaller than their shingles' hashes
+    found = texts.join(wanted, "doc").select("text", "spans").mapInArrow(read, "node bigint, line string").dropDuplicates(["node"])
+    held: list = [None, None]
 
     def verify(t: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        column = t.column("shingles").combine_chunks()
-        edge, flat = column.offsets.to_numpy(), column.values.to_numpy()
-        out = np.zeros(len(i), dtype=bool)
+        if held[0] is not t:
+            hashes = [word_hashes(x) for x in strings(t.column("line"))]
+            every, at, sets = rolling(np.concatenate(hashes), shingle, _BASES[0]), 0, []
+            for own in hashes:
+                sets.append(np.unique(every[at : at + len(own) - shingle + 1]))
+                at += len(own)
+            held[:] = t, sets
+        sets, out = held[1], np.zeros(len(i), dtype=bool)
         for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-            x, y = flat[edge[a] : edge[a + 1]], flat[edge[b] : edge[b + 1]]
-            both = len(np.intersect1d(x, y, assume_unique=True))
+            x, y = sets[a], sets[b]
+            both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-9 else 0
             out[k] = both >= similarity * (len(x) + len(y) - both) - 1e-12
         return out
 
-    return components(links_in_buckets(met.join(sets, "node").select("bucket", "node", "shingles"), verify, group, met))
+    return components(links_in_buckets(met.join(found, "node").select("bucket", "node", "line"), verify, group, met))
 
 
 def repeats(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
