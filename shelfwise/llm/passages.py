@@ -306,10 +306,10 @@ def grown(docs: DataFrame, hits: DataFrame, how: Passages) -> DataFrame:
 
     found = _key(docs).join(wanted, "doc").select("doc.id", "doc.own", "no", "text", "spans").mapInArrow(read, _PATHS)
     found = table_saved(_keyed(found).withColumn("way", F.xxhash64("proof", "left", "path")), compression="zstd")
-    # documents that go on alike are one way; only windows with several ways are looked at word by word
+    # documents that go on alike are one way; only where several begin with the same word are they looked at word by word
     ways = found.groupBy("hash", "way", "proof", "left", "path").agg(F.min("no").alias("low"), F.max("no").alias("high"))
-    ways = table_saved(ways.withColumn("n", F.expr("cast(octet_length(path) / 4 as int)")))
-    window = ["hash", "proof", "left"]
+    ways = table_saved(ways.withColumn("n", F.expr("cast(octet_length(path) / 4 as int)")).withColumn("head", F.expr("substring(path, 1, 4)")), compression="zstd")
+    window = ["hash", "proof", "left", "head"]
     forks = ways.groupBy(*window).agg(F.min("way").alias("a"), F.max("way").alias("b")).filter("a <> b").select(*window)
     plain = ways.join(forks, window, "left_anti").filter("low <> high").select("hash", "way", "low", F.col("n").alias("any"), F.lit(0).alias("lower"))
     prefix = F.xxhash64("proof", "left", F.expr("substring(path, 1, 4 * k)"))
