@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from shelfwise.llm import alignment, licenses, passages, periodic, secrets
+from shelfwise.llm import alignment, licenses, links, passages, periodic, secrets
 from shelfwise.llm.common import sized_batches
 from shelfwise.llm.queries import QUERIES
 
@@ -385,3 +385,34 @@ def test_windows_grow_as_far_as_each_other_document(spark):
             a, b = span(earlier)
             want[d, cut[a], cut[b] - 1, True] += 1
     assert {k: n for k, n in got.items() if k[3]} == dict(want)
+
+
+def test_rows_that_come_again_in_a_bucket_are_read_once(spark):
+    rows = spark.createDataFrame([(b, n) for b in range(3) for n in range(40) for _ in range(5)], "bucket bigint, node bigint")
+    seen = spark.sparkContext.accumulator(0)
+
+    def verify(t, i, j):
+        node = t.column("node").to_numpy()
+        seen.add(int((node[i] == node[j]).sum()))
+        return node[i] % 2 == node[j] % 2
+
+    got = links.components(links.links_in_buckets(rows, verify, 2_048)).collect()
+    assert seen.value == 0
+    assert {(r.node, r.root) for r in got} == {(n, n % 2) for n in range(40)}
+
+
+def test_lines_and_windows_do_not_stay_on_disk(spark, tmp_path):
+    """Nothing reads them once the repeated ones are known; rows that are there twice change nothing."""
+    before = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(["other", *words[:59]]), "\n".join([" ".join(words[:30]), " ".join(words[30:])])]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "doc_id bigint, text string")
+    try:
+        got = {tuple(r) for r in passages.repeats(docs).collect()}
+        assert got and got == {tuple(r) for r in passages.repeats(docs.distinct()).collect()}
+        tables = [f.parent for f in tmp_path.rglob("_SUCCESS")]
+        assert tables and not any("keys" in spark.read.parquet(str(f)).columns for f in tables)
+    finally:
+        if before:
+            spark.sparkContext.setCheckpointDir(before.removeprefix("file:"))
