@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shelfwise.llm import alignment, licenses, links, passages, periodic, secrets
-from shelfwise.llm.common import sized_batches
+from shelfwise.llm.common import sized_batches, table_saved
 from shelfwise.llm.queries import QUERIES
 
 #: Names that operators use inside stand here as further columns of the input.
@@ -416,3 +417,11 @@ def test_lines_and_windows_do_not_stay_on_disk(spark, tmp_path):
     finally:
         if before:
             spark.sparkContext.setCheckpointDir(before.removeprefix("file:"))
+
+
+def test_a_saved_table_leaves_no_shuffle_files(spark):
+    local = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    files = lambda: {f.name for f in local.rglob("shuffle_*")}
+    before = files()
+    saved = table_saved(spark.range(1_000).groupBy((F.col("id") % 10).alias("k")).count())
+    assert not files() - before and saved.count() == 10
