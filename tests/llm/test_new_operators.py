@@ -13,8 +13,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from shelfwise.llm import alignment, licenses, links, passages, periodic, secrets
+from shelfwise.llm import alignment, licenses, links, packing, passages, periodic, secrets
 from shelfwise.llm.common import sized_batches, table_saved
 from shelfwise.llm.queries import QUERIES
 
@@ -425,3 +426,17 @@ def test_a_saved_table_leaves_no_shuffle_files(spark):
     before = files()
     saved = table_saved(spark.range(1_000).groupBy((F.col("id") % 10).alias("k")).count())
     assert not files() - before and saved.count() == 10
+
+
+def test_stretches_share_their_words_and_marks():
+    """What stands before marks is encoded once, however it is written; strings of special tokens and odd characters stay whole."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, whole = packing.WordEncoder(path), Tokenizer.from_file(path)
+    marked = encoder.stretches([b"Haus haus, (HAUS)", b"", "Haus-\u00e9t\u00e9! It's A1 24".encode()])
+    assert marked == [[b"haus", b"haus", b",", b"(", b"haus", b")"], [], [b"haus", b"-", "\u00e9t\u00e9".encode(), b"!", b"It's", b"a", b"1", b"24"]]
+    rng = np.random.default_rng(7)
+    signs = [*" \n\t ab1.,!)'<>|=", "th", "É", "×", "÷", "́", "̸", " ", "\x1c", "藏", "'s", "<|endoftext|>", "x" * 70, "İ"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 15))) for _ in range(4_000)]
+    got = list(packing.encode([t.encode() for t in texts], path))
+    assert [np.frombuffer(g, dtype="<u4").tolist() for g in got] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert list(packing.encode([b"", b" \n"], path)) == [b"", b""]
