@@ -10,12 +10,13 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shelfwise.llm import alignment, licenses, links, packing, passages, periodic, secrets
+from shelfwise.llm import alignment, byte_bpe, licenses, links, packing, passages, periodic, secrets
 from shelfwise.llm.common import sized_batches, table_saved
 from shelfwise.llm.queries import QUERIES
 
@@ -440,3 +441,25 @@ def test_stretches_share_their_words_and_marks():
     got = list(packing.encode([t.encode() for t in texts], path))
     assert [np.frombuffer(g, dtype="<u4").tolist() for g in got] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
     assert list(packing.encode([b"", b" \n"], path)) == [b"", b""]
+
+
+def test_words_are_folded_together_and_stretches_split_once():
+    """Many words at a time give what each gives alone; white space of any kind is split as in the whole text."""
+    ranks = {bytes(piece): rank for piece, rank in byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))}
+    rng = np.random.default_rng(5)
+    letters = [bytes([b]) for b in b"  theinagrs.,1\n\xc3\xa9\xff"]
+    words = [b"a", b" ", *(b"".join(rng.choice(letters, rng.integers(1, byte_bpe.SHORT))) for _ in range(3_000))]
+    folded = byte_bpe.fold_many([w for w in words if w not in ranks], byte_bpe.Pairs(ranks))
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in folded] == [byte_bpe.fold_bytes(w, ranks) for w in words if w not in ranks]
+    assert byte_bpe.fold_many([], byte_bpe.Pairs(ranks)) == []
+    pattern = public_tokenizers.PATTERN
+    reference = tiktoken.Encoding("reference", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    signs = [*"   \n\t\u00a0\u2003\x1c\x85ab1.,!'", "th", "\u00e9", "'s", "x" * 70, "\u85cf"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 15))) for _ in range(4_000)]
+    for split in (pattern, pattern + "|."):  # the second is not known to allow it
+        coder = byte_bpe.Coder(ranks, split)
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in coder.encode(texts)] == [reference.encode_ordinary(t) for t in texts]
+        assert bool(coder.behind) == (split == pattern)
+    coder = byte_bpe.Coder(ranks, pattern)
+    coder.encode(["some words, some words"])
+    assert set(coder.behind) == {"words,", "some", "words"} and set(coder.known) == {"some"}
