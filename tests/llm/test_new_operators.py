@@ -463,3 +463,14 @@ def test_words_are_folded_together_and_stretches_split_once():
     coder = byte_bpe.Coder(ranks, pattern)
     coder.encode(["some words, some words"])
     assert set(coder.behind) == {"words,", "some", "words"} and set(coder.known) == {"some"}
+
+
+def test_sets_of_lines_are_compared_by_lookup():
+    rng = np.random.default_rng(3)
+    for n, m in [(1, 1), (1, 4), (5, 90), (90, 5), (200, 200)]:
+        x, y = (rng.integers(0, 250, k).astype(np.uint64) for k in (n, m))
+        a, b = passages.sorted_set(x), passages.sorted_set(y)
+        assert a.tolist() == sorted(set(x.tolist())) and b.tolist() == sorted(set(y.tolist()))
+        assert passages.common(a, b) == len(set(x.tolist()) & set(y.tolist()))
+    top = np.array([2**64 - 1], dtype=np.uint64)
+    assert passages.common(top, top) == 1 and passages.common(top - np.uint64(1), top) == 0
