@@ -128,6 +128,23 @@ def test_alignment_of_tokenizers_that_cannot_be_cut(vocabularies):
         assert (x is None) == (y is None) and (x is None or ";".join(p[0] for p in x) == y[0][0])
 
 
+def test_alignment_keeps_what_is_met_again(vocabularies, monkeypatch):
+    """A piece that comes in every batch is tokenized once, however many others turn up between; results stay the same."""
+    monkeypatch.setattr(alignment, "REMEMBERED", 160)  # some eight batches
+    aligner, plain, seen = alignment.Aligner(*vocabularies), _one_aligner(vocabularies), Counter()
+    own = aligner._align
+
+    def watched(pieces):
+        seen.update(pieces)
+        return own(pieces)
+
+    aligner._align = watched
+    for n in range(12):
+        texts = [f"always again, {' '.join(f'word{n}x{k}' for k in range(20))}", "again always", *["always a\u2581b"] * (n == 6)]
+        assert aligner.align(texts) == [x and [tuple(y) for y in x] for x in plain.align(texts)]
+    assert seen[" always"] == seen[" again"] == seen[" word3x7"] == 1
+
+
 # 12: periodic runs
 
 
