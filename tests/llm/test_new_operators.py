@@ -491,3 +491,26 @@ def test_sets_of_lines_are_compared_by_lookup():
         assert passages.common(a, b) == len(set(x.tolist()) & set(y.tolist()))
     top = np.array([2**64 - 1], dtype=np.uint64)
     assert passages.common(top, top) == 1 and passages.common(top - np.uint64(1), top) == 0
+
+
+def test_lines_are_read_without_the_windows(spark):
+    """Lines and windows lie in files of their own, and a session setting used to write them is put back."""
+    texts = [(i, f"a line of its own {i}\n" + " ".join(f"w{k * 7 % 50}" for k in range(60))) for i in range(4)]
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None)
+    lines, windows = passages.paragraphs(spark.createDataFrame(texts, "doc_id bigint, text string"), passages.Passages())
+    assert lines.count() == 12 and windows.count() > 0  # blocks included
+    files = [{r[0] for r in t.select(F.input_file_name()).collect()} for t in (lines, windows)]
+    assert all(files) and not files[0] & files[1]
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None) == before
+
+
+def test_the_smallest_keeper_stays_where_stretches_meet(spark):
+    """Stretches that touch are one, with the smallest keeper of them all, whatever the numbers are; a null id counts as the smallest."""
+    first, second = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    most = (1 << 63) - 1
+    rows = [(most, f"{first}\n{second}"), (5, first), (-7, second), (most - 1, f"{second}\nmore words than this line needs")]
+    got = passages.repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).filter("removed").collect()
+    assert {(r.doc_id, r.start, r.end, r.component_id) for r in got if r.doc_id == most} == {(most, 0, len(first) + 1 + len(second), -7)}
+    none = [*rows, (None, second)]
+    got = passages.repeats(spark.createDataFrame(none, "doc_id bigint, text string")).filter("removed").collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(most, None), (most - 1, None), (-7, None)}
